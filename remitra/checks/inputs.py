@@ -187,7 +187,8 @@ class Workspace(Build):
         self.spark = prepare(spark)
         self.folder = folder
         super().__init__(raw=None, config=Config())
-        self.raw = self.shared(RAW)
+        # One small file is one task; real extracts are many.
+        self.raw = self.shared(RAW).repartition(spark.sparkContext.defaultParallelism)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Every whitespace character: ASCII controls that count as blanks, NEL, all separators.
-WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+# The space separators, and all characters that count as white space.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BLANKS = SPACES + "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
 
 # Letters that betray text decoded with the wrong code page, letters that
 # show a repair went wrong, and what surrounds a name without belonging to it.
@@ -24,7 +25,7 @@ CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D
 
 def zs_trim(c: Column) -> Column:
     """Strip every Unicode space separator; ``trim`` would strip U+0020 only."""
-    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -36,11 +37,11 @@ def upper_code(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"{WS}+", " "))
+    return strip(F.regexp_replace(c, f"[{BLANKS}]+", " "))
 
 
 def norm_header(c: Column) -> Column:

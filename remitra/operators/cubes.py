@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from remitra.config import loader, values
 from remitra.functions.numbers import millions, r2, size_bucket
-from remitra.functions.text import clean_name, is_missing, real_name
+from remitra.functions.text import is_missing
 from remitra.operators import fact as J
 from remitra.operators.fact import Dims
+from remitra.operators.names import only_real_names
 from remitra.operators.scale import list_position, top_k_per_group
 
 FLOW_USE = ["flow_ix", "use_ix"]
@@ -160,10 +161,8 @@ def day_entity(
         tx.withColumn("raw_name", name).filter(F.col("raw_name").isNotNull())
         .groupBy("ymd", *FLOW_USE, "raw_name").agg(F.sum("usd").alias("usd"))
         .filter(F.col("usd") >= least)
-        .withColumn("cleaned", clean_name(F.col("raw_name")))
     )
-    real = totals.filter(real_name(F.col("raw_name"), F.col("cleaned"), block))
-    named = real.withColumn("name", F.coalesce("cleaned", "raw_name"))
+    named = only_real_names(totals, "raw_name", "name", block)
     return sums(named, ["ymd", "flow_ix", "name", "use_ix"])
 
 

@@ -13,6 +13,7 @@ from remitra.config.loader import Config
 from remitra.functions.numbers import millions, r2
 from remitra.functions.text import clean_name, named, zs_trim
 from remitra.operators.fact import Dims
+from remitra.operators.names import with_clean_name
 from remitra.operators.scale import top_k, top_k_per_group
 
 
@@ -171,7 +172,7 @@ def entity_documents(parts: EntityParts) -> DataFrame:
         lists.append(
             listed(parts.tops.filter(F.col("kind") == kind), ["rn"], ["val_ix", "usd_m"], kind)
         )
-    tx = parts.tx.withColumn("other", clean_name(F.col("other")))
+    tx = with_clean_name(parts.tx, "other", "other_name").withColumn("other", F.col("other_name"))
     lists.append(listed(
         tx, ["rn"],
         ["ymd", "flow_ix", "bank_ix", "currency_ix", "amt", "usd", "country_ix", "purpose_ix", "other"],

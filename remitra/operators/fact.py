@@ -16,7 +16,7 @@ from remitra.config import loader, values
 from remitra.config.loader import Config
 from remitra.operators import dims as D
 from remitra.operators.clean import with_flow_use_ix
-from remitra.session import stage
+from remitra.session import stage_all
 
 
 @dataclass
@@ -31,17 +31,17 @@ class Dims:
 
 
 def build_dims(tx: DataFrame, base: DataFrame, config: Config) -> Dims:
-    """All dimensions, each written once."""
-    votes = D.purpose_name_votes(tx)
-    return Dims(
-        months=stage(D.dim_months(base), "months"),
-        years=stage(D.dim_years(base), "years"),
-        purposes=stage(D.dim_purposes(base, votes, config), "purposes"),
-        countries=stage(D.dim_countries(base, config), "countries"),
-        currencies=stage(D.dim_currencies(base), "currencies"),
-        banks=stage(D.dim_banks(base, config), "banks"),
-        methods=stage(D.dim_methods(tx), "methods"),
-    )
+    """All dimensions, each written once. They are small and independent, so they run side by side."""
+    def purposes() -> DataFrame:
+        return D.dim_purposes(base, D.purpose_name_votes(tx), config)
+
+    makers = {
+        "months": lambda: D.dim_months(base), "years": lambda: D.dim_years(base),
+        "purposes": purposes, "countries": lambda: D.dim_countries(base, config),
+        "currencies": lambda: D.dim_currencies(base), "banks": lambda: D.dim_banks(base, config),
+        "methods": lambda: D.dim_methods(tx),
+    }
+    return Dims(**stage_all(tx.sparkSession, makers))
 
 
 def join_purposes(df: DataFrame, dims: Dims) -> DataFrame:

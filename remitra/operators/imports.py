@@ -16,12 +16,13 @@ from remitra.config import loader
 from remitra.functions.numbers import python_number, to_num
 from remitra.functions.text import clean_text, head_token, norm_header
 from remitra.operators.scale import top_k_per_group
-from remitra.schema import CANONICAL, COLUMNS, MONEY_COLUMNS
+from remitra.schema import CANONICAL, MONEY_COLUMNS
 from remitra.session import stage
 
 SOURCE = ["file", "sheet"]
 ROW = [*SOURCE, "row_no"]
 _DATE_CELL = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?$"
+HEADER_FIELDS = sorted(set(H.HEADER_MAP.values()))
 _DATES = ("Date_of_Transaction", "Date_of_Submission")
 
 
@@ -57,9 +58,10 @@ def refused_files(cells: DataFrame, header_rows: DataFrame) -> DataFrame:
 
 
 def column_maps(columns: DataFrame) -> DataFrame:
-    """One row per sheet: field -> position, at most one entry per known header."""
-    entries = F.map_from_entries(F.collect_list(F.struct("field", "pos")))
-    return columns.groupBy(*SOURCE, "header_row").agg(entries.alias("positions"))
+    """One row per sheet, with the position of each field or NULL."""
+    return columns.groupBy(*SOURCE, "header_row").agg(*[
+        F.min(F.when(F.col("field") == f, F.col("pos"))).alias(f"at {f}") for f in HEADER_FIELDS
+    ])
 
 
 def is_date(cell: Column) -> Column:
@@ -82,10 +84,9 @@ def _typed(name: str, cell: Column, apostrophe: bool) -> Column:
 
 def map_headers(cells: DataFrame, maps: DataFrame) -> DataFrame:
     """Rows below the header, by resolved column. ``maps`` is a staged table."""
-    fields = sorted(set(H.HEADER_MAP.values()))
     rows = cells.join(maps, SOURCE).filter(F.col("row_no") > F.col("header_row"))
-    cell = lambda f: F.get("cells", F.col("positions")[f])
-    return rows.select(*ROW, *[_typed(f, cell(f), True) for f in fields])
+    cell = lambda f: F.get("cells", F.col(f"`at {f}`"))
+    return rows.select(*ROW, *[_typed(f, cell(f), True) for f in HEADER_FIELDS])
 
 
 def map_positions(cells: DataFrame, sheet: str) -> DataFrame:
@@ -243,6 +244,3 @@ def import_by_position(
         df = conform(hash_id(stamp(df, F.lit(flow), F.col("file")), with_file=False))
         done = df if done is None else done.unionByName(df)
     return done
-
-
-assert set(H.HEADER_MAP.values()) <= set(COLUMNS)

@@ -16,7 +16,7 @@ from remitra.operators import exceptions as X
 from remitra.operators.clean import clean, with_flow_use_ix
 from remitra.operators.dedup import dedup
 from remitra.operators.fact import Dims, build_dims
-from remitra.session import stage
+from remitra.session import stage, stage_all
 
 
 @dataclass
@@ -32,8 +32,8 @@ class Build:
 
     @cached_property
     def tx_all(self) -> DataFrame:
-        """Before deduplication; not written, since few reports read it and each a few columns."""
-        return clean(self.raw)
+        """Before deduplication. Written, as deduplication and three duplicate tiers read it."""
+        return stage(clean(self.raw), "tx_all")
 
     @cached_property
     def tx(self) -> DataFrame:
@@ -69,7 +69,9 @@ class Build:
 
     @cached_property
     def tiers(self) -> dict[str, DataFrame]:
-        return {t: stage(X.declared_tier(self.tx_all, t), f"tier_{t}") for t in DUPLICATE_TIERS}
+        return stage_all(self.raw.sparkSession, {
+            tier: lambda t=tier: X.declared_tier(self.tx_all, t) for tier in DUPLICATE_TIERS
+        })
 
     @cached_property
     def ent(self) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -71,3 +74,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, actions: dict[str, Callable[[], object]], at_once: int = 8) -> dict:
+    """Run independent Spark actions at the same time, so that small jobs fill the cluster together."""
+    with ThreadPoolExecutor(max_workers=min(at_once, len(actions))) as pool:
+        running = {
+            name: pool.submit(inheritable_thread_target(spark)(action))
+            for name, action in actions.items()
+        }
+        return {name: future.result() for name, future in running.items()}
+
+
+def stage_all(spark: SparkSession, makers: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Stage independent tables."""
+    return side_by_side(
+        spark, {name: lambda n=name, m=make: stage(m(), n) for name, make in makers.items()}
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from remitra.operators.imports import conform
 from remitra.schema import CANONICAL
+from remitra.session import side_by_side
 
 
 def write_year(df: DataFrame, path: str) -> None:
@@ -39,9 +40,12 @@ def payload(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_payload(tables: dict[str, DataFrame], out: str, as_json: bool = False) -> None:
-    """One parquet table per result, and on request the pack as JSON lines."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+    """One parquet table per result, several at a time, and on request the pack as JSON lines."""
+    spark = next(iter(tables.values())).sparkSession
+    side_by_side(spark, {
+        name: lambda n=name, df=df: df.write.mode("overwrite").parquet(f"{out}/{n}")
+        for name, df in tables.items()
+    })
     if as_json:
         payload(tables).write.mode("overwrite").partitionBy("table").text(f"{out}/_pack")
 

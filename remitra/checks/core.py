@@ -386,7 +386,7 @@ add("O4_top_members",
     lambda ws: J.join_country(ws.base, ws.dims).filter("country_ix < 10").groupBy("country_ix").agg(
         F.sum("n").alias("n")),
     "SELECT country_ix, count(*) AS n FROM tx JOIN countries USING (country) WHERE country_ix < 10 GROUP BY 1")
-add("O5_sort_ci", lambda ws: E.sort_ci(E.all_names(ws.ent), "nm").select("nm", "n"),
+add("O5_sort_ci", lambda ws: E.sort_ci(E.all_names(ws.totals), "nm").select("nm", "n"),
     "SELECT nm, count(*) AS n FROM ent GROUP BY nm ORDER BY lower(nm), nm")
 add("O6_having",
     lambda ws: ws.tx.groupBy("ymd", "flow_ix").agg(F.count("*").alias("n")).filter("n >= 20"),

@@ -221,14 +221,15 @@ add("E1_entities_filtered",
     lambda ws: ws.ent.select("Hash_ID", "side", "nm", "other", "usd"),
     "SELECT Hash_ID, side, nm, other, usd FROM ent")
 add("E2_placeholder_removed",
-    lambda ws: E.placeholder_removed(E.entity_sides(ws.tx), ws.ent),
+    lambda ws: E.placeholder_removed(E.entity_sides(ws.tx), ws.totals),
     f"""SELECT CAST((SELECT count(*) FROM ent_raw) - (SELECT count(*) FROM ent) AS BIGINT) AS removed,
           {r2('((SELECT sum(usd) FROM ent_raw) - (SELECT sum(usd) FROM ent)) / 1e6')} AS removed_usd_m""")
 _TOTALS = ", ".join(f"{r2(f'{c} / 1e6')} AS {c}" for c in ("usd", "usd_in", "usd_out"))
 
 
 def _totals(df):
-    return df.withColumns({c: rounded(millions(F.col(c))) for c in ("usd", "usd_in", "usd_out")})
+    rows = df.withColumns({c: rounded(millions(F.col(c))) for c in ("usd", "usd_in", "usd_out")})
+    return rows.drop("received", "sent")
 
 
 add("E3_entity_totals", lambda ws: _totals(ws.totals),
@@ -282,7 +283,7 @@ add("E9_entity_coverage",
         FROM (SELECT usd, row_number() OVER (ORDER BY usd DESC NULLS LAST, nm) - 1 AS ix FROM ent_tot)""")
 _NAMES = f"""SELECT nm, count(*) AS n, {usd_m('CASE WHEN side = 1 THEN usd ELSE 0 END')} AS received,
   {usd_m('CASE WHEN side = 0 THEN usd ELSE 0 END')} AS sent FROM ent GROUP BY nm"""
-add("E10_all_names", lambda ws: E.all_names(ws.ent), _NAMES)
+add("E10_all_names", lambda ws: E.all_names(ws.totals), _NAMES)
 
 # -- report views ------------------------------------------------------------
 
@@ -324,7 +325,7 @@ add("V5_top_movers", lambda ws: V.top_movers(ws.day_entity, _LOW, _HIGH, 50),
     f"""SELECT flow_ix, name, {r2('usd')} AS usd_m FROM (
           SELECT flow_ix, name, sum(usd_m) AS usd FROM ({_DAY_ENTITY}) WHERE {_RANGE}
           GROUP BY flow_ix, name) ORDER BY usd DESC, flow_ix, name LIMIT 50""")
-add("V6_search_names", lambda ws: V.search_names(E.all_names(ws.ent), "ER#00000001"),
+add("V6_search_names", lambda ws: V.search_names(E.all_names(ws.totals), "ER#00000001"),
     f"SELECT * FROM ({_NAMES}) WHERE contains(lower(nm), 'er#00000001')")
 add("V7_summary_split",
     lambda ws: V.summary_split(C.day_line(ws.day, ws.dims), ws.config),

@@ -278,7 +278,7 @@ def rank_by_usd(tx: DataFrame, dims: Dims, deepest: int = 1000) -> DataFrame:
     """
     used = tx.filter("usd > 0 AND use_ix = 1").select("yr", "flow_ix", "usd", "Hash_ID")
     order = [F.desc("usd"), F.col("Hash_ID").asc_nulls_last()]
-    ranked = top_k_per_group(used, ["yr", "flow_ix"], order, deepest)
+    ranked = top_k_per_group(used, ["yr", "flow_ix"], order, deepest, spread_by="Hash_ID")
     totals = used.groupBy("yr", "flow_ix").agg(F.sum("usd").alias("tot"))
     return J.join_years(ranked.join(totals, ["yr", "flow_ix"]), dims).drop("yr")
 

@@ -42,21 +42,23 @@ def entities_filtered(tx: DataFrame, config: Config) -> DataFrame:
     return ent.withColumn("nm", zs_trim(F.col("nm")))
 
 
-def placeholder_removed(ent_raw: DataFrame, ent: DataFrame) -> DataFrame:
+def placeholder_removed(ent_raw: DataFrame, totals: DataFrame) -> DataFrame:
     """How many party rows, and what value, the name rules removed."""
-    total = lambda df, sign: df.agg(
-        (F.count("*") * sign).alias("n"), (F.coalesce(F.sum("usd"), F.lit(0.0)) * sign).alias("usd")
+    total = lambda df, n, sign: df.agg(
+        (n * sign).alias("n"), (F.coalesce(F.sum("usd"), F.lit(0.0)) * sign).alias("usd")
     )
-    return total(ent_raw, 1).unionByName(total(ent, -1)).agg(
+    return total(ent_raw, F.count("*"), 1).unionByName(total(totals, F.sum("n"), -1)).agg(
         F.sum("n").alias("removed"), r2(millions(F.sum("usd"))).alias("removed_usd_m")
     )
 
 
 def entity_totals(ent: DataFrame) -> DataFrame:
-    by_flow = lambda ix: F.sum(F.when(F.col("flow_ix") == ix, F.col("usd")).otherwise(0.0))
+    """Per name: rows and value, by direction and by side, and the years spanned."""
+    part = lambda c, v: F.sum(F.when(F.col(c) == v, F.col("usd")).otherwise(0.0))
     return ent.groupBy("nm").agg(
         F.count("*").alias("n"), F.sum("usd").alias("usd"),
-        by_flow(1).alias("usd_in"), by_flow(0).alias("usd_out"),
+        part("flow_ix", 1).alias("usd_in"), part("flow_ix", 0).alias("usd_out"),
+        part("side", 1).alias("received"), part("side", 0).alias("sent"),
         F.min("yr").alias("y0"), F.max("yr").alias("y1"),
     )
 
@@ -128,7 +130,7 @@ def entity_tx(kept: DataFrame, dims: Dims, n: int = values.ENTITY_TX_LIMIT) -> D
     ranked = top_k_per_group(
         kept.select("ix", "side", "Hash_ID", "ymd", "flow_ix", "bank", "currency", "amt_orig",
                     "usd", "country", "pur5", "other"),
-        ["ix"], order, n,
+        ["ix"], order, n, spread_by="Hash_ID",
     )
     lookups = [
         ("bank", dims.banks.select("bank", "bank_ix"), "bank_ix"),
@@ -199,13 +201,11 @@ def entity_coverage(totals: DataFrame, keep: DataFrame) -> DataFrame:
     )
 
 
-def all_names(ent: DataFrame) -> DataFrame:
+def all_names(totals: DataFrame) -> DataFrame:
     """Every counterparty with its count and what it received and sent."""
-    by_side = lambda ix: F.sum(F.when(F.col("side") == ix, F.col("usd")).otherwise(0.0))
-    return ent.groupBy("nm").agg(
-        F.count("*").alias("n"),
-        r2(millions(by_side(1))).alias("received"),
-        r2(millions(by_side(0))).alias("sent"),
+    return totals.select(
+        "nm", "n", r2(millions(F.col("received"))).alias("received"),
+        r2(millions(F.col("sent"))).alias("sent"),
     )
 
 

@@ -219,7 +219,7 @@ def import_by_header(
     cells: DataFrame, history: DataFrame, purpose_names: DataFrame, flow: Column,
 ) -> DataFrame:
     """Extracts whose columns are found by their headers, whatever their order."""
-    known = known_headers(cells)
+    known = stage(known_headers(cells), "headers")
     columns = resolve_columns(known, find_header_row(known))
     rows = filter_rows(map_headers(cells, stage(column_maps(columns), "column_maps")))
     df = purpose_name(derive_purpose(rows), purpose_names)

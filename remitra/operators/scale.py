@@ -9,50 +9,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 HOT_KEYS = 1000
+SLICES = 128
 
 
-def matches(keys: Sequence[str]) -> Column:
-    """Equality of every key with its underscored twin, with NULL equal to NULL."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_{key}"))
-    return condition
+def grouped(df: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Add ``_group``, one struct of all keys.
 
-
-def twins(keys: Sequence[str]) -> list[Column]:
-    return [F.col(key).alias(f"_{key}") for key in keys]
+    Structs are equal if their fields are, NULL fields included, so a join on
+    them needs no NULL-safe rewriting and keeps the partitioning of a window
+    or an aggregate on the same struct.
+    """
+    return df.withColumn("_group", F.struct(*keys, *more))
 
 
 def running_total(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
-    weight: Column, name: str,
+    weight: Column, name: str, total: str | None = None,
 ) -> DataFrame:
     """Running sum of ``weight`` per group, with each group split along ``bucket``.
 
     ``bucket`` must not decrease along ``order`` and take a bounded number of
     values. The sort then runs per (group, bucket); what crosses buckets is one
     subtotal each, so a group of any size is spread over as many tasks as it
-    has buckets.
+    has buckets. ``total`` names a column for the sum of the whole group.
     """
-    parts = [*keys, "_bucket"]
+    df = grouped(df, keys, bucket.alias("_bucket"))
     local = (
-        W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy("_group").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    df = df.withColumn("_bucket", bucket)
-    subtotals = df.groupBy(*parts).agg(F.sum(weight).alias("_sum"))
-    before = (
-        W.partitionBy(*keys).orderBy(F.col("_bucket").asc_nulls_last())
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    offsets = subtotals.select(
-        *twins(parts),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+    subtotals = df.groupBy(F.col("_group").alias("_match")).agg(F.sum(weight).alias("_sum"))
+    group = W.partitionBy(*[F.col("_match")[key] for key in keys])
+    before = group.orderBy(F.col("_match")["_bucket"].asc_nulls_last()).rowsBetween(
+        W.unboundedPreceding, -1
     )
+    offsets = subtotals.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    if total is not None:
+        offsets = offsets.withColumn(total, F.sum("_sum").over(group))
     return (
         df.withColumn("_local", F.sum(weight).over(local))
-        .join(offsets, matches(parts), "left")
+        .join(offsets, F.col("_group") == F.col("_match"), "left")
         .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop("_bucket", "_local", "_sum", "_offset", *[f"_{p}" for p in parts])
+        .drop("_group", "_match", "_local", "_sum", "_offset")
     )
 
 
@@ -85,18 +82,14 @@ def exact_percentile(
     """
     counts = df.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running_total(
-        counts, keys, F.floor(F.ln(value) * 1000), [F.col(value)], F.col("_n"), "_upto"
-    )
-    sizes = (
-        counts.groupBy(*keys).agg(F.sum("_n").alias("n")).filter(F.col("n") >= min_rows)
-    )
+        counts, keys, F.floor(F.ln(value) * 1000), [F.col(value)], F.col("_n"), "_upto", total="n"
+    ).filter(F.col("n") >= min_rows)
     at = F.lit(share) * (F.col("n") - 1)
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
     low = F.max(F.when(holds(F.floor(at)), F.col(value)))
     high = F.max(F.when(holds(F.ceil(at)), F.col(value)))
     return (
-        ranked.join(sizes, list(keys))
-        .groupBy(*keys, "n")
+        ranked.groupBy(*keys, "n")
         .agg(low.alias("_low"), high.alias("_high"))
         .withColumn("result", F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at)))
         .drop("_low", "_high")
@@ -110,13 +103,13 @@ def with_group_size(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     rows whatever the data; any other group then holds under a thousandth of
     the rows, so the shuffle join that serves the rest has no hot key.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias(name)).select(*twins(keys), name)
-    hot = F.broadcast(sizes.orderBy(F.desc(name), *[f"_{k}" for k in keys]).limit(HOT_KEYS))
-    match = matches(keys)
-    twin_names = [f"_{k}" for k in keys]
+    df = grouped(df, keys)
+    sizes = df.groupBy(F.col("_group").alias("_match")).agg(F.count("*").alias(name))
+    hot = F.broadcast(sizes.orderBy(F.desc(name), "_match").limit(HOT_KEYS))
+    match = F.col("_group") == F.col("_match")
     hot_rows = df.join(hot, match)
     cold_rows = df.join(hot, match, "left_anti").join(sizes, match)
-    return hot_rows.unionByName(cold_rows).drop(*twin_names)
+    return hot_rows.unionByName(cold_rows).drop("_group", "_match")
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -126,7 +119,19 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 def top_k_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rn",
+    spread_by: str | None = None,
 ) -> DataFrame:
-    """The first ``k`` rows of each group; each map task drops what cannot be among them."""
-    ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col(name) <= k)
+    """The first ``k`` rows of each group; each map task drops what cannot be among them.
+
+    That leaves up to ``k`` rows per map task and group. Where ``k`` times the
+    number of map tasks is itself much for one task, name a column that varies
+    within a group: the rows are then cut in slices of it first.
+    """
+    def first(rows: DataFrame, parts: Sequence) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*parts).orderBy(*order))
+        return rows.withColumn(name, rank).filter(F.col(name) <= k)
+
+    if spread_by is not None:
+        df = df.withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.lit(SLICES)))
+        df = first(df, [*keys, "_slice"]).drop("_slice", name)
+    return first(df, keys)

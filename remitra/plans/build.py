@@ -157,8 +157,8 @@ class Build:
         return {
             "entities": E.entity_documents(self.entity_parts),
             "entity_coverage": E.entity_coverage(self.totals, self.keep),
-            "placeholder_removed": E.placeholder_removed(E.entity_sides(self.tx), self.ent),
-            "all_names": E.all_names(self.ent),
+            "placeholder_removed": E.placeholder_removed(E.entity_sides(self.tx), self.totals),
+            "all_names": E.all_names(self.totals),
         }
 
     def tables(self) -> dict[str, DataFrame]:

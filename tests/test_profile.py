@@ -26,7 +26,9 @@ def test_measured_profile(ws):
     assert ws.tx_all.select("Hash_ID").distinct().count() == 6258
     counts = X.fx_counts(ws.judged).first()
     assert (counts["wrongrate"], counts["band"]) == (65, 0)
-    assert ws.day_entity.count() == 4140
+    name = F.coalesce("tr_name", "rc_name")
+    days = ws.tx.filter(name.isNotNull()).groupBy("ymd", "flow_ix", name, "use_ix").agg(F.sum("usd").alias("usd"))
+    assert days.filter("usd >= 500000").count() == 4140
     extra = {t: X.dup_summary(g).first()["extra"] for t, g in ws.tiers.items()}
     assert extra == {"A": 73, "B": 250, "C": 0}
 

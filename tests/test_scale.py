@@ -84,6 +84,8 @@ def test_top_k_per_group_cuts_before_the_shuffle(df, rows):
     assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
     expected = rows.sort_values(["x", "id"], ascending=[False, True]).groupby("k", dropna=False).head(5)
     assert {r["id"] for r in got.collect()} == set(expected["id"])
+    spread = S.top_k_per_group(df, ["k"], [F.desc("x"), F.col("id")], 5, spread_by="id")
+    assert {tuple(r) for r in spread.collect()} == {tuple(r) for r in got.collect()}
 
 
 COPIES = [

@@ -8,13 +8,14 @@ from remitra.checks.core import ENTITY_TOPS, ENTITY_TX
 from remitra.checks.registry import add
 from remitra.checks.sql import r2, usd_m
 from remitra.config import values
-from remitra.config.rules import DUPLICATE_TIERS
+from remitra.config.rules import DUPLICATE_TIERS, PURPOSE_RULES
 from remitra.functions.numbers import millions, r2 as rounded
 from remitra.operators import cubes as C
 from remitra.operators import entities as E
 from remitra.operators import exceptions as X
 from remitra.operators import reports as V
 from remitra.operators import rules as R
+from remitra.operators.fact import join_purposes
 
 _BANK = "JOIN banks USING (bank)"
 _BANK_LEFT = "LEFT JOIN banks USING (bank)"
@@ -385,7 +386,7 @@ def _ruled(ws):
 
 
 add("R1_rule_hits",
-    lambda ws: ws.rules.select("id", R.rule_hit(R.R.PURPOSE_RULES).alias("rule")),
+    lambda ws: R.rule_hit(ws.rules, PURPOSE_RULES).select("id", "rule"),
     "SELECT id, " + _PURPOSE_CASE.replace("ELSE purpose END", "END")
     .replace("'02020'", "'boc_icbc_050105_to_02020'").replace("THEN '050103'", "THEN '050203_to_050103'")
     .replace("'0301'", "'bcel_kr_to_0301'").replace("'0404'", "'deposit_to_0404'")
@@ -410,8 +411,6 @@ def _own(ws):
     name = F.when(F.col("purpose_ix") % 3 == 0, F.concat("tr_name", F.lit(" boc LTD"))).when(
         F.col("purpose_ix") % 3 == 1, F.concat(F.lit("ທະນາຄານ "), F.col("tr_name"))).otherwise(
         F.col("tr_name"))
-    from remitra.operators.fact import join_purposes
-
     rows = join_purposes(ws.tx, ws.dims)
     line_own = F.col("line_ix").isin(
         *[ix for ix, line in enumerate(ws.config.report_lines) if line[3]]

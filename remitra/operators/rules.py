@@ -22,8 +22,21 @@ FIELDS = {
 }
 
 
-def _text(column: str) -> Column:
-    return F.upper(F.coalesce(F.trim(F.col(column)), F.lit("")))
+def _text(field: str) -> Column:
+    return F.col(f"_{field}")
+
+
+def _with_texts(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The tested texts, trimmed and upper-cased once per row rather than once per condition."""
+    return df.withColumns({
+        f"_{field}": F.upper(F.coalesce(F.trim(F.col(column)), F.lit("")))
+        for field, column in fields.items()
+    })
+
+
+def decide(df: DataFrame, name: str, value: Column, fields: dict[str, str] = FIELDS) -> DataFrame:
+    """Add the outcome of compiled rules as column ``name``."""
+    return _with_texts(df, fields).withColumn(name, value).drop(*[f"_{f}" for f in fields])
 
 
 def _any(tests: Sequence[Column]) -> Column:
@@ -37,76 +50,76 @@ def _listed(value) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
 
-def _bank(value, column: str) -> Column:
+def _bank(value) -> Column:
     if value == "All":
         return F.lit(True)
     if isinstance(value, str) and value.startswith("!"):
-        return _text(column) != value[1:]
-    return _text(column).isin(*_listed(value))
+        return _text("bank") != value[1:]
+    return _text("bank").isin(*_listed(value))
 
 
-def _starts(column: str) -> Callable:
-    return lambda value: _any([_text(column).startswith(v) for v in value])
+def _starts(field: str) -> Callable:
+    return lambda value: _any([_text(field).startswith(v) for v in value])
 
 
-def _contains(column: str) -> Callable:
-    return lambda value: _any([_text(column).contains(v.upper()) for v in value])
+def _contains(field: str) -> Callable:
+    return lambda value: _any([_text(field).contains(v.upper()) for v in value])
+
+
+TESTS: dict[str, Callable] = {
+    "bank": _bank,
+    "flow": lambda v: F.lit(True) if v == "both" else _text("flow") == v.upper(),
+    "country": lambda v: _text("country") == v,
+    "purposePrefix": _starts("purpose"),
+    "purposeEquals": lambda v: _text("purpose").isin(*v),
+    "sectorPrefix": _starts("sector"),
+    "nameContains": _contains("name"),
+    "remarkContains": _contains("remark"),
+    "anyOf": lambda v: _any([condition(option) for option in v]),
+}
 
 
-def condition(rule: dict, fields: dict[str, str] = FIELDS) -> Column:
+def condition(rule: dict) -> Column:
     """All conditions of a rule together; a rule without any holds for every row."""
-    tests = {
-        "bank": lambda v: _bank(v, fields["bank"]),
-        "flow": lambda v: F.lit(True) if v == "both" else F.col(fields["flow"]) == v,
-        "country": lambda v: _text(fields["country"]) == v,
-        "purposePrefix": _starts(fields["purpose"]),
-        "purposeEquals": lambda v: _text(fields["purpose"]).isin(*v),
-        "sectorPrefix": _starts(fields["sector"]),
-        "nameContains": _contains(fields["name"]),
-        "remarkContains": _contains(fields["remark"]),
-        "anyOf": lambda v: _any([condition(option, fields) for option in v]),
-    }
     holds = F.lit(True)
-    for key, test in tests.items():
+    for key, test in TESTS.items():
         if key in rule:
             holds = holds & test(rule[key])
-    return F.coalesce(holds, F.lit(False))
+    return holds
 
 
 def compile_rules(
     rules: Sequence[dict], outcome: Callable[[dict], Column], default: Column | None = None,
-    fields: dict[str, str] = FIELDS,
 ) -> Column:
-    """First match wins; without a match ``default``."""
+    """First match wins; without a match ``default``. To be evaluated by ``decide``."""
     chain = None
     for rule in rules:
-        holds, value = condition(rule, fields), outcome(rule)
+        holds, value = condition(rule), outcome(rule)
         chain = F.when(holds, value) if chain is None else chain.when(holds, value)
     return chain if default is None else chain.otherwise(default)
 
 
-def rule_hit(rules: Sequence[dict], name: str = "id") -> Column:
+def rule_hit(df: DataFrame, rules: Sequence[dict], name: str = "rule") -> DataFrame:
     """Which rule decided a row."""
-    return compile_rules(rules, lambda rule: F.lit(rule[name]))
+    return decide(df, name, compile_rules(rules, lambda rule: F.lit(rule["id"])))
 
 
 def purpose_transform(df: DataFrame, rules: Sequence[dict] = R.PURPOSE_RULES) -> DataFrame:
     """``final_purpose``: the filed purpose, kept or replaced."""
     outcome = lambda r: F.lit(r["to"]) if r["action"] == "set" else F.col("purpose")
-    return df.withColumn("final_purpose", compile_rules(rules, outcome, F.col("purpose")))
+    return decide(df, "final_purpose", compile_rules(rules, outcome, F.col("purpose")))
 
 
-def _final(purpose: str) -> dict[str, str]:
+def _reading(purpose: str) -> dict[str, str]:
     return {**FIELDS, "purpose": purpose}
 
 
 def m2_flag(df: DataFrame, purpose: str = "final_purpose") -> DataFrame:
     """Yes where forced, else No where a rule says so, else Yes."""
-    fields = _final(purpose)
-    forced = _any([condition(rule, fields) for rule in R.M2_FORCE_YES])
-    refused = _any([condition(rule, fields) for rule in R.M2_SET_NO])
+    forced = _any([condition(rule) for rule in R.M2_FORCE_YES])
+    refused = _any([condition(rule) for rule in R.M2_SET_NO])
     flag = F.when(forced, "Yes").when(refused, "No").otherwise("Yes")
-    return df.withColumn("m2_rule", flag)
+    return decide(df, "m2_rule", flag, _reading(purpose))
 
 
 def use_flag(
@@ -119,7 +132,7 @@ def use_flag(
             return F.lit(before)
         return F.concat(F.lit(before), _text("bank"), F.lit(after))
 
-    return df.withColumn("use_rule", compile_rules(rules, outcome, fields=_final(purpose)))
+    return decide(df, "use_rule", compile_rules(rules, outcome), _reading(purpose))
 
 
 def apply_overrides(df: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -16,7 +16,16 @@ from remitra.operators import exceptions as X
 from remitra.operators.clean import clean, with_flow_use_ix
 from remitra.operators.dedup import dedup
 from remitra.operators.fact import Dims, build_dims
-from remitra.session import stage, stage_all
+from remitra.session import side_by_side, stage, stage_all
+
+
+# Each level needs only the ones before it.
+LEVELS = [
+    ["tx_all"],
+    ["tx", "tiers"],
+    ["base", "day", "medians", "fx_medians", "day_entity", "totals"],
+    ["dims", "keep"],
+]
 
 
 @dataclass
@@ -161,7 +170,13 @@ class Build:
             "all_names": E.all_names(self.totals),
         }
 
+    def prepare(self) -> None:
+        """Write the shared intermediates, those that do not wait for each other side by side."""
+        for level in LEVELS:
+            side_by_side(self.raw.sparkSession, {n: lambda n=n: getattr(self, n) for n in level})
+
     def tables(self) -> dict[str, DataFrame]:
+        self.prepare()
         return {
             **self.dimension_tables(), **self.cubes(), **self.exceptions(), **self.entities()
         }

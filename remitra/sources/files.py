@@ -74,13 +74,19 @@ def read_parquet_canonical(spark: SparkSession, paths: Sequence[str]) -> DataFra
     return union_by_name([_canonical(spark.read.parquet(*group)) for group in layouts.values()])
 
 
-def read_csv_canonical(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """CSV extracts with a header. All text is read as text and then cast, without an inference pass."""
+def read_csv_canonical(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool = True,
+) -> DataFrame:
+    """CSV extracts with a header. All text is read as text and then cast, without an inference pass.
+
+    Quoted cells may hold line breaks, for which a file is read as a whole. Pass
+    ``multi_line=False`` for large files known to have none: they are then split.
+    """
     frames = []
     for path in paths:
         # Columns go by their header, which may differ from file to file.
         df = spark.read.csv(
-            path, header=True, inferSchema=False, multiLine=False, escape='"',
+            path, header=True, inferSchema=False, multiLine=multi_line, escape='"',
             ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
         )
         frames.append(_canonical(df))

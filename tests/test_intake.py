@@ -38,7 +38,7 @@ def extracts(tmp_path):
         "Use": pa.array([None], pa.null()), "Extra": [7],
     }), tmp_path / "Receive" / "R_2024.parquet")
     (tmp_path / "Payment" / "P_2023.csv").write_text(
-        'Hash_ID,Banks,Date_of_Transaction,Amount_USD\nc1," b ",2023-05-06 07:08:09,12.5\nc2,,bad,x\n'
+        'Hash_ID,Banks,Date_of_Transaction,Amount_USD\nc1," b ",2023-05-06 07:08:09,12.5\nc2,,bad,x\nc3,"two\nlines",bad,1\n'
     )
     for name in ("~$P_2023.csv", "notes.txt", "nested/P_1999.parquet"):
         (tmp_path / "Payment" / name).write_text("x")
@@ -59,6 +59,7 @@ def test_union_of_awkward_files(spark, extracts):
     assert rows["n1"]["Use"] == "Yes" and rows["e1"]["Use"] is None and rows["e1"]["Extra"] == "7"
     assert rows["n1"]["RecipientName_ AccountNumber"] == "x"
     assert rows["c1"]["Amount_USD"] == 12.5 and rows["c2"]["Date_of_Transaction"] is None
+    assert rows["c3"]["Banks"] == "two\nlines" and rows["c3"]["Amount_USD"] == 1.0
     assert {r["_flow"] for r in rows.values()} == {"Payment", "Receive"}
     tx = {r["Hash_ID"]: r for r in clean(raw).collect()}
     assert set(tx) == {"n1", "e1", "c1"}

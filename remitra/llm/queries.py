@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitra.llm import circulant, fuzzylines, packing, repair, voronoi
+from remitra.llm import circulant, crf, fertility, fuzzylines, hmm, mixing, ordinal, packing, repair, voronoi
 from remitra.llm.common import table
 from remitra.session import shared_dir
 
@@ -37,13 +37,55 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"))
+
+
+#: Shares of tokens by domain.
+TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
+def op7_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return ordinal.severity(table(spark, sf_dir, "documents"), labels)
+
+
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = crf.fit(docs.filter(~held_out))
+    return crf.label(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fuzzylines.drop_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op10_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op2_token_files, op3_near_duplicates, op4_top_k, op9_fuzzy_lines)
+    f.__name__: f
+    for f in (
+        op1_pack, op2_token_files, op3_near_duplicates, op4_top_k, op5_fertility, op6_mixing, op7_severity, op8_language, op9_fuzzy_lines,
+        op10_likelihood,
+    )
 }
 
 ORACLES: dict[str, str] = {

@@ -22,7 +22,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitra.llm.common import if_small, staged, words_of
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = staged(classes, "classes")
     shared = staged(shared_buckets(classes.select(F.explode("bands").alias("bucket"), "node")), "shared")
     marks = classes.select(F.col("node").alias("_node"), "mark")
-    members = staged(shared.join(marks, F.col("node") == F.col("_node")).select("bucket", "node", "mark"), "members")
+    members = staged(shared.join(if_small(marks), F.col("node") == F.col("_node")).select("bucket", "node", "mark"), "members")
     wanted = members.select("node").distinct()
     wanted = staged(
         classes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("class").alias("_class")),
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     keys = wanted.select(F.col("node").alias("_node"), "_class")
     sets = staged(
-        sets.join(keys, (F.col("node") == F.col("_node")) & (F.col("found") == F.col("_class"))).select("node", "shingles").dropDuplicates(["node"]),
+        sets.join(if_small(keys), (F.col("node") == F.col("_node")) & (F.col("found") == F.col("_class"))).select("node", "shingles").dropDuplicates(["node"]),
         "sets",
     )
 
@@ -171,7 +171,26 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         ).select("a", "b")
 
     small, large = F.least, F.greatest
-    roots = grouped_by_links(members, lambda m, n: 100 * small(m, n) >= percent * large(m, n), confirmed)
+
+    def shared_shingles(nodes: DataFrame) -> DataFrame:
+        """A node's set size and how many of its shingles any other of ``nodes`` has, in one number."""
+        own = staged(sets.join(if_small(staged(nodes, "left")), "node", "left_semi").select("node", F.size("shingles").alias("n"), "shingles"), "left")
+        each = own.select("node", F.explode("shingles").alias("s"))
+        common = each.groupBy(F.col("s").alias("_s")).agg(F.min("node").alias("_l"), F.max("node").alias("_h")).filter("_l < _h").select("_s")
+        held = each.join(common, F.col("s") == F.col("_s")).groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("held"))
+        return own.join(held, F.col("node") == F.col("_node"), "left").select(
+            "node", (F.col("n").cast("long") * (1 << 31) + F.coalesce("held", F.lit(0))).alias("mark")
+        )
+
+    def may_share(m: Column, n: Column) -> Column:
+        """Whether what both sets share with others would be enough."""
+        part = 1 << 31
+        most = small(m % part, n % part)
+        return 100 * most >= percent * (F.floor(m / part) + F.floor(n / part) - most)
+
+    roots = grouped_by_links(
+        members, lambda m, n: 100 * small(m, n) >= percent * large(m, n), confirmed, sharper=(shared_shingles, may_share)
+    )
     of_class = classes.select("node", "class", F.col("doc_id").alias("_doc")).join(roots, "node", "left")
     of_class = staged(of_class.select(F.col("class").alias("_class"), "_doc", F.coalesce("root", "node").alias("root")), "rooted")
     least = of_class.groupBy("root").agg(F.min("_doc").alias("component"))

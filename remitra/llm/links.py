@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitra.llm.common import staged
+from remitra.llm.common import if_small, staged
 
 STAR_ROUNDS = 3
 
@@ -25,7 +25,7 @@ def connected(links: DataFrame) -> DataFrame:
             pairs = pairs.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = staged(pairs.groupBy(F.col("x").alias("_x")).agg(F.min("y").alias("_m")), "least")
         low = F.least("_x", "_m")
-        near = pairs.join(least, F.col("x") == F.col("_x"))
+        near = pairs.join(if_small(least), F.col("x") == F.col("_x"))
         if large:
             return near.filter("y > x").select(F.col("y").alias("u"), low.alias("v")).filter("u > v").distinct()
         down = near.select(F.col("y").alias("u"), low.alias("v"))
@@ -59,48 +59,59 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 def grouped_by_links(
     members: DataFrame, fits: Callable[[Column, Column], Column], confirmed: Callable[[DataFrame], DataFrame],
-    rounds: int = STAR_ROUNDS,
+    rounds: int = STAR_ROUNDS, sharper: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame:
     """(node, root) of the groups that confirmed links between nodes of one bucket form.
 
     ``members`` has bucket, node and mark; ``fits`` tells by two marks whether a
     pair can be linked at all, ``confirmed`` keeps the linked ones of (a, b).
 
-    Each round compares one member of every bucket with the others, which is
-    linear in the size of the bucket, and takes it out. Buckets that have become
-    one group are done. What a bucket still holds of different groups after the
-    last round is compared in full, so no link is lost; for groups of copies of
-    any size that is next to nothing, since a common member has joined them.
+    Each round compares one member of every bucket, that with the most buckets,
+    with the others, which is linear in the size of the bucket, and takes it
+    out. Buckets that have become one group are done. What a bucket still holds
+    of different groups after the last round is compared in full, so no link is
+    lost. ``sharper`` may give new marks to the nodes that are left, and a
+    condition on those, that rules out pairs which ``fits`` alone does not.
     """
-    links, left = None, members.select("bucket", "node", "mark", F.col("node").alias("group"))
+    seen = members.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("weight"))
+    members = staged(members.join(if_small(staged(seen, "seen")), F.col("node") == F.col("_node")).drop("_node"), "members")
+    links, left = None, members.select("bucket", "node", "mark", "weight", F.col("node").alias("group"))
     for turn in range(rounds):
-        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("mark"), F.col("group")))
+        first = F.min(F.struct((-F.col("weight")).alias("w"), F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("mark"), F.col("group")))
         heads = staged(
             left.groupBy(F.col("bucket").alias("_bucket")).agg(first.alias("_f"))
             .select("_bucket", F.col("_f.node").alias("_node"), F.col("_f.mark").alias("_mark"), F.col("_f.group").alias("_group")),
             "heads",
         )
-        star = left.join(heads, F.col("bucket") == F.col("_bucket"))
+        star = left.join(if_small(heads), F.col("bucket") == F.col("_bucket"))
         pairs = (
             star.filter((F.col("group") != F.col("_group")) & fits(F.col("mark"), F.col("_mark")))
             .select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         )
-        found = confirmed(pairs)
-        links = staged(found if links is None else links.unionByName(found), "confirmed")
-        roots = staged(connected(links), "roots")
+        found = staged(confirmed(pairs), "confirmed")
+        if links is None:
+            links, roots = found, staged(connected(found), "roots")
+        elif not found.isEmpty():
+            links = links.unionByName(found)
+            roots = staged(connected(links), "roots")
         rest = (
-            star.filter(F.col("node") != F.col("_node")).select("bucket", "node", "mark")
-            .join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-            .select("bucket", "node", "mark", F.coalesce("root", "node").alias("group"))
+            star.filter(F.col("node") != F.col("_node")).select("bucket", "node", "mark", "weight")
+            .join(if_small(roots.withColumnRenamed("node", "_n")), F.col("node") == F.col("_n"), "left")
+            .select("bucket", "node", "mark", "weight", F.coalesce("root", "node").alias("group"))
         )
         rest = staged(rest, "members")
         open_ = (
             rest.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("group").alias("_l"), F.max("group").alias("_h"))
             .filter("_l < _h").select("_bucket")
         )
-        left = staged(rest.join(open_, F.col("bucket") == F.col("_bucket"), "left_semi"), "members")
+        left = staged(rest.join(if_small(staged(open_, "open")), F.col("bucket") == F.col("_bucket"), "left_semi"), "members")
         if left.isEmpty():
             return roots
+    if sharper is not None:
+        again, fits = sharper
+        marks = again(left.select("node").distinct()).select(F.col("node").alias("_n"), F.col("mark").alias("_m"))
+        left = left.drop("mark").join(if_small(staged(marks, "marks")), F.col("node") == F.col("_n")).select("bucket", "node", "group", F.col("_m").alias("mark"))
+    left = left.select("bucket", "node", "mark", "group")
     other = left.select(*[F.col(c).alias(f"_{c}") for c in left.columns])
     pairs = (
         left.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("node") < F.col("_node"))

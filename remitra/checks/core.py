@@ -193,10 +193,10 @@ add("W4_dedup_report", lambda ws: W.dedup_report(ws.tx_all),
 add("W5_rank_by_usd",
     lambda ws: C.rank_by_usd(ws.tx, ws.dims).select(
         "year_ix", "flow_ix", "Hash_ID", "rn", numbers.r2(numbers.millions(F.col("tot"))).alias("tot_m")),
-    f"""SELECT year_ix, flow_ix, Hash_ID, CAST(rn AS INTEGER) AS rn, {r2('tot / 1e6')} AS tot_m FROM (
+    f"""SELECT year_ix, flow_ix, Hash_ID, rn, {r2('tot / 1e6')} AS tot_m FROM (
           SELECT year_ix, flow_ix, Hash_ID, sum(usd) OVER (PARTITION BY year_ix, flow_ix) AS tot,
             row_number() OVER (PARTITION BY year_ix, flow_ix ORDER BY usd DESC, Hash_ID) AS rn
-          FROM tx JOIN years USING (yr) WHERE usd > 0 AND use_ix = 1) WHERE rn <= 1000""")
+          FROM tx JOIN years USING (yr) WHERE usd > 0 AND use_ix = 1)""")
 
 _TOPS = f"""
 SELECT ix, t.kind, CAST(rn AS INTEGER) AS rn, t.val, pos AS val_ix, {r2('usd / 1e6')} AS usd_m FROM (

@@ -299,10 +299,10 @@ class Workspace(Build):
             F.lit("<p>2024-03-"), F.format_string("%02d", F.col("page_id").cast("int") % 28 + 1), F.lit("</p>"),
             F.lit("<TABLE border=1>"), row(text("No."), text("<b>BUY</b>"), text("SELL")),
             row(text("1"), text("USD 50-100"), text("US&nbsp;Dollar"), number(buy), number(buy + 100)),
-            row(text("2"), text("USD 5-20"), text("US Dollar"), number(buy - 50), number(buy + 150)),
+            row(text("2"), text("USD 5-20"), text("US&#xA0;Dollar"), number(buy - 50), number(buy + 150)),
             row(text("3"), text("THB"), text("Thai  Baht"), small("673.20"), small("686.07")),
             # A row number and one rate are two numbers, so they count as buy and sell.
-            row(text("4"), text("CNY"), text("Yuan"), number(F.lit(2900))),
+            row(text("4"), text("CNY"), text("Yu&#97;n &#8211; R&eacute;nminbi"), number(F.lit(2900))),
             row(text("EUR"), text("Euro"), number(F.lit(24000))),
             F.lit("</TABLE><table><tr><td>EUR</td><td>1</td><td>2</td></tr></table>"),
         )

@@ -65,6 +65,18 @@ add("S4_union_flows",
         "Hash_ID", "flow", "yr", "ym", "bank", "usd", "move_flag", "use_flag"),
     f"""SELECT t.Hash_ID, flow, yr, ym, bank, usd, use_flag,
           CASE WHEN year(tx_date) > 1997 THEN move_flag END AS move_flag FROM tx_all t""")
+def _rejected(ws):
+    """Filled cells that are no value of their column, among the CSV extracts."""
+    paths = _paths(ws, "Payment", ".csv") + _paths(ws, "Receive", ".csv")
+    wanted = F.col("field").isin("Date_of_Transaction", "Date_of_Submission", "Amount_USD")
+    return files.csv_rejects(ws.spark, paths).filter(wanted).groupBy("field").agg(
+        F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"))
+
+
+add("S12_rejects", _rejected,
+    f"""SELECT field, count(*) AS rows, CAST(0 AS BIGINT) AS rejected FROM raw,
+          (VALUES ('Date_of_Transaction'), ('Date_of_Submission'), ('Amount_USD')) AS f(field)
+        WHERE {_YEAR} > 2000 GROUP BY field""")
 add("U1_union_by_name",
     lambda ws: files.union_by_name([
         ws.raw.filter(f"_flow = '{flow}'").select("Hash_ID", "Banks", extra)
@@ -169,7 +181,7 @@ _SANE = f"{_BUY} >= 15000 AND {_BUY} + 100 <= 40000"
 _USD_THB = f"""SELECT page_id, 'USD' AS code, 'US Dollar' AS name, CAST({_BUY} AS DOUBLE) AS buy,
     CAST({_BUY} + 100 AS DOUBLE) AS sell, 1 AS row_no FROM pages
   UNION ALL SELECT page_id, 'THB', 'Thai Baht', 673.2, 686.07, 3 FROM pages
-  UNION ALL SELECT page_id, 'CNY', 'Yuan', 4, 2900, 4 FROM pages"""
+  UNION ALL SELECT page_id, 'CNY', 'Yuan – Rénminbi', 4, 2900, 4 FROM pages"""
 add("S10_write_rates", _published,
     f"""SELECT CAST(page_id AS VARCHAR) AS source, code, buy, sell FROM ({_USD_THB})
         WHERE {_SANE}""")
@@ -412,9 +424,18 @@ _SHOWN = ["Hash_ID", "Banks", "Date_of_Transaction", "Date_of_Submission", "Refe
 
 def _imported(ws):
     flow = files.direction_of(F.col("file"), F.col("sheet"))
-    return I.import_by_header(ws.cells, ws.raw, _official(ws), flow).select(*_SHOWN)
+    return I.import_by_header(ws.cells, ws.raw, _official(ws), flow, refuse=False).select(*_SHOWN)
 
 
+add("I22_import_rejects", lambda ws: I.import_report(ws.cells),
+    f"""SELECT file, 'Sheet1' AS sheet, outcome, count(*) AS n FROM (
+          SELECT {_XLSX} AS file, CASE WHEN {_UNDATED} THEN 'undated' WHEN {_CLEAN_BANK} IS NULL
+            THEN 'template' ELSE 'kept' END AS outcome FROM {_ROWS}
+          UNION ALL SELECT DISTINCT {_XLSX}, 'template' FROM {_ROWS}
+          UNION ALL SELECT DISTINCT {_XLSX}, 'heading' FROM {_ROWS}
+          UNION ALL SELECT DISTINCT concat({_XLSX}, ''), 'heading' FROM {_ROWS}
+          UNION ALL SELECT 'five_headers.xlsx', 'no_header' FROM {_ROWS} AND row_no % 100 = 11
+          UNION ALL SELECT DISTINCT 'five_headers.xlsx', 'no_header' FROM {_ROWS} AND row_no % 100 = 11) GROUP BY ALL""")
 _METHOD = f"""(SELECT canonical FROM ({_VOCAB}) v
   WHERE v.head = lower(trim(string_split(r.Transfer_Method, ':')[1])))"""
 _USUAL = f"coalesce((SELECT usual FROM ({_MODE}) m WHERE m.Pur_5 = {{code}}), 'Yes')"
@@ -467,7 +488,7 @@ UNION ALL SELECT page_id, 2, concat_ws('|', '2', 'USD 5-20', 'US Dollar',
   {_MONEY.format(f'({_BUY} - 50)')}, {_MONEY.format(f'({_BUY} + 150)')}) FROM pages
 UNION ALL SELECT page_id, 3, concat_ws('|', '3', 'THB', 'Thai Baht',
   {_SMALL.format('673.20')}, {_SMALL.format('686.07')}) FROM pages
-UNION ALL SELECT page_id, 4, concat_ws('|', '4', 'CNY', 'Yuan', {_MONEY.format('2900')}) FROM pages
+UNION ALL SELECT page_id, 4, concat_ws('|', '4', 'CNY', 'Yuan – Rénminbi', {_MONEY.format('2900')}) FROM pages
 UNION ALL SELECT page_id, 5, concat_ws('|', 'EUR', 'Euro', {_MONEY.format('24000')}) FROM pages"""
 add("K1_extract_rate_rows",
     lambda ws: _rows(ws).select("source", "style", "row_no", F.array_join("cells", "|").alias("cells")),

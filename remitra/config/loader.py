@@ -13,9 +13,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from remitra.config import values
 
-# A lookup above this many rows is not a lookup and is refused rather than shipped to every task.
-MAX_LOOKUP_ROWS = 10_000
-
 
 @dataclass
 class Config:
@@ -33,9 +30,6 @@ class Config:
 
     def __post_init__(self) -> None:
         self.report_lines = sorted(self.report_lines, key=lambda line: line[1])
-        for name, table in vars(self).items():
-            if len(table) > MAX_LOOKUP_ROWS:
-                raise ValueError(f"{name} has {len(table)} rows, more than {MAX_LOOKUP_ROWS}")
 
 
 def _read(folder: str, name: str, key: str):

@@ -18,7 +18,8 @@ from remitra.functions.text import is_missing
 from remitra.operators import fact as J
 from remitra.operators.fact import Dims
 from remitra.operators.names import only_real_names
-from remitra.operators.scale import list_position, top_k_per_group
+from remitra.operators.scale import list_position, running_total, top_k_per_group, value_bucket
+from remitra.session import stage
 
 FLOW_USE = ["flow_ix", "use_ix"]
 
@@ -162,6 +163,7 @@ def day_entity(
         .groupBy("ymd", *FLOW_USE, "raw_name").agg(F.sum("usd").alias("usd"))
         .filter(F.col("usd") >= least)
     )
+    totals = stage(totals, "entity_days")  # read twice: for the names, and to join them back
     named = only_real_names(totals, "raw_name", "name", block)
     return sums(named, ["ymd", "flow_ix", "name", "use_ix"])
 
@@ -270,13 +272,29 @@ def completeness(tx: DataFrame, dims: Dims) -> DataFrame:
     return J.join_years(counts, dims).drop("yr")
 
 
-def rank_by_usd(tx: DataFrame, dims: Dims, deepest: int = 1000) -> DataFrame:
+def _used(tx: DataFrame) -> DataFrame:
+    return tx.filter("usd > 0 AND use_ix = 1").select("yr", "flow_ix", "usd", "Hash_ID")
+
+
+def rank_by_usd(tx: DataFrame, dims: Dims) -> DataFrame:
+    """Rank of every used amount in its year and direction, with the group's total.
+
+    Amounts are ranked within bands of like size, and the counts of the bands add up.
+    """
+    order = [F.desc("usd"), F.col("Hash_ID").asc_nulls_last()]
+    keys = ["yr", "flow_ix"]
+    ranked = running_total(_used(tx), keys, value_bucket(F.col("usd")), order, F.lit(1), "rn")
+    totals = _used(tx).groupBy(*keys).agg(F.sum("usd").alias("tot"))
+    return J.join_years(ranked.join(totals, keys), dims).drop("yr")
+
+
+def largest_by_usd(tx: DataFrame, dims: Dims, deepest: int = 1000) -> DataFrame:
     """The ``deepest`` largest used amounts per year and direction, with the group's total.
 
     The total is aggregated apart, so the ranking can drop small amounts before
     the shuffle instead of sorting the whole group in one task.
     """
-    used = tx.filter("usd > 0 AND use_ix = 1").select("yr", "flow_ix", "usd", "Hash_ID")
+    used = _used(tx)
     order = [F.desc("usd"), F.col("Hash_ID").asc_nulls_last()]
     ranked = top_k_per_group(used, ["yr", "flow_ix"], order, deepest, spread_by="Hash_ID")
     totals = used.groupBy("yr", "flow_ix").agg(F.sum("usd").alias("tot"))
@@ -285,7 +303,7 @@ def rank_by_usd(tx: DataFrame, dims: Dims, deepest: int = 1000) -> DataFrame:
 
 def concentration(tx: DataFrame, dims: Dims) -> DataFrame:
     """Share of value held by the largest 10, 100 and 1000 transactions, in percent."""
-    ranked = rank_by_usd(tx, dims)
+    ranked = largest_by_usd(tx, dims)
     share = lambda k: r2(
         F.lit(100) * F.sum(F.when(F.col("rn") <= k, F.col("usd"))) / F.max("tot"), 2
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from remitra.config import values
-from remitra.operators.scale import running_total, with_group_size
+from remitra.operators.scale import even_slices, grouped, larger_groups, running_total, with_group_size
+from remitra.session import stage
 
 KEYS = ["bank", "flow", "ymd", "ref", "currency", "amt_orig"]
 
@@ -20,16 +21,18 @@ def identifies(ref: Column) -> Column:
 def rank_duplicates(tx_all: DataFrame) -> DataFrame:
     """``dup_rank`` of every row among its copies, by row id.
 
-    Ids are compared in slices of their first three characters, so copies that
-    make up a large share of all rows are ranked by many tasks.
+    A row without copies is first. The others are ranked in even slices of the
+    id, so copies that make up a large share of all rows are ranked by many tasks.
     """
     rows = tx_all.filter(identifies(F.col("ref")))
+    several = larger_groups(rows, KEYS, "_size")
+    sized = grouped(rows, KEYS).join(several, F.col("_group") == F.col("_match"), "left").drop("_group", "_match")
+    copies = stage(sized.filter("_size IS NOT NULL").drop("_size"), "copies")
     order = F.col("Hash_ID").asc_nulls_last()
-    ranked = running_total(
-        rows, KEYS, F.substring("Hash_ID", 1, 3), [order], F.lit(1), "dup_rank"
-    )
-    alone = tx_all.filter(~identifies(F.col("ref"))).withColumn("dup_rank", F.lit(1).cast("long"))
-    return ranked.unionByName(alone)
+    ranked = running_total(copies, KEYS, even_slices(copies, "Hash_ID"), [order], F.lit(1), "dup_rank")
+    first = lambda df: df.withColumn("dup_rank", F.lit(1).cast("long"))
+    alone = tx_all.filter(~identifies(F.col("ref")))
+    return ranked.unionByName(first(sized.filter("_size IS NULL").drop("_size"))).unionByName(first(alone))
 
 
 def dup_count(tx_all: DataFrame) -> DataFrame:

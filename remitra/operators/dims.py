@@ -59,8 +59,8 @@ def dim_countries(base: DataFrame, config: Config) -> DataFrame:
 def country_names(df: DataFrame, english: DataFrame, lao: DataFrame) -> DataFrame:
     """English name, else the code itself; Lao name where one is given."""
     return (
-        df.join(F.broadcast(english), "country", "left")
-        .join(F.broadcast(lao), "country", "left")
+        df.join(english, "country", "left")
+        .join(lao, "country", "left")
         .withColumn("name", F.coalesce("_en", "country"))
         .drop("_en")
     )
@@ -135,19 +135,15 @@ def report_line_for(codes: DataFrame, lines: DataFrame) -> DataFrame:
     declared = lines.select("line_ix", F.explode("codes").alias("prefix"))
     # Of two lines with the same prefix the first one wins.
     declared = declared.groupBy("prefix").agg(F.min("line_ix").alias("line_ix"))
-    rest = lines.agg(
-        F.coalesce(F.max(F.when(F.col("catch_all"), F.col("line_ix"))), F.max("line_ix"))
-        .alias("rest")
-    ).first()["rest"]
-    sizes = F.sequence(F.lit(1), F.length("code"))
+    # The empty prefix stands for the rest.
+    rest = lines.agg(F.coalesce(F.max(F.when(F.col("catch_all"), F.col("line_ix"))), F.max("line_ix")).alias("line_ix"))
+    declared = declared.unionByName(rest.select(F.lit("").alias("prefix"), "line_ix"))
+    sizes = F.sequence(F.lit(0), F.length("code"))
     prefixes = F.transform(sizes, lambda n: F.substring(F.col("code"), F.lit(1), n))
     best = F.max_by("line_ix", F.length("prefix"))
     return (
         codes.select("code", F.explode(prefixes).alias("prefix"))
-        .join(F.broadcast(declared), "prefix", "left")
-        .withColumn("prefix", F.when(F.col("line_ix").isNotNull(), F.col("prefix")))
-        .groupBy("code")
-        .agg(F.coalesce(best, F.lit(rest)).alias("line_ix"))
+        .join(declared, "prefix").groupBy("code").agg(best.alias("line_ix"))
     )
 
 
@@ -178,8 +174,8 @@ def dim_purposes(base: DataFrame, votes: DataFrame, config: Config) -> DataFrame
     named = (
         codes.join(lines, "code")
         .join(votes.select(F.col("pur5").alias("code"), F.col("name").alias("_voted")), "code", "left")
-        .join(F.broadcast(groups), "code", "left")
-        .join(F.broadcast(official), "code", "left")
+        .join(groups, "code", "left")
+        .join(official, "code", "left")
         .select(
             "code",
             F.coalesce(F.nullif("official_en", F.lit("")), "_group_en").alias("en"),

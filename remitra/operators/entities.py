@@ -32,7 +32,7 @@ def entity_sides(tx: DataFrame) -> DataFrame:
 def anti_blocklist(ent: DataFrame, blocklist: DataFrame) -> DataFrame:
     """Drop placeholder names. An anti join, since one NULL in NOT IN would drop every row."""
     return ent.join(
-        F.broadcast(blocklist), F.upper(zs_trim(F.col("nm"))) == F.col("blocked"), "left_anti"
+        blocklist, F.upper(zs_trim(F.col("nm"))) == F.col("blocked"), "left_anti"
     )
 
 

@@ -17,7 +17,7 @@ from remitra.functions.numbers import python_number, to_num
 from remitra.functions.text import clean_text, head_token, norm_header
 from remitra.operators.scale import top_k_per_group
 from remitra.schema import CANONICAL, MONEY_COLUMNS
-from remitra.session import stage
+from remitra.session import stage, stage_all
 
 SOURCE = ["file", "sheet"]
 ROW = [*SOURCE, "row_no"]
@@ -89,6 +89,23 @@ def map_headers(cells: DataFrame, maps: DataFrame) -> DataFrame:
     return rows.select(*ROW, *[_typed(f, cell(f), True) for f in HEADER_FIELDS])
 
 
+def map_book(cells: DataFrame) -> DataFrame:
+    """Rows of both sheets of the positional workbook in one scan."""
+    by_field: dict[str, list[tuple[str, int]]] = {}
+    for sheet, own in H.SHEET_POSITIONS.items():
+        for position, field in {**H.COMMON_POSITIONS, **own}.items():
+            by_field.setdefault(field, []).append((sheet, position))
+    rows = cells.filter(F.col("sheet").isin(*H.SHEET_POSITIONS) & (F.col("row_no") > 1))
+
+    def cell(places: list[tuple[str, int]]) -> Column:
+        where = F.lit(None).cast("int")
+        for sheet, position in places:
+            where = F.when(F.col("sheet") == sheet, position).otherwise(where)
+        return F.get("cells", where)
+
+    return rows.select(*ROW, *[_typed(f, cell(places), False) for f, places in by_field.items()])
+
+
 def map_positions(cells: DataFrame, sheet: str) -> DataFrame:
     """Rows of one sheet of the positional workbook; the two sheets differ in columns H to L."""
     positions = {**H.COMMON_POSITIONS, **H.SHEET_POSITIONS[sheet]}
@@ -137,7 +154,7 @@ def derive_purpose(df: DataFrame, source: str = "Purpose_Code", keep_pur2: bool
 
 def purpose_name(df: DataFrame, names: DataFrame, keep_filed: bool = True) -> DataFrame:
     """The filed name if there is one, else the official Lao name of the six-character code."""
-    official = F.broadcast(names.select(F.col("code").alias("Pur_5"), "official_lo"))
+    official = names.select(F.col("code").alias("Pur_5"), "official_lo")
     df = df.join(official, "Pur_5", "left")
     name = F.coalesce("Purpose_Name", "official_lo") if keep_filed else F.col("official_lo")
     return df.withColumn("Purpose_Name", name).drop("official_lo")
@@ -161,14 +178,21 @@ def canon_method(df: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
+def history_counts(history: DataFrame) -> DataFrame:
+    """Distinct combinations of what the vocabularies read, with their number: one scan serves both."""
+    return history.groupBy("Transfer_Method", "Pur_5", "Move_Fund").agg(F.count("*").alias("rows"))
+
+
 def move_fund_map(history: DataFrame) -> DataFrame:
     """The most frequent flag of each code; of equally frequent ones the lower.
 
-    Counted first, so no task holds the values of a code.
+    Counted first, so no task holds the values of a code. ``history`` may be
+    its rows or their ``history_counts``.
     """
+    weight = F.sum("rows") if "rows" in history.columns else F.count("*")
     votes = (
         history.filter("Pur_5 IS NOT NULL AND Move_Fund IS NOT NULL")
-        .groupBy("Pur_5", "Move_Fund").agg(F.count("*").alias("votes"))
+        .groupBy("Pur_5", "Move_Fund").agg(weight.alias("votes"))
     )
     best = top_k_per_group(votes, ["Pur_5"], [F.desc("votes"), F.col("Move_Fund")], 1)
     return best.select("Pur_5", F.col("Move_Fund").alias("usual"))
@@ -191,6 +215,12 @@ def stamp(df: DataFrame, flow: Column, file: Column) -> DataFrame:
     })
 
 
+def _date_text(c: Column) -> Column:
+    """To the second, with six more digits where there is a fraction of one."""
+    whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.when(c == F.date_trunc("second", c), whole).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def hash_id(df: DataFrame, with_file: bool = True) -> DataFrame:
     """Row id from origin and content. The row number keeps genuine repeats apart."""
     text = lambda c: F.coalesce(c, F.lit("None"))
@@ -199,7 +229,7 @@ def hash_id(df: DataFrame, with_file: bool = True) -> DataFrame:
         parts.append(F.col("file"))
     parts += [
         F.col("row_no").cast("string"), F.col("Banks"), F.col("Reference_Number"),
-        F.date_format("Date_of_Transaction", "yyyy-MM-dd HH:mm:ss"),
+        _date_text(F.col("Date_of_Transaction")),
         python_number(F.col("Amount_Transferred")), F.col("Currency_Code"), F.col("Purpose_Code"),
     ]
     joined = F.concat_ws("|", *[text(p) for p in parts])
@@ -215,16 +245,55 @@ def conform(df: DataFrame) -> DataFrame:
     ])
 
 
+def _vocabularies(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    counts = stage(history_counts(history), "history")
+    made = stage_all(history.sparkSession, {
+        "method_vocab": lambda: method_vocab(counts), "move_fund": lambda: move_fund_map(counts),
+    })
+    return made["method_vocab"], made["move_fund"]
+
+
+def _located(cells: DataFrame) -> DataFrame:
+    """Staged column maps of all sheets with a header row."""
+    known = stage(known_headers(cells), "headers")
+    return stage(column_maps(resolve_columns(known, find_header_row(known))), "column_maps")
+
+
+def import_report(cells: DataFrame, low: date | None = None, high: date | None = None) -> DataFrame:
+    """What becomes of every row of a header-matched import, as counts that add up to the rows read.
+
+    Rows of a sheet without a header row are ``no_header``, those down to the
+    header row ``heading``; for the rest see ``skip_reason``.
+    """
+    maps = _located(cells)
+    rows = cells.join(maps, SOURCE, "left")
+    cell = lambda f: _typed(f, F.get("cells", F.col(f"`at {f}`")), True)
+    rows = rows.select(*ROW, "header_row", cell("Banks"), cell("Date_of_Transaction"))
+    outcome = (
+        F.when(F.col("header_row").isNull(), "no_header")
+        .when(F.col("row_no") <= F.col("header_row"), "heading")
+        .otherwise(F.coalesce(skip_reason(F.col("Banks"), F.col("Date_of_Transaction"), low, high), F.lit("kept")))
+    )
+    return rows.groupBy(*SOURCE, outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def import_by_header(
-    cells: DataFrame, history: DataFrame, purpose_names: DataFrame, flow: Column,
+    cells: DataFrame, history: DataFrame, purpose_names: DataFrame, flow: Column, refuse: bool = True,
 ) -> DataFrame:
-    """Extracts whose columns are found by their headers, whatever their order."""
-    known = stage(known_headers(cells), "headers")
-    columns = resolve_columns(known, find_header_row(known))
-    rows = filter_rows(map_headers(cells, stage(column_maps(columns), "column_maps")))
+    """Extracts whose columns are found by their headers, whatever their order.
+
+    A sheet without a header row stops the import. Pass ``refuse=False`` to go
+    on without it; ``import_report`` then tells how many rows that leaves out.
+    """
+    maps = _located(cells)
+    if refuse:
+        lost = refused_files(cells, maps.select(*SOURCE)).orderBy(*SOURCE).take(20)
+        if lost:
+            raise ValueError("no header row in " + ", ".join(f"{r.file} [{r.sheet}]" for r in lost))
+    vocab, usual = _vocabularies(history)
+    rows = filter_rows(map_headers(cells, maps))
     df = purpose_name(derive_purpose(rows), purpose_names)
-    df = canon_method(df, stage(method_vocab(history), "method_vocab"))
-    df = apply_move_fund(df, stage(move_fund_map(history), "move_fund"))
+    df = apply_move_fund(canon_method(df, vocab), usual)
     # Use and M2 are not in this export and stay NULL for the rules to fill.
     return conform(hash_id(stamp(df, flow, F.col("file"))))
 
@@ -233,14 +302,11 @@ def import_by_position(
     cells: DataFrame, history: DataFrame, purpose_names: DataFrame, low: date, high: date,
 ) -> DataFrame:
     """Both sheets of the positional workbook, within an inclusive range of dates."""
-    vocab = stage(method_vocab(history), "method_vocab")
-    usual = stage(move_fund_map(history), "move_fund")
-    done = None
-    for sheet, flow in H.SHEET_FLOW.items():
-        rows = filter_rows(map_positions(cells, sheet), low, high)
-        df = derive_purpose(rows, "Code_New_Confirm", keep_pur2=True)
-        df = purpose_name(df, purpose_names, keep_filed=False)
-        df = apply_move_fund(canon_method(df, vocab), usual)
-        df = conform(hash_id(stamp(df, F.lit(flow), F.col("file")), with_file=False))
-        done = df if done is None else done.unionByName(df)
-    return done
+    vocab, usual = _vocabularies(history)
+    flow = F.lit(None).cast("string")
+    for sheet, name in H.SHEET_FLOW.items():
+        flow = F.when(F.col("sheet") == sheet, name).otherwise(flow)
+    df = derive_purpose(filter_rows(map_book(cells), low, high), "Code_New_Confirm", keep_pur2=True)
+    df = purpose_name(df, purpose_names, keep_filed=False)
+    df = apply_move_fund(canon_method(df, vocab), usual)
+    return conform(hash_id(stamp(df, flow, F.col("file")), with_file=False))

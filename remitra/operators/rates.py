@@ -1,20 +1,24 @@
-"""Exchange rates out of captured web pages, by JVM string functions alone."""
+"""Exchange rates out of captured web pages.
+
+JVM string functions throughout, but for character references, which Python's
+own table decodes in Arrow batches.
+"""
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from remitra.config import values
 from remitra.functions.numbers import num_en, num_eu
 from remitra.functions.text import collapse
 from remitra.operators.scale import top_k_per_group
 
-# HTML character references decoded in table cells; the ampersand comes last.
-ENTITIES = [
-    ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"),
-    ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"),
-]
 DATE_PATTERNS = [r"\d{4}-\d{2}-\d{2}", r"\d{1,2}-\d{1,2}-\d{4}", r"\d{1,2}/\d{1,2}/\d{4}"]
 
 
@@ -22,22 +26,20 @@ def _inner(c: Column, tag: str) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
 
 
-def _unescape(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescaped(rows: pd.Series) -> pd.Series:
+    """Named and numeric character references of cells, decoded."""
+    return rows.map(lambda cells: None if cells is None else [unescape(c) if "&" in c else c for c in cells])
 
 
-def extract_rate_rows(pages: DataFrame) -> DataFrame:
-    """Rows of the first table of each page: text of the non-empty cells, with its position."""
+def extract_rate_rows(pages: DataFrame, *carried: Column) -> DataFrame:
+    """Rows of the first table of each page: text of the non-empty cells, with its position; and columns carried along."""
     table = F.regexp_extract("html", r"(?is)<table[^>]*>(.*?)</table>", 1)
-    text = lambda c: collapse(_unescape(F.regexp_replace(c, "<[^>]+>", " ")))
-    cells = F.filter(F.transform(_inner(F.col("row"), "t[dh]"), text), lambda c: c != "")
-    return (
-        pages.select("source", "style", "html", F.posexplode(_inner(table, "tr")).alias("row_no", "row"))
-        .select("source", "style", "row_no", cells.alias("cells"))
-        .filter(F.size("cells") > 0)
-    )
+    bare = F.transform(_inner(F.col("row"), "t[dh]"), lambda c: F.regexp_replace(c, "<[^>]+>", " "))
+    rows = pages.select("source", "style", *carried, F.posexplode(_inner(table, "tr")).alias("row_no", "row"))
+    rows = rows.withColumn("cells", _unescaped(bare)).drop("row")
+    cells = F.filter(F.transform("cells", collapse), lambda c: c != "")
+    return rows.withColumn("cells", cells).filter(F.size("cells") > 0)
 
 
 def _code(c: Column) -> Column:
@@ -60,7 +62,7 @@ def parse_rate_row(rows: DataFrame) -> DataFrame:
         .withColumn("numbers", numbers.otherwise(F.col("found")))
         .filter("code IS NOT NULL AND size(numbers) >= 2")
         .select(
-            "source", "style", "row_no", "code", F.coalesce("label", "code").alias("name"),
+            *[c for c in rows.columns if c != "cells"], "code", F.coalesce("label", "code").alias("name"),
             F.get("numbers", F.lit(0)).alias("buy"), F.element_at("numbers", -1).alias("sell"),
         )
     )
@@ -82,15 +84,14 @@ def sane_sources(
     rates: DataFrame, low: float = values.PUBLISHED_USD_MIN, high: float = values.PUBLISHED_USD_MAX,
 ) -> DataFrame:
     """Sources whose dollar rate is plausible; the others are dropped whole."""
-    usd = rates.filter(F.col("code") == "USD")
-    sane = usd.filter(F.col("buy").between(low, high) & F.col("sell").between(low, high))
-    return rates.join(sane.select("source"), "source", "left_semi")
+    plausible = (F.col("code") == "USD") & F.col("buy").between(low, high) & F.col("sell").between(low, high)
+    of_source = W.partitionBy("source")  # a source lists some dozens of currencies
+    return rates.withColumn("_sane", F.max(plausible).over(of_source)).filter("_sane").drop("_sane")
 
 
 def rates_table(pages: DataFrame) -> DataFrame:
-    """All plausible rates, with the page's date."""
-    rates = sane_sources(first_per_currency(parse_rate_row(extract_rate_rows(pages))))
-    dates = pages.select("source", "url", page_date(F.col("html")).alias("date"))
-    return rates.join(dates, "source").select(
+    """All plausible rates, with the page's date, in one pass over the pages."""
+    rows = extract_rate_rows(pages, F.col("url"), page_date(F.col("html")).alias("date"))
+    return sane_sources(first_per_currency(parse_rate_row(rows))).select(
         "source", "date", "url", "code", "name", "buy", "sell"
     )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-HOT_KEYS = 1000
+from remitra.session import stage
+
 SLICES = 128
 
 
@@ -96,20 +97,37 @@ def exact_percentile(
     )
 
 
+def larger_groups(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Staged (``_match``, ``name``) of the groups with more than one row; counted on the map side first."""
+    sizes = grouped(df, keys).groupBy(F.col("_group").alias("_match")).agg(F.count("*").alias(name))
+    return stage(sizes.filter(F.col(name) > 1), "groups")
+
+
 def with_group_size(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Rows per group, attached to every row.
 
-    The thousand largest groups are matched by broadcast, which is a thousand
-    rows whatever the data; any other group then holds under a thousandth of
-    the rows, so the shuffle join that serves the rest has no hot key.
+    Only groups of more than one row are joined. They are a written table, so a
+    small one is broadcast by its size, and a large group of a shuffle join can be split.
+    """
+    sizes = larger_groups(df, keys, name)
+    return (
+        grouped(df, keys).join(sizes, F.col("_group") == F.col("_match"), "left")
+        .withColumn(name, F.coalesce(name, F.lit(1).cast("long"))).drop("_group", "_match")
+    )
+
+
+def even_slices(df: DataFrame, column: str, slices: int = SLICES) -> Column:
+    """Number of the slice that ``column`` falls in, ascending with it.
+
+    The boundaries are values of the table, picked by hash, so slices are about
+    even whatever the values look like; any boundaries give right results.
     """
-    df = grouped(df, keys)
-    sizes = df.groupBy(F.col("_group").alias("_match")).agg(F.count("*").alias(name))
-    hot = F.broadcast(sizes.orderBy(F.desc(name), "_match").limit(HOT_KEYS))
-    match = F.col("_group") == F.col("_match")
-    hot_rows = df.join(hot, match)
-    cold_rows = df.join(hot, match, "left_anti").join(sizes, match)
-    return hot_rows.unionByName(cold_rows).drop("_group", "_match")
+    spread = df.filter(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column), column)
+    bounds = sorted({r[0] for r in spread.limit(slices * 8).collect()})[::8]
+    if not bounds:
+        return F.lit(0)
+    # NULL is in no slice and comes last
+    return F.when(F.col(column).isNotNull(), F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))))
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

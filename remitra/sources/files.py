@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from remitra.config import headers as H
 from remitra.schema import CANONICAL
 
 DATA_SUFFIXES = (".parquet", ".csv")
+SHEET_SUFFIXES = (".xlsx", ".xlsm", ".xls")
 _TYPES = {f.name: f.dataType for f in CANONICAL}
 
 
@@ -33,14 +35,30 @@ def discover(spark: SparkSession, root: str, flow: str) -> list[str]:
     )
 
 
+def unread_files(spark: SparkSession, root: str) -> list[str]:
+    """Spreadsheets in the flow folders, which hold rows that no reader here decodes."""
+    jvm, found = spark.sparkContext._jvm, []
+    for flow in ("Payment", "Receive"):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{flow}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(folder):
+            found += [status.getPath() for status in fs.listStatus(folder)]
+    return sorted(
+        p.toString() for p in found if p.getName().lower().endswith(SHEET_SUFFIXES) and not p.getName().startswith("~$")
+    )
+
+
 def overlapping_stems(paths: Sequence[str]) -> list[str]:
     """Names present under more than one suffix, whose rows would count twice."""
     stems = [p.rsplit("/", 1)[-1].rsplit(".", 1)[0] for p in paths]
     return sorted({s for s in stems if stems.count(s) > 1})
 
 
-def _canonical(df: DataFrame) -> DataFrame:
-    """Every known column in its canonical type; unknown ones as text."""
+def _canonical(df: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
+    """Every known column in its canonical type; unknown ones as text.
+
+    Dates filed as text are ISO, or else in the first of ``date_formats`` that fits.
+    """
     columns = []
     for f in df.schema:
         c, wanted = F.col(f"`{f.name}`"), _TYPES.get(f.name, T.StringType())
@@ -48,7 +66,10 @@ def _canonical(df: DataFrame) -> DataFrame:
             # Nanoseconds, which Spark hands over as a number.
             c = F.timestamp_micros(F.expr(f"`{f.name}` div 1000")).cast(wanted)
         elif f.dataType != wanted:
+            filed = c
             c = c.try_cast(wanted) if isinstance(f.dataType, T.StringType) else c.cast(wanted)
+            if isinstance(f.dataType, T.StringType) and isinstance(wanted, T.TimestampNTZType):
+                c = F.coalesce(c, *[F.try_to_timestamp(filed, F.lit(x)).cast(wanted) for x in date_formats])
         columns.append(c.alias(f.name))
     return df.select(*columns)
 
@@ -74,39 +95,93 @@ def read_parquet_canonical(spark: SparkSession, paths: Sequence[str]) -> DataFra
     return union_by_name([_canonical(spark.read.parquet(*group)) for group in layouts.values()])
 
 
+def breaks_within_cells(spark: SparkSession, path: str) -> bool:
+    """Whether any cell of a CSV file goes on over a line break: a line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def _csv_text(spark: SparkSession, path: str, multi_line: bool | None) -> DataFrame:
+    if multi_line is None:
+        multi_line = breaks_within_cells(spark, path)
+    return spark.read.csv(
+        path, header=True, inferSchema=False, multiLine=multi_line, escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+
+
 def read_csv_canonical(
-    spark: SparkSession, paths: Sequence[str], multi_line: bool = True,
+    spark: SparkSession, paths: Sequence[str], multi_line: bool | None = None, date_formats: Sequence[str] = (),
 ) -> DataFrame:
     """CSV extracts with a header. All text is read as text and then cast, without an inference pass.
 
-    Quoted cells may hold line breaks, for which a file is read as a whole. Pass
-    ``multi_line=False`` for large files known to have none: they are then split.
+    A file in which quoted cells hold line breaks is read as a whole, any other
+    is split. Whether there are such cells is looked up in a pass over its lines
+    unless ``multi_line`` says so.
     """
-    frames = []
+    # Columns go by their header, which may differ from file to file.
+    return union_by_name([_canonical(_csv_text(spark, path, multi_line), date_formats) for path in paths])
+
+
+def csv_rejects(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool | None = None, date_formats: Sequence[str] = (),
+) -> DataFrame:
+    """(file, field, rows, rejected): cells of a typed column that are filled but hold no such value."""
+    whole = None
     for path in paths:
-        # Columns go by their header, which may differ from file to file.
-        df = spark.read.csv(
-            path, header=True, inferSchema=False, multiLine=multi_line, escape='"',
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        filed = _csv_text(spark, path, multi_line)
+        typed = [c for c in filed.columns if not isinstance(_TYPES.get(c, T.StringType()), T.StringType)]
+        both = _canonical(
+            filed.select("*", *[F.col(f"`{c}`").alias(f"filed {c}") for c in typed]), date_formats
+        )
+        lost = lambda c: F.count_if(F.col(f"`{c}`").isNull() & (F.trim(F.col(f"`filed {c}`")) != ""))
+        counts = F.array(*[F.struct(F.lit(c).alias("field"), lost(c).alias("rejected")) for c in typed])
+        part = both.agg(F.count("*").alias("rows"), counts.alias("x")).select(
+            F.lit(path.rsplit("/", 1)[-1]).alias("file"), "rows", F.inline("x")
         )
-        frames.append(_canonical(df))
-    return union_by_name(frames)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.select("file", "field", "rows", "rejected")
 
 
-def read_flow(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
+def read_flow(spark: SparkSession, paths: Sequence[str], date_formats: Sequence[str] = ()) -> DataFrame | None:
     frames = []
-    for suffix, reader in ((".parquet", read_parquet_canonical), (".csv", read_csv_canonical)):
-        group = [p for p in paths if p.lower().endswith(suffix)]
-        if group:
-            frames.append(reader(spark, group))
+    parquet = [p for p in paths if p.lower().endswith(".parquet")]
+    csv = [p for p in paths if p.lower().endswith(".csv")]
+    if parquet:
+        frames.append(read_parquet_canonical(spark, parquet))
+    if csv:
+        frames.append(read_csv_canonical(spark, csv, date_formats=date_formats))
     return union_by_name(frames) if frames else None
 
 
-def union_flows(spark: SparkSession, root: str) -> DataFrame:
-    """All extracts of both directions; the direction comes from the folder."""
+def refuse_losses(spark: SparkSession, root: str, found: dict[str, list[str]], date_formats: Sequence[str]) -> None:
+    unread = unread_files(spark, root)
+    if unread:
+        raise ValueError("spreadsheets are not read; convert or remove " + ", ".join(unread))
+    for flow, paths in found.items():
+        twice = overlapping_stems(paths)
+        if twice:
+            warnings.warn(f"{flow} holds {', '.join(twice)} in more than one format; their rows count twice", stacklevel=3)
+        csv = [p for p in paths if p.lower().endswith(".csv")]
+        if csv:
+            lost = csv_rejects(spark, csv, date_formats=date_formats).filter("field = 'Date_of_Transaction' AND rejected > 0").collect()
+            if lost:
+                raise ValueError("dates in no known format: " + ", ".join(f"{r.file} ({r.rejected} of {r.rows} rows)" for r in lost))
+
+
+def union_flows(spark: SparkSession, root: str, date_formats: Sequence[str] = (), strict: bool = True) -> DataFrame:
+    """All extracts of both directions; the direction comes from the folder.
+
+    Nothing is left out in silence: a spreadsheet, or a CSV date that no format
+    fits, is an error, and a name present in two formats a warning. With
+    ``strict=False`` the caller looks at ``unread_files`` and ``csv_rejects``.
+    """
+    found = {flow: discover(spark, root, flow) for flow in ("Payment", "Receive")}
+    if strict:
+        refuse_losses(spark, root, found, date_formats)
     frames = []
-    for flow in ("Payment", "Receive"):
-        df = read_flow(spark, discover(spark, root, flow))
+    for flow, paths in found.items():
+        df = read_flow(spark, paths, date_formats)
         if df is not None:
             frames.append(df.withColumn("_flow", F.lit(flow)))
     if not frames:

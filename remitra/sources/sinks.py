@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from remitra.operators.imports import conform
 from remitra.schema import CANONICAL
-from remitra.session import side_by_side
+from remitra.session import side_by_side, stage
 
 
 def write_year(df: DataFrame, path: str) -> None:
@@ -47,11 +47,13 @@ def write_payload(tables: dict[str, DataFrame], out: str, as_json: bool = False)
         for name, df in tables.items()
     })
     if as_json:
-        payload(tables).write.mode("overwrite").partitionBy("table").text(f"{out}/_pack")
+        written = {name: spark.read.schema(df.schema).parquet(f"{out}/{name}") for name, df in tables.items()}
+        payload(written).write.mode("overwrite").partitionBy("table").text(f"{out}/_pack")
 
 
 def write_rates(rates: DataFrame, path: str) -> bool:
     """Replace the published rates, unless no source could be read."""
+    rates = stage(rates, "rates")
     if rates.isEmpty():
         return False
     rates.write.mode("overwrite").json(path)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from remitra.config import values
-from remitra.config.loader import MAX_LOOKUP_ROWS, Config, load_config, report_line_frame
+from remitra.config.loader import Config, load_config, purpose_name_frame, report_line_frame
 from remitra.operators import imports as I
 from remitra.operators import rates as K
 from remitra.operators import rules as R
@@ -53,7 +53,7 @@ def test_discover(spark, extracts):
 
 
 def test_union_of_awkward_files(spark, extracts):
-    raw = files.union_flows(spark, extracts)
+    raw = files.union_flows(spark, extracts, strict=False)
     rows = {r["Hash_ID"]: r for r in raw.collect()}
     assert rows["n1"]["Date_of_Transaction"] == datetime(2025, 3, 1, 13, 45)
     assert rows["n1"]["Use"] == "Yes" and rows["e1"]["Use"] is None and rows["e1"]["Extra"] == "7"
@@ -66,6 +66,61 @@ def test_union_of_awkward_files(spark, extracts):
     assert tx["c1"]["bank"] == "b" and tx["c1"]["yr"] == 2023 and tx["c1"]["flow"] == "Payment"
 
 
+def test_nothing_is_lost_in_silence(spark, extracts, tmp_path):
+    with pytest.raises(ValueError, match=r"P_2023.csv \(2 of 3 rows\)"):
+        files.union_flows(spark, extracts)
+    paths = files.discover(spark, extracts, "Payment")
+    rejects = {r["field"]: (r["rows"], r["rejected"]) for r in files.csv_rejects(spark, paths).collect()}
+    assert rejects == {"Date_of_Transaction": (3, 2), "Amount_USD": (3, 1)}
+    (tmp_path / "Payment" / "P_2023.csv").write_text("Hash_ID,Date_of_Transaction\nc1,31/12/2025\nc2,2025-12-30\n")
+    with pytest.raises(ValueError, match="no known format"):
+        files.union_flows(spark, extracts)
+    raw = files.union_flows(spark, extracts, date_formats=["dd/MM/yyyy"])
+    days = {r["Hash_ID"]: r["Date_of_Transaction"] for r in raw.collect()}
+    assert days["c1"] == datetime(2025, 12, 31) and days["c2"] == datetime(2025, 12, 30)
+    pq.write_table(pa.table({"Hash_ID": ["p"]}), tmp_path / "Payment" / "P_2023.parquet")
+    with pytest.warns(UserWarning, match="P_2023"):
+        files.union_flows(spark, extracts, date_formats=["dd/MM/yyyy"])
+    (tmp_path / "Payment" / "P_2022.xlsx").write_text("x")
+    with pytest.raises(ValueError, match="P_2022.xlsx"):
+        files.union_flows(spark, extracts)
+
+
+def test_csv_files_are_split_unless_cells_hold_line_breaks(spark, tmp_path):
+    lines = "\n".join(f'{k},"bank ""{k}"" x"' for k in range(20_000))
+    (tmp_path / "plain.csv").write_text(f"Hash_ID,Banks\n{lines}\n")
+    (tmp_path / "broken.csv").write_text(f'Hash_ID,Banks\n{lines}\nlast,"two\nlines"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        plain, broken = (files.read_csv_canonical(spark, [f"file://{tmp_path}/{n}.csv"]) for n in ("plain", "broken"))
+        assert plain.rdd.getNumPartitions() > 1 and broken.rdd.getNumPartitions() == 1
+        assert plain.count() == 20_000 and broken.count() == 20_001
+        assert broken.filter("Hash_ID = 'last'").first()["Banks"] == "two\nlines"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_an_unknown_header_stops_the_import(spark, ws):
+    flow = files.direction_of(F.col("file"), F.col("sheet"))
+    names = purpose_name_frame(spark, Config())
+    with pytest.raises(ValueError, match="five_headers.xlsx"):
+        I.import_by_header(ws.cells, ws.raw, names, flow)
+    report = I.import_report(ws.cells)
+    assert report.agg(F.sum("n")).first()[0] == ws.cells.count()
+
+
+def test_ids_keep_fractions_of_a_second(spark):
+    import hashlib
+
+    row = {"Flow": "Receive", "file": "f", "row_no": 7, "Banks": "B", "Reference_Number": None, "Amount_Transferred": 1.5,
+           "Currency_Code": "USD", "Purpose_Code": "01"}
+    for when in (datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 5, 60)):
+        df = spark.createDataFrame([(*row.values(), when)], "Flow string, file string, row_no long, Banks string, Reference_Number string,"
+                                   " Amount_Transferred double, Currency_Code string, Purpose_Code string, Date_of_Transaction timestamp_ntz")
+        text = f"Receive|f|7|B|None|{when}|1.5|USD|01"
+        assert I.hash_id(df).first()["Hash_ID"] == hashlib.sha1(text.encode()).hexdigest()[:24]
+
+
 def test_no_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.union_flows(spark, f"file://{tmp_path}")
@@ -103,8 +158,13 @@ def test_config_overrides(tmp_path):
     assert [line[0] for line in config.report_lines] == ["a", "b"]
     assert config.report_lines[1][2] == "financial"
     assert config.own_patterns == ["BANK"] and config.bank_aliases == values.BANK_ALIASES
-    with pytest.raises(ValueError):
-        Config(acronyms=["x"] * (MAX_LOOKUP_ROWS + 1))
+
+
+def test_large_lookups(spark):
+    names = {f"{k:06d}": {"lo": f"n{k}"} for k in range(20_000)}
+    official = purpose_name_frame(spark, Config(purpose_names=names))
+    df = spark.createDataFrame([("019999", None), ("999999", None)], "Pur_5 string, Purpose_Name string")
+    assert {r["Purpose_Name"] for r in I.purpose_name(df, official).collect()} == {"n19999", None}
 
 
 def test_longest_prefix(spark):
@@ -206,6 +266,16 @@ def test_implausible_dollar_rates_drop_their_source(spark):
     assert {r["source"] for r in K.sane_sources(rates).collect()} == {"a"}
 
 
+def test_character_references(spark):
+    cells = "<td>USD</td><td>US&#8211;Dollar &eacute;&#xA0;&amp;lt;</td><td>22,000</td><td>22,100</td>"
+    page = [("a", "en", "u", f"2024-01-02<table><tr>{cells}</tr></table>")]
+    df = spark.createDataFrame(page, "source string, style string, url string, html string")
+    row = K.rates_table(df).first()
+    assert (row["name"], row["buy"], row["sell"], row["date"]) == ("US\u2013Dollar \u00e9 &lt;", 22000.0, 22100.0, "2024-01-02")
+    plan = K.rates_table(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("Scan") == 1
+
+
 def test_published_rates_survive_an_empty_run(spark, tmp_path):
     rates = spark.createDataFrame([("a", "USD", 1.0)], "source string, code string, buy double")
     out = f"file://{tmp_path}/rates"

@@ -69,8 +69,7 @@ def test_median_needs_thirty_rows(spark):
     assert [(r["k"], r["n"], r["result"]) for r in got] == [("b", 30, 15.5)]
 
 
-def test_group_size_with_more_keys_than_the_hot_list(df, rows, monkeypatch):
-    monkeypatch.setattr(S, "HOT_KEYS", 3)
+def test_group_size(df, rows):
     got = S.with_group_size(df, ["k"], "c").collect()
     sizes = rows["k"].value_counts(dropna=False)
     expected = {i: sizes[k] if k is not None else rows["k"].isna().sum() for i, k in zip(rows["id"], rows["k"])}
@@ -78,6 +77,14 @@ def test_group_size_with_more_keys_than_the_hot_list(df, rows, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_even_slices_ascend(spark):
+    ids = [f"bank-2024-{k:05d}" for k in range(3000)]
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "id string")
+    got = [r[1] for r in df.select("id", S.even_slices(df, "id").alias("s")).orderBy("id").collect()][1:]
+    assert got == sorted(got) and len(set(got)) > 50
+    assert max(got.count(s) for s in set(got)) < 200
+
+
 def test_top_k_per_group_cuts_before_the_shuffle(df, rows):
     got = S.top_k_per_group(df, ["k"], [F.desc("x"), F.col("id")], 5)
     plan = got._jdf.queryExecution().executedPlan().toString()

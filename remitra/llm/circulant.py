@@ -144,9 +144,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         .select(F.monotonically_increasing_id().alias("node"), "class", "f.doc_id", "f.th", F.col("f.n_shingles").alias("mark"), "f.bands")
     )
     classes = staged(classes, "classes")
-    shared = staged(shared_buckets(classes.select(F.explode("bands").alias("bucket"), "node")), "shared")
-    marks = classes.select(F.col("node").alias("_node"), "mark")
-    members = staged(shared.join(if_small(marks), F.col("node") == F.col("_node")).select("bucket", "node", "mark"), "members")
+    members = staged(shared_buckets(classes.select(F.explode("bands").alias("bucket"), "node", "mark")), "members")
     wanted = members.select("node").distinct()
     wanted = staged(
         classes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("class").alias("_class")),

@@ -48,13 +48,13 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (bucket, node) whose bucket holds more than one node; one shuffle serves both sides."""
-    dealt = members.select("bucket", "node").repartition("bucket")
-    several = (
-        dealt.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("node").alias("_low"), F.max("node").alias("_high"))
-        .filter("_low < _high").select("_bucket")
-    )
-    return dealt.join(several, F.col("bucket") == F.col("_bucket"), "left_semi")
+    """The rows of ``members`` (bucket, node, ...) whose bucket holds more than one; a node is once in a bucket.
+
+    Only bucket numbers are shuffled, to be counted; few hold more than one node.
+    """
+    counts = members.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("_n"))
+    several = staged(counts.filter("_n > 1").select("_bucket"), "several")
+    return members.join(if_small(several), F.col("bucket") == F.col("_bucket"), "left_semi")
 
 
 def grouped_by_links(

@@ -26,7 +26,7 @@ def test_links_within_buckets(spark):
     near = lambda a, b: abs(a - b) <= 3
     want = grouped({n for _, n, _ in rows}, [(a, b) for x, a, m in rows for y, b, n in rows if x == y and a < b and near(m, n)])
     members = spark.createDataFrame(rows, "bucket long, node long, mark long")
-    shared = shared_buckets(members.select("bucket", "node"))
+    shared = shared_buckets(members)
     sizes = Counter(b for b, _, _ in rows)
     assert shared.count() == sum(n for n in sizes.values() if n > 1)
     got = {r.node: r.root for r in grouped_by_links(members, lambda m, n: F.abs(m - n) <= 3, lambda pairs: pairs).collect()}
@@ -94,7 +94,7 @@ def plain_simhash(norm):
     import xxhash
 
     words = norm.split(" ")
-    words = [w for w in words if len(w) >= 4] or [norm]
+    words = [w for w in words if len(w) >= 4] or ['____' + norm.replace(' ', '_')]
     hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
     return sum(1 << k for k in range(60) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 

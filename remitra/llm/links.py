@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from remitra.llm.common import if_small, staged
 
 STAR_ROUNDS = 3
+#: Rows that a task of the steps on links takes at least; a few links aren't dealt over as many tasks as a corpus.
+TASK_ROWS, LEAST_TASKS = 50_000, 6
+
+
+def _tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, whose rows are at most about ``rows``, in no more tasks than they need."""
+    return df.coalesce(max(LEAST_TASKS, rows // TASK_ROWS))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -23,7 +30,7 @@ def connected(links: DataFrame) -> DataFrame:
         pairs = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
         if large:
             pairs = pairs.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = staged(pairs.groupBy(F.col("x").alias("_x")).agg(F.min("y").alias("_m")), "least")
+        least = staged(_tasks(pairs.groupBy(F.col("x").alias("_x")).agg(F.min("y").alias("_m")), rows), "least")
         low = F.least("_x", "_m")
         near = pairs.join(if_small(least), F.col("x") == F.col("_x"))
         if large:
@@ -35,14 +42,14 @@ def connected(links: DataFrame) -> DataFrame:
     edges = staged(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links"
     )
-    state = None
+    state, rows = None, 0
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break
-        state = now
-        edges = staged(step(edges, True), "links")
-        edges = staged(step(edges, False), "links")
+        state, rows = now, now[0]
+        edges = staged(_tasks(step(edges, True), rows), "links")
+        edges = staged(_tasks(step(edges, False), rows), "links")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -75,12 +82,13 @@ def grouped_by_links(
     """
     seen = members.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("weight"))
     members = staged(members.join(if_small(staged(seen, "seen")), F.col("node") == F.col("_node")).drop("_node"), "members")
+    rows = members.count()
     links, left = None, members.select("bucket", "node", "mark", "weight", F.col("node").alias("group"))
     for turn in range(rounds):
         first = F.min(F.struct((-F.col("weight")).alias("w"), F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("mark"), F.col("group")))
-        heads = staged(
+        heads = staged(_tasks(
             left.groupBy(F.col("bucket").alias("_bucket")).agg(first.alias("_f"))
-            .select("_bucket", F.col("_f.node").alias("_node"), F.col("_f.mark").alias("_mark"), F.col("_f.group").alias("_group")),
+            .select("_bucket", F.col("_f.node").alias("_node"), F.col("_f.mark").alias("_mark"), F.col("_f.group").alias("_group")), rows),
             "heads",
         )
         star = left.join(if_small(heads), F.col("bucket") == F.col("_bucket"))
@@ -90,21 +98,21 @@ def grouped_by_links(
         )
         found = staged(confirmed(pairs), "confirmed")
         if links is None:
-            links, roots = found, staged(connected(found), "roots")
+            links, roots = found, staged(_tasks(connected(found), rows), "roots")
         elif not found.isEmpty():
             links = links.unionByName(found)
-            roots = staged(connected(links), "roots")
+            roots = staged(_tasks(connected(links), rows), "roots")
         rest = (
             star.filter(F.col("node") != F.col("_node")).select("bucket", "node", "mark", "weight")
             .join(if_small(roots.withColumnRenamed("node", "_n")), F.col("node") == F.col("_n"), "left")
             .select("bucket", "node", "mark", "weight", F.coalesce("root", "node").alias("group"))
         )
-        rest = staged(rest, "members")
+        rest = staged(_tasks(rest, rows), "members")
         open_ = (
             rest.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("group").alias("_l"), F.max("group").alias("_h"))
             .filter("_l < _h").select("_bucket")
         )
-        left = staged(rest.join(if_small(staged(open_, "open")), F.col("bucket") == F.col("_bucket"), "left_semi"), "members")
+        left = staged(rest.join(if_small(staged(_tasks(open_, rows), "open")), F.col("bucket") == F.col("_bucket"), "left_semi"), "members")
         if left.isEmpty():
             return roots
     if sharper is not None:
@@ -118,6 +126,6 @@ def grouped_by_links(
                   & (F.col("group") != F.col("_group")) & fits(F.col("mark"), F.col("_mark")))
         .select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
     )
-    return staged(connected(staged(links.unionByName(confirmed(pairs)), "confirmed")), "roots")
+    return staged(_tasks(connected(staged(links.unionByName(confirmed(pairs)), "confirmed")), rows), "roots")
 
 

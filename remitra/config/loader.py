@@ -124,6 +124,10 @@ def pairs_frame(spark: SparkSession, pairs: dict[str, str], schema: str) -> Data
     return _frame(spark, pairs.items(), schema)
 
 
+def list_frame(spark: SparkSession, items: list[str], column: str) -> DataFrame:
+    return _frame(spark, [(ix, item) for ix, item in enumerate(items)], f"{column}_ix int, {column} string")
+
+
 def purpose_name_frame(spark: SparkSession, config: Config) -> DataFrame:
     rows = [(c, n.get("lo"), n.get("en")) for c, n in config.purpose_names.items()]
     return _frame(spark, rows, "code string, official_lo string, official_en string")

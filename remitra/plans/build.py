@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from remitra.config import loader
 from remitra.config.loader import Config
 from remitra.config.rules import DUPLICATE_TIERS
 from remitra.operators import cubes as C
@@ -14,7 +15,7 @@ from remitra.operators import dims as D
 from remitra.operators import entities as E
 from remitra.operators import exceptions as X
 from remitra.operators.clean import clean, with_flow_use_ix
-from remitra.operators.dedup import dedup
+from remitra.operators.dedup import dedup, dedup_report
 from remitra.operators.fact import Dims, build_dims
 from remitra.session import side_by_side, stage, stage_all
 
@@ -64,6 +65,11 @@ class Build:
     def day_entity(self) -> DataFrame:
         return stage(C.day_entity(self.tx, self.config.blocklist), "day_entity")
 
+    @cached_property
+    def day_names(self) -> DataFrame:
+        """Names of the daily entity cube by position. Written, as the cube and the list both read it."""
+        return stage(C.big_entities(self.day_entity), "day_names")
+
     @cached_property
     def medians(self) -> DataFrame:
         return stage(X.currency_medians(self.tx), "medians")
@@ -109,9 +115,24 @@ class Build:
     def dimension_tables(self) -> dict[str, DataFrame]:
         return {f"dim_{name}": df for name, df in vars(self.dims).items()}
 
+    def static_tables(self) -> dict[str, DataFrame]:
+        """Declared lists that readers of the other tables need: labels, lines, bands and patterns."""
+        spark, config = self.raw.sparkSession, self.config
+        return {
+            "dim_groups": loader.pur2_frame(spark),
+            "dim_report_lines": loader.report_line_frame(spark, config),
+            "dim_goods": loader.goods_frame(spark),
+            "dim_size_bands": loader.size_band_frame(spark),
+            "dim_quality_fields": loader.quality_field_frame(spark),
+            "rate_bands": loader.rate_band_frame(spark),
+            "own_patterns": loader.list_frame(spark, config.own_patterns, "pattern"),
+            "initialisms": loader.list_frame(spark, config.acronyms, "token"),
+            "blocked_names": loader.list_frame(spark, config.blocklist, "name"),
+        }
+
     def cubes(self) -> dict[str, DataFrame]:
         base, day, tx, dims = self.base, self.day, self.tx, self.dims
-        names = C.big_entities(self.day_entity)
+        names = self.day_names
         return {
             "month": C.cube_month(base, dims),
             "country": C.cube_country(base, dims),
@@ -144,6 +165,8 @@ class Build:
             "goods_sides": C.goods_sides(base),
             "meta_totals": C.meta_totals(tx),
             "source_stats": C.source_stats(tx),
+            "day_entity_names": names,
+            "dedup_report": dedup_report(self.tx_all),
         }
 
     def exceptions(self) -> dict[str, DataFrame]:
@@ -178,5 +201,6 @@ class Build:
     def tables(self) -> dict[str, DataFrame]:
         self.prepare()
         return {
-            **self.dimension_tables(), **self.cubes(), **self.exceptions(), **self.entities()
+            **self.dimension_tables(), **self.static_tables(), **self.cubes(), **self.exceptions(),
+            **self.entities(),
         }

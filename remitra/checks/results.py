@@ -199,10 +199,20 @@ def _dup_rows(ws, tier):
     return X.dup_rows(ws.tiers[tier], DUPLICATE_TIERS[tier]["keys"], ws.dims)
 
 
+_EDGE = " .,-_/\"''"
+
+
+def _printed(column: str) -> str:
+    """Names without white space and marks at their ends."""
+    if column not in ("nm", "tr_name", "rc_name"):
+        return f"d.{column}"
+    return f"nullif(trim(regexp_replace(d.{column}, '[[:space:]]+', ' ', 'g'), '{_EDGE}'), '') AS {column}"
+
+
 for _tier, _detail in (("A", "ref, nm, country"), ("B", "tr_name, rc_name, country, pur5"),
                        ("C", "country, pur5")):
     _order = ", ".join(f"d.{k}" for k in DUPLICATE_TIERS[_tier]["keys"])
-    _shown = ", ".join(f"d.{c.strip()}" for c in _detail.split(","))
+    _shown = ", ".join(map(_printed, _detail.split(", ")))
     add(f"X11_dup_rows_{_tier.lower()}", lambda ws, t=_tier: _dup_rows(ws, t),
         f"""SELECT ymd, coalesce(bank_ix, -1) AS bank_ix,
               CASE WHEN flow = 'Payment' THEN 0 ELSE 1 END AS flow_ix,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from remitra.config import loader, values
 from remitra.config.rules import DUPLICATE_TIERS
 from remitra.functions.numbers import millions, r2
+from remitra.functions.text import clean_name
 from remitra.operators import fact as J
 from remitra.operators.clean import flow_ix
 from remitra.operators.fact import Dims
@@ -176,11 +177,12 @@ def dup_by_year_bank(groups: DataFrame, dims: Dims) -> DataFrame:
 def dup_rows(
     groups: DataFrame, keys: Sequence[str], dims: Dims, limit: int = values.EXCEPTION_LIMIT,
 ) -> DataFrame:
-    """The groups whose copies carry the most value."""
+    """The groups whose copies carry the most value, with names fit to print."""
     order = [excess().desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in keys]]
     detail = [c for c in groups.columns if c in ("ref", "nm", "country", "pur5", "tr_name", "rc_name")]
     return _with_positions(top_k(groups, order, limit), dims).select(
         "ymd", "bank_ix", flow_ix(F.col("flow")).alias("flow_ix"), "currency_ix",
         r2(F.col("amt_orig"), 2).alias("amt"), F.col("c").alias("n"),
-        r2(F.col("usd"), 2).alias("usd"), *detail,
+        r2(F.col("usd"), 2).alias("usd"),
+        *[clean_name(F.col(c)).alias(c) if c in ("nm", "tr_name", "rc_name") else F.col(c) for c in detail],
     )

@@ -107,9 +107,9 @@ class Build:
     @cached_property
     def entity_parts(self) -> E.EntityParts:
         return E.EntityParts(
-            keep=self.keep, by_year=E.entity_by_year(self.kept),
+            keep=self.keep, by_year=stage(E.entity_by_year(self.kept), "entity_by_year"),
             tops=stage(E.entity_tops(self.kept, self.dims), "entity_tops"),
-            tx=E.entity_tx(self.kept, self.dims),
+            tx=stage(E.entity_tx(self.kept, self.dims), "entity_tx"),
         )
 
     def dimension_tables(self) -> dict[str, DataFrame]:

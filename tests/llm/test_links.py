@@ -118,7 +118,7 @@ def plain_lines(rows):
     hashes = [plain_simhash(n) for n in lines]
     links = [
         (a, b) for i, a in enumerate(lines) for j, b in enumerate(lines[:i])
-        if (hashes[i] ^ hashes[j]).bit_count() <= 3 and 10 * edits(a, b) <= max(len(a), len(b))
+        if (hashes[i] ^ hashes[j]).bit_count() <= 3 and 10 * edits(a.split(), b.split()) <= max(len(a.split()), len(b.split()))
     ]
     group, seen, gone = grouped(lines, links), set(), set()
     for i, k, n in sorted(places, key=lambda p: p[:2]):

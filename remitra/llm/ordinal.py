@@ -1,7 +1,9 @@
 """Severity of toxic language by cumulative-link ordinal regression.
 
 A document's features are its distinct words, hashed; words are stripped of
-marks around them and lower-cased. One weight vector serves all grades:
+marks around them and lower-cased. A feature's value is the logarithm of its
+lift, how much more often graded documents hold it than others, shrunk so that
+rare words count little. One weight vector serves all grades:
 ``P(grade > k) = sigmoid(w x - t_k)`` with ascending thresholds, kept in order
 by fitting the logarithms of their distances. The gradient of the likelihood
 is summed over the partitions of the labelled rows, of which at most
@@ -29,11 +31,13 @@ from remitra.llm.training import adam
 
 FEATURES = 1 << 17
 TRAIN_ROWS = 20_000
-STEPS, RATE, PENALTY = 40, 0.15, 0.3
+STEPS, RATE, PENALTY, SHRINK = 40, 0.3, 0.3, 2.0
 #: A hashed word is strong if it is this many times as frequent in toxic documents, and in at least so many of them.
 STRONG_RATIO, STRONG_DOCS = 20.0, 5
 #: Strong words from which a toxic document has the upper grade.
 MANY_STRONG = 4
+#: Probability of a grade above 0 from which a document is flagged.
+FLAG = 0.25
 _MARKS = string.punctuation + "¡¿«»„“”‘’…–—"
 
 
@@ -102,18 +106,35 @@ def thresholds(model: dict[str, np.ndarray]) -> np.ndarray:
     return model["first"] + np.concatenate([[0.0], np.cumsum(np.exp(model["gaps"]))])
 
 
+def _lifts(vectors: DataFrame) -> np.ndarray:
+    """The value of each feature."""
+    def partial(batches):
+        out = {"hit": np.zeros(FEATURES), "n": np.zeros(FEATURES), "graded": np.zeros(2)}
+        for batch in batches:
+            found, ends = _rows(batch)
+            graded = batch.column(1).to_numpy() > 0
+            out["hit"] += np.bincount(found, weights=np.repeat(graded, np.diff(ends, prepend=0)), minlength=FEATURES)
+            out["n"] += np.bincount(found, minlength=FEATURES)
+            out["graded"] += [graded.sum(), len(graded)]
+        return out
+
+    got = summed(vectors, partial)
+    share = got["graded"][0] / max(got["graded"][1], 1)
+    return np.log((got["hit"] + SHRINK) / (got["n"] * share + SHRINK))
+
+
 def fit(vectors: DataFrame, grades: int, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> dict[str, np.ndarray]:
     """weights, first threshold and logarithms of the gaps for grades 0 to ``grades`` - 1."""
 
     def gradient(model):
-        cuts = thresholds(model)
+        cuts, by_feature = thresholds(model), model["weights"] * values
 
         def partial(batches):
             g = {"weights": np.zeros(FEATURES), "first": np.zeros(1), "gaps": np.zeros(grades - 2)}
             for batch in batches:
                 found, ends = _rows(batch)
                 y = np.clip(batch.column(1).to_numpy(), 0, grades - 1)
-                score = _sums(model["weights"], found, ends)
+                score = _sums(by_feature, found, ends)
                 above = np.concatenate([np.ones((len(y), 1)), _sigmoid(score[:, None] - cuts), np.zeros((len(y), 1))], axis=1)
                 upper, lower = above[np.arange(len(y)), y], above[np.arange(len(y)), y + 1]
                 p = np.maximum(upper - lower, 1e-12)
@@ -129,18 +150,19 @@ def fit(vectors: DataFrame, grades: int, steps: int = STEPS, rate: float = RATE,
             return g
 
         g = summed(vectors, partial)
-        g.setdefault("weights", np.zeros(FEATURES))
-        g["weights"] = g["weights"] + penalty * model["weights"]
+        g["weights"] = g["weights"] * values + penalty * model["weights"]
         return g
 
     start = {"weights": np.zeros(FEATURES), "first": np.array([2.0]), "gaps": np.zeros(grades - 2)}
     if vectors.isEmpty():
         return start | {"first": np.array([35.0])}
-    return adam(start, gradient, steps, rate)
+    values = _lifts(vectors)
+    model = adam(start, gradient, steps, rate, whole=True)
+    return model | {"weights": model["weights"] * values}
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, severity (expected grade), grade (the likeliest) and toxic (grade above 0 likelier than not)."""
+    """doc_id, severity (expected grade), grade (the likeliest) and toxic (a grade above 0 has at least the probability ``FLAG``)."""
     cuts = thresholds(model)
     shared = docs.sparkSession.sparkContext.broadcast(model["weights"].astype(np.float32))  # FEATURES numbers
 
@@ -150,7 +172,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             above = _sigmoid(_sums(shared.value.astype(np.float64), found, ends)[:, None] - cuts)
             each = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(above.sum(axis=1), pa.float64()), pa.array(each.argmax(axis=1), pa.int32()), pa.array(above[:, 0] > 0.5)],
+                [batch.column(0), pa.array(above.sum(axis=1), pa.float64()), pa.array(each.argmax(axis=1), pa.int32()), pa.array(above[:, 0] > FLAG)],
                 names=["doc_id", "severity", "grade", "toxic"],
             )
 

@@ -9,8 +9,12 @@ import numpy as np
 Arrays = dict[str, np.ndarray]
 
 
-def adam(start: Arrays, gradient: Callable[[Arrays], Arrays], steps: int, rate: float, fade: float = 0.97) -> Arrays:
-    """Follow the gradient of a sum with steps scaled per parameter; each step is one pass over the data."""
+def adam(start: Arrays, gradient: Callable[[Arrays], Arrays], steps: int, rate: float, fade: float = 0.97, whole: bool = False) -> Arrays:
+    """Follow the gradient of a sum; each step is one pass over the data.
+
+    Steps are scaled per parameter, or with ``whole`` per array by its largest
+    one, so that parameters with little support move little.
+    """
     now = {k: v.astype(np.float64).copy() for k, v in start.items()}
     first = {k: np.zeros_like(v) for k, v in now.items()}
     second = {k: np.zeros_like(v) for k, v in now.items()}
@@ -18,6 +22,7 @@ def adam(start: Arrays, gradient: Callable[[Arrays], Arrays], steps: int, rate:
         for k, g in gradient(now).items():
             first[k] = 0.8 * first[k] + 0.2 * g
             second[k] = 0.95 * second[k] + 0.05 * g * g
-            scaled = first[k] / (1 - 0.8**t) / (np.sqrt(second[k] / (1 - 0.95**t)) + 1e-9)
+            size = np.sqrt(second[k] / (1 - 0.95**t))
+            scaled = first[k] / (1 - 0.8**t) / ((size.max(initial=0.0) if whole else size) + 1e-9)
             now[k] = now[k] - rate * fade ** (t - 1) * scaled
     return now

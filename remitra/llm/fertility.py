@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from remitra.llm.common import if_small, staged, words_of
 from remitra.llm.tokens import encoder
 
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 #: First code points of blocks of letters, and the scripts they begin.

@@ -161,3 +161,14 @@ def test_fuzzy_lines_of_awkward_rows(spark):
     assert by_id[1].n_dropped == 0 and by_id[2].text == "" and by_id[3].text is None and by_id[3].n_lines == 0
     assert by_id[4].text == "" and by_id[5].text == " \t\n \x0b"
     assert fuzzylines.drop_repeated_lines(empty(spark)).count() == 0
+
+
+def test_fuzzy_lines_count_edits_in_characters(spark):
+    """Lines of few words are as near as their characters are."""
+    pairs = [
+        ("Chapter 7 of the annual company report", "Chapter 8 of the annual company report"),
+        ("Volume 12 with selected papers", "Volume 13 with selected papers"),
+    ]
+    rows = [(k, line) for k, line in enumerate(line for pair in pairs for line in pair)] + [(9, "Short line here"), (10, "Sharp lime hare")]
+    got = {r.doc_id: r.n_dropped for r in fuzzylines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 9: 0, 10: 0}

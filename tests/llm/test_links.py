@@ -172,3 +172,32 @@ def test_fuzzy_lines_count_edits_in_characters(spark):
     rows = [(k, line) for k, line in enumerate(line for pair in pairs for line in pair)] + [(9, "Short line here"), (10, "Sharp lime hare")]
     got = {r.doc_id: r.n_dropped for r in fuzzylines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 1, 9: 0, 10: 0}
+
+
+def test_fuzzy_lines_against_all_pairs_by_edit_distance_alone(spark):
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(300)]
+    lines = []
+    for size in (3, 6, 10, 10, 20, 20, 30, 50):
+        words = draw.choices(vocabulary, k=size)
+        line = " ".join(words)
+        lines.append(line)
+        for _ in range(3):  # one word of ten replaced by another of its length
+            copy, left = list(words), len(line) // 10
+            for k in draw.sample(range(size), size):
+                if len(copy[k]) <= left:
+                    left -= len(copy[k])
+                    copy[k] = "".join(draw.choices("klmnop", k=len(copy[k])))
+            lines.append(" ".join(copy))
+        typed = list(line)
+        for k in draw.sample(range(len(line)), len(line) // 10):  # letters mistyped anywhere
+            typed[k] = draw.choice("qrs")
+        lines.append("".join(typed))
+    lines += ["".join(map(chr, range(0x4E00, 0x4E00 + 40))), "".join(map(chr, range(0x4E00, 0x4E00 + 39))) + "!\u4e8c"]
+    lines = list(dict.fromkeys(lines))
+    norms = [line.replace("!", " ") for line in lines]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if 10 * edits(norms[i], norms[j]) <= max(len(norms[i]), len(norms[j]))]
+    group = grouped(range(len(lines)), links)
+    assert len(links) > 30
+    got = fuzzylines.drop_repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == {k for k in group if group[k] != k}

@@ -3,9 +3,10 @@
 Two vocabularies are used. The byte-level one gives characters per token and
 the entropy of the text's tokens, the one with byte fallback gives the share of
 tokens that are single bytes. What is usual differs by language, so the bands
-come from all documents that pass the base rules: per language, or per script
-where no language is given, the quartiles widened by ``FENCE`` times their
-distance. A document outside a band of its language is rejected.
+come from the distinct texts of all documents that pass the base rules: per
+language, or per script where no language is given, the quartiles widened by
+``FENCE`` times their distance. A text counts once however many copies it has;
+texts that differ in a word count each. A document outside a band of its language is rejected.
 
 The base rules count words, their characters, symbols, repeated lines, and
 words in runs of three that occur again. A text fails them if it has fewer than
@@ -53,7 +54,7 @@ FREE_FALLBACK = 0.02
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCHEMA = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "script string, chars_per_token double, fallback_share double, token_entropy double"
+    "script string, chars_per_token double, fallback_share double, token_entropy double, text_hash long"
 )
 
 
@@ -169,13 +170,13 @@ def measure(docs: DataFrame, byte_vocabulary: str | None = None, piece_vocabular
                     batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(_by_text(lengths[numbers], ends), pa.int64()),
                     pc.cast(pc.count_substring_regex(texts, r"[#*$%&|<>]"), pa.int64()), pa.array(_repeated_lines(texts), pa.int64()),
                     pa.array(repeated, pa.int64()), pa.array(failed), pa.array([SCRIPTS[k] for k in script]),
-                    pa.array(fertility, pa.float64()), pa.array(share, pa.float64()), pa.array(entropy, pa.float64()),
+                    pa.array(fertility, pa.float64()), pa.array(share, pa.float64()), pa.array(entropy, pa.float64()), batch.column(3),
                 ],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
 
     lang = "cast(lang as string)" if "lang" in docs.columns else "cast(null as string)"
-    return docs.selectExpr("cast(doc_id as long) doc_id", f"{lang} lang", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", f"{lang} lang", "cast(text as string) text", "xxhash64(cast(text as string)) text_hash").mapInArrow(run, SCHEMA)
 
 
 def judge(docs: DataFrame, fence: float = FENCE, byte_vocabulary: str | None = None, piece_vocabulary: str | None = None) -> DataFrame:
@@ -183,7 +184,8 @@ def judge(docs: DataFrame, fence: float = FENCE, byte_vocabulary: str | None = N
     rows = staged(measure(docs, byte_vocabulary, piece_vocabulary), "measures").withColumn("_group", F.coalesce("lang", "script"))
     measures = ("chars_per_token", "fallback_share", "token_entropy")
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(f"_{m}") for m in measures]
-    bands = staged(rows.filter("not base_failed").groupBy(F.col("_group").alias("_of")).agg(*quartiles), "bands")
+    texts = rows.filter("not base_failed").select("_group", "text_hash", *measures).distinct()
+    bands = staged(texts.groupBy(F.col("_group").alias("_of")).agg(*quartiles), "bands")
 
     def within(name: str) -> Column:
         low, high = F.col(f"_{name}")[0], F.col(f"_{name}")[1]

@@ -97,6 +97,15 @@ def test_an_odd_text_is_outside_the_band(spark):
     assert {r.doc_id for r in rows if not r.kept and not r.base_failed} == {100, 101}
 
 
+def test_copies_do_not_narrow_the_bands(spark):
+    draw = random.Random(3)
+    names = ["".join(draw.choices("abcdefghiklmnoprstuw", k=5)) for _ in range(60)]
+    usual = [(k, " ".join(draw.choices(names[: 10 + k], k=120)), "en") for k in range(50)]
+    copies = [(k, usual[-1][1], "en") for k in range(100, 200)]
+    rows = fertility.judge(spark.createDataFrame(usual + copies, "doc_id long, text string, lang string")).collect()
+    assert len(rows) == 150 and all(r.kept for r in rows)
+
+
 def test_rates_meet_targets(spark):
     draw = np.random.default_rng(5)
     p = draw.dirichlet([0.4, 0.3, 0.3], 400)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitra.llm import circulant, crf, fertility, fuzzylines, hmm, mixing, ordinal, packing, repair, voronoi
+from remitra.llm import bytebpe, circulant, crf, divergence, fertility, fuzzylines, hmm, manifest, mixing, ordinal, packing, repair, voronoi
 from remitra.llm.common import table
 from remitra.session import shared_dir
 
@@ -80,11 +80,31 @@ def op10_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), _remainder(7) == 2)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's checksum 7 divides claim one character more than they have."""
+    claimed = F.when(_remainder(7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows = manifest.proofs(table(spark, sf_dir, "documents"), {"n_chars": claimed})
+    siblings = F.array_join(F.transform("path", lambda at: F.concat(at["left"], at["right"])), "")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pack, op2_token_files, op3_near_duplicates, op4_top_k, op5_fertility, op6_mixing, op7_severity, op8_language, op9_fuzzy_lines,
-        op10_likelihood,
+        op10_likelihood, op11_divergence, op12_manifest, op13_byte_bpe,
     )
 }
 
@@ -128,4 +148,87 @@ ORACLES: dict[str, str] = {
             FROM pairs)
         SELECT * FROM ranked WHERE rank <= 20
     """,
+    "op11_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        tokens AS (SELECT id, lang, source, unnest(terms) AS term FROM docs),
+        kept AS (SELECT lang, term FROM tokens GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY ALL),
+        grid AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, v
+            FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k USING (lang) JOIN sizes USING (lang)
+            LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        shares AS (
+            SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (CAST(total AS HUGEINT) + 5 * v) AS p FROM grid),
+        whole AS (
+            SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (CAST(total AS HUGEINT) + 5 * v) AS q
+            FROM (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM counts GROUP BY lang, term)
+            JOIN sizes USING (lang)),
+        pairs AS (
+            SELECT g.lang, g.source, h.source AS item, coalesce(s.value, 0) AS value
+            FROM (SELECT DISTINCT lang, source FROM docs) g
+            JOIN (SELECT DISTINCT lang, source FROM docs) h ON h.lang = g.lang AND h.source <> g.source
+            LEFT JOIN (
+                SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+                FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+            ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+        apart AS (SELECT lang, source, term AS item, p - q AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (
+            SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+            UNION ALL
+            SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM apart)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+    "op12_manifest": r"""
+        WITH RECURSIVE rows_in AS (
+            SELECT doc_id, lang, n_chars,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS tail,
+                xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+                    lambda i: [ord(CAST(doc_id AS VARCHAR)[i]), 0, 0, 0, 0, 0, 0, 0]))),
+                    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 7 = 0 AS tampered
+            FROM documents),
+        leaves AS (
+            SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                CASE WHEN tampered THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS other
+            FROM rows_in),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+                dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+            FROM leaves),
+        levels(tree, lvl, pos, n, h) AS (
+            SELECT tree, 0, pos, n, leaf FROM placed
+            UNION ALL
+            SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM levels WHERE n > 1 GROUP BY tree, lvl, pos // 2, n),
+        subroots AS (SELECT tree, lvl AS height, h FROM levels WHERE n = 1),
+        tops(lvl, pos, n, h) AS (
+            SELECT 0, tree, (SELECT count(*) FROM subroots), h FROM subroots
+            UNION ALL
+            SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, pos // 2, n),
+        nodes AS (
+            SELECT tree, lvl, pos, h FROM levels WHERE n > 1
+            UNION ALL
+            SELECT s.tree, s.height + t.lvl, t.pos, t.h FROM subroots s, tops t WHERE t.n > 1),
+        path(tree, leaf_pos, lvl, pos, siblings, folded) AS (
+            SELECT tree, pos, 0, pos, '', coalesce(other, leaf) FROM placed
+            UNION ALL
+            SELECT p.tree, p.leaf_pos, p.lvl + 1, CASE WHEN p.lvl + 1 = s.height THEN p.tree ELSE here // 2 END,
+                siblings || coalesce(b.h, ''), sha256(CASE WHEN here % 2 = 0 THEN folded || coalesce(b.h, '') ELSE b.h || folded END)
+            FROM (SELECT p.*, CASE WHEN p.lvl = s.height THEN p.tree ELSE p.pos END AS here FROM path p JOIN subroots s USING (tree)) p
+            JOIN subroots s ON s.tree = p.tree
+            JOIN nodes a ON a.tree = p.tree AND a.lvl = p.lvl AND a.pos = here
+            LEFT JOIN nodes b ON b.tree = p.tree AND b.lvl = p.lvl AND b.pos = xor(here, 1)),
+        ends AS (
+            SELECT tree, leaf_pos, siblings, folded FROM path
+            QUALIFY row_number() OVER (PARTITION BY tree, leaf_pos ORDER BY lvl DESC) = 1)
+        SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+        FROM placed p JOIN subroots s USING (tree) JOIN ends e ON e.tree = p.tree AND e.leaf_pos = p.pos
+        CROSS JOIN (SELECT h FROM tops WHERE n = 1) r
+    """,
 }

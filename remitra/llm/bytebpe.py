@@ -21,19 +21,25 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from remitra.llm.common import ship
 
-#: Matches a worker remembers, and the most characters of one of them.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
-#: Matches of a text that are held at once, and ids in a batch of rows.
-MATCHES, BATCH_IDS = 200_000, 1_000_000
+#: Chunks and matches a worker remembers, and the most characters of one of them.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 64
+#: Matches of a chunk that are held at once, and bytes of text and ids of a batch.
+MATCHES, BATCH_BYTES, BATCH_IDS = 200_000, 2_000_000, 250_000
+
+#: Marks the first chunk of a text, which no space precedes.
+_FIRST = "\x02"
+#: White space, then a space; or the mark itself.
+_IRREGULAR = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |\x02"
 
 
 class PairTree:
@@ -92,13 +98,12 @@ class PairTree:
         return ids
 
 
-class Vocabulary(dict):
-    """Ranks by token, and the ids of matches as far as they are remembered, as little-endian 32-bit integers."""
+class Vocabulary:
+    """Ranks by token, and the ids of chunks of text as far as they are remembered."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        super().__init__()
         with open(path, "rb") as file:
             rows = [line.split() for line in file if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
@@ -106,29 +111,86 @@ class Vocabulary(dict):
         if missing:
             raise ValueError(f"no rank for the bytes {missing}")
         self.longest = max(map(len, self.ranks))
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.matches = regex.compile(pattern).finditer
-
-    def ids(self, piece: bytes) -> list[int]:
-        rank = self.ranks.get(piece)
-        return [rank] if rank is not None else PairTree(self.ranks, self.longest, piece).merged()
-
-    def __missing__(self, match: str) -> bytes:
-        found = np.array(self.ids(match.encode()), "<i4").tobytes()
-        if len(match) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[match] = found
+        self.chunks: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, list[int]] = {}
+        tokens = sorted((rank, token) for token, rank in self.ranks.items())
+        self.sizes = np.full(tokens[-1][0] + 1, -1, np.int64)
+        self.sizes[[rank for rank, _ in tokens]] = [len(token) for _, token in tokens]
+        self.firsts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
+        self.bytes = np.frombuffer(b"".join(token for _, token in tokens), np.uint8)
+
+    def piece(self, match: str) -> list[int]:
+        """Ids of one match."""
+        found = self.pieces.get(match)
+        if found is None:
+            piece = match.encode()
+            rank = self.ranks.get(piece)
+            found = [rank] if rank is not None else PairTree(self.ranks, self.longest, piece).merged()
+            _keep(self.pieces, match, found)
         return found
 
-    def encode(self, text: str) -> bytes:
-        matches, parts = self.matches(text), []
-        while some := [m[0] for m in islice(matches, MATCHES)]:
-            parts.append(b"".join(map(self.__getitem__, some)))
-        return b"".join(parts)
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text or chunk, match by match."""
+        matches, parts = self.matches(text), [np.zeros(0, np.int32)]
+        while some := [self.piece(m[0]) for m in islice(matches, MATCHES)]:
+            parts.append(np.fromiter(chain.from_iterable(some), np.int32))
+        return np.concatenate(parts)
+
+    def chunk(self, chunk: str) -> np.ndarray:
+        found = self.chunks.get(chunk)
+        if found is None:
+            found = self.whole(chunk)
+            _keep(self.chunks, chunk, found)
+        return found
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids end.
+
+        No match goes from a character on to a space behind it, so texts are cut
+        before such spaces and each distinct chunk is encoded once. Texts with a
+        space behind other white space, where the pattern looks ahead, are taken whole.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = np.asarray(pc.match_substring_regex(texts, _IRREGULAR))
+        plain = texts.filter(pa.array(~odd))
+        cut = pc.split_pattern(pc.binary_join_element_wise(_FIRST, plain, ""), " ")
+        coded = cut.flatten().dictionary_encode()
+        chunks = [self.chunk(c[1:] if c[:1] == _FIRST else f" {c}") for c in coded.dictionary.to_pylist()]
+        ids, ends = _gathered(chunks, np.asarray(coded.indices))
+        ends = np.concatenate([[0], ends])[np.asarray(cut.offsets)[1:] - (cut.offsets[0].as_py() if len(plain) else 0)]
+        if not odd.any():
+            return ids, ends
+        rows = iter(np.split(ids, ends[:-1]) if len(ends) else [])
+        every = [self.whole(text.as_py()) if strange else next(rows) for text, strange in zip(texts, odd, strict=True)]
+        return np.concatenate(every), np.cumsum([len(row) for row in every])
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, and where each id's bytes end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or self.sizes[ids].min() < 0):
+            raise ValueError("an id stands for no token")
+        return _taken(self.bytes, self.firsts[ids], self.sizes[ids])
+
+
+def _keep(known: dict, text: str, ids) -> None:
+    if len(text) <= REMEMBERED_CHARS:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[text] = ids
+
+
+def _taken(values: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(firsts - (ends - sizes), sizes) + np.arange(total)], ends
+
+
+def _gathered(chunks: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the numbered chunks."""
+    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    values = np.concatenate([np.zeros(0, np.int32), *chunks])
+    return _taken(values, (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
 
 
 @functools.lru_cache(maxsize=2)
@@ -137,10 +199,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def _list_rows(docs: list, rows: list[bytes], n: int) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, rows)]) // 4
-    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), ids], ["doc_id", "ids"])
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` together, or one row."""
+    blocks = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(sizes)]
+    return ((low, high) for low, high in zip(cuts, cuts[1:], strict=False) if low < high)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -152,16 +215,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path, pattern)
         for batch in batches:
-            names, rows, held = [], [], 0
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                row = known.encode(text.as_py() or "")
-                if rows and held + len(row) > 4 * BATCH_IDS:
-                    yield _list_rows(names, rows, held)
-                    names, rows, held = [], [], 0
-                names.append(name)
-                rows.append(row)
-                held += len(row)
-            yield _list_rows(names, rows, held)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64)
+            for low, high in slices(sizes, BATCH_BYTES):
+                ids, ends = known.encode(batch.column(1).slice(low, high - low))
+                places = pa.array(np.concatenate([[0], ends]), pa.int32())
+                listed = pa.ListArray.from_arrays(places, pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), listed], ["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -174,23 +233,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path, "")
         for batch in batches:
-            ids = batch.column(1)
-            for low, high in _slices(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ids), 0))):
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
+            for low, high in slices(sizes, BATCH_IDS):
                 part = batch.slice(low, high - low)
-                decoded = [None if row is None else known.decode(row) for row in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                flat = np.asarray(pc.fill_null(part.column(1).flatten(), -1))
+                data, ends = known.decode(flat)
+                places = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes[low:high])])].astype(np.int32)
+                missing = np.packbits(np.asarray(part.column(1).is_valid()), bitorder="little")
+                buffers = [pa.py_buffer(missing), pa.py_buffer(places), pa.py_buffer(data)]
+                decoded = pa.Array.from_buffers(pa.binary(), high - low, buffers)
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], ["doc_id", "ids", "decoded"])
 
     rows = encoded.selectExpr("cast(doc_id as long) doc_id", "cast(ids as array<int>) ids")
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
-
-
-def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``BATCH_IDS`` ids together, or one row."""
-    low, held = 0, 0
-    for at, size in enumerate(sizes.tolist()):
-        if at > low and held + size > BATCH_IDS:
-            yield low, at
-            low, held = at, 0
-        held += size
-    if low < len(sizes):
-        yield low, len(sizes)

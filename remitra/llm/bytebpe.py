@@ -5,10 +5,10 @@ A segment tree over the match's byte positions holds, in the leaf of each
 position where a token starts, the rank of joining that token with the next one,
 followed by the position; a node holds the least of its two children, so the
 root names the leftmost pair of least rank. A merge changes three leaves: that of
-the joined token, of the one before it and of the one that is gone. Each change
-climbs the tree until a node keeps its value. A match of n bytes takes
-O(n log n) steps whatever it consists of. A match that is a token itself is
-that token.
+the joined token, of the one before it and of the one that is gone; each change
+climbs to the root. A match of n bytes takes O(n log n) steps whatever it consists
+of. The trees of many short matches are kept in one array and merged side by side;
+a long match has its own. A match that is a token itself is that token.
 
 Null texts count as empty and have no ids; ids of null decode to null. Rows are
 encoded one by one, so repeated rows and repeated ids come back as often as they
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 
 from remitra.llm.common import ship
 
-#: Chunks and matches a worker remembers, and the most characters of one of them.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 64
-#: Matches of a chunk that are held at once, and bytes of text and ids of a batch.
-MATCHES, BATCH_BYTES, BATCH_IDS = 200_000, 2_000_000, 250_000
+#: Matches of a text that are held at once, bytes of text and ids of a batch, and leaves of trees merged together.
+MATCHES, BATCH_BYTES, BATCH_IDS, TREE_NODES = 200_000, 4_000_000, 250_000, 1 << 18
+#: Bytes of a match up to which its tree is merged side by side with others.
+SIDE_BY_SIDE = 512
 
 #: Marks the first chunk of a text, which no space precedes.
 _FIRST = "\x02"
@@ -42,107 +42,215 @@ _FIRST = "\x02"
 _IRREGULAR = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |\x02"
 
 
-class PairTree:
-    """Ranks of joining live neighbours of one byte string, least and leftmost at the root."""
-
-    def __init__(self, ranks: dict[bytes, int], longest: int, piece: bytes):
-        n = len(piece)
-        self.piece, self.ranks, self.longest = piece, ranks, longest
-        self.after, self.before = list(range(1, n + 1)), list(range(-1, n - 1))
-        self.leaves = 1 << (n - 1).bit_length()
-        self.none = (1 << 40) * self.leaves
-        self.nodes = [self.none] * (2 * self.leaves)
-        for at in range(n - 1):
-            self.nodes[self.leaves + at] = self.pair(at)
-        for node in range(self.leaves - 1, 0, -1):
-            self.nodes[node] = min(self.nodes[2 * node], self.nodes[2 * node + 1])
-
-    def pair(self, at: int) -> int:
-        """Rank and place of the pair whose first token starts at ``at``."""
-        middle = self.after[at]
-        if middle == len(self.piece):
-            return self.none
-        end = self.after[middle]
-        rank = self.ranks.get(self.piece[at:end]) if end - at <= self.longest else None
-        return self.none if rank is None else rank * self.leaves + at
-
-    def put(self, at: int, value: int) -> None:
-        nodes, node = self.nodes, self.leaves + at
+class Ranks:
+    """Ranks by token, and by the ids of any two tokens that make up a third."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            rows = [line.split() for line in file if line.strip()]
+        self.of = {base64.b64decode(token): int(rank) for token, rank in rows}
+        missing = [b for b in range(256) if bytes([b]) not in self.of]
+        if missing:
+            raise ValueError(f"no rank for the bytes {missing}")
+        self.width = max(self.of.values()) + 1
+        self.longest = max(map(len, self.of))
+        self.bytes = np.array([self.of[bytes([b])] for b in range(256)], np.int64)
+        halves = ((self.of.get(t[:k]), self.of.get(t[k:]), rank) for t, rank in self.of.items() for k in range(1, len(t)))
+        pairs = np.array([h for h in halves if h[0] is not None and h[1] is not None], np.int64).reshape(-1, 3)
+        keys = pairs[:, 0] * self.width + pairs[:, 1]
+        order = np.argsort(keys)
+        self.keys, self.joined = np.append(keys[order], np.iinfo(np.int64).max), np.append(pairs[order, 2], 0)
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of the token that two tokens make up, -1 if none."""
+        keys = left * self.width + right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.joined[at], -1)
+
+
+class PairTrees:
+    """Segment trees of many byte strings of up to ``leaves`` bytes, merged side by side.
+
+    A leaf holds the rank of joining the token that starts at its byte with the next
+    one, times ``leaves``, plus its place; a node holds the least of its children.
+    """
+
+    def __init__(self, ranks: Ranks, pieces: list[bytes], leaves: int):
+        n = len(pieces)
+        self.ranks, self.leaves = ranks, leaves
+        self.none = np.int64(ranks.width * leaves)
+        self.sizes = np.fromiter(map(len, pieces), np.int64, n)
+        padded = b"".join(piece.ljust(leaves, b"\0") for piece in pieces)
+        place = np.arange(leaves)
+        self.ids = np.where(place < self.sizes[:, None], ranks.bytes[np.frombuffer(padded, np.uint8).reshape(n, leaves)], -1).ravel()
+        self.after, self.before = np.tile(place + 1, n), np.tile(place - 1, n)
+        self.nodes = np.full(2 * leaves * n, self.none)
+        tree = self.nodes.reshape(n, 2 * leaves)
+        grid = self.ids.reshape(n, leaves)
+        joined = np.where(grid[:, 1:] >= 0, ranks.join(grid[:, :-1], grid[:, 1:]), -1)
+        tree[:, leaves:-1] = np.where(joined >= 0, joined * leaves + place[:-1], self.none)
+        level = leaves
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+
+    def pair(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank and place of joining the tokens at ``at`` with their next ones."""
+        base = rows * self.leaves
+        middle = self.after[base + at]
+        inside = middle < self.sizes[rows]
+        joined = self.ranks.join(self.ids[base + at], self.ids[base + np.where(inside, middle, at)])
+        return np.where(inside & (joined >= 0), joined * self.leaves + at, self.none)
+
+    def put(self, rows: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+        """Change one leaf of each row and what is above it."""
+        base, node = rows * (2 * self.leaves), at + self.leaves
+        self.nodes[base + node] = value
+        for _ in range(self.leaves.bit_length() - 1):
+            value = np.minimum(value, self.nodes[base + (node ^ 1)])
+            node = node >> 1
+            self.nodes[base + node] = value
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings after all merges, and how many each has. In a round every string joins its leftmost pair of least rank."""
+        roots = 2 * self.leaves * np.arange(len(self.sizes)) + 1
+        rows = np.flatnonzero(self.nodes[roots] < self.none)
+        while len(rows):
+            joined, at = np.divmod(self.nodes[roots[rows]], self.leaves)
+            base = rows * self.leaves
+            gone = self.after[base + at]
+            end = self.after[base + gone]
+            self.ids[base + at], self.ids[base + gone] = joined, -1
+            self.after[base + at] = end
+            inside = end < self.sizes[rows]
+            self.before[(base + end)[inside]] = at[inside]
+            self.put(rows, gone, np.full(len(rows), self.none))
+            self.put(rows, at, self.pair(rows, at))
+            before = self.before[base + at]
+            some = before >= 0
+            self.put(rows[some], before[some], self.pair(rows[some], before[some]))
+            rows = rows[self.nodes[roots[rows]] < self.none]
+        live = self.ids >= 0
+        return self.ids[live], live.reshape(-1, self.leaves).sum(axis=1)
+
+
+def merged_alone(ranks: Ranks, piece: bytes) -> list[int]:
+    """Ids of one long byte string by a tree of its own; a change climbs until a node keeps its value."""
+    n, of, longest = len(piece), ranks.of, ranks.longest
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    leaves = 1 << (n - 1).bit_length()
+    none = ranks.width * leaves
+    nodes = [none] * (2 * leaves)
+
+    def pair(at: int) -> int:
+        end = after[after[at]] if after[at] < n else n + 1
+        rank = of.get(piece[at:end]) if end <= n and end - at <= longest else None
+        return none if rank is None else rank * leaves + at
+
+    def put(at: int, value: int) -> None:
+        node = leaves + at
         nodes[node] = value
         while node > 1:
-            other = nodes[node ^ 1]
-            if other < value:
-                value = other
+            value = min(value, nodes[node ^ 1])
             node >>= 1
             if nodes[node] == value:
                 return
             nodes[node] = value
 
-    def merged(self) -> list[int]:
-        """Ids after all merges."""
-        after, before, n = self.after, self.before, len(self.piece)
-        while self.nodes[1] < self.none:
-            at = self.nodes[1] % self.leaves
-            gone = after[at]
-            end = after[at] = after[gone]
-            if end < n:
-                before[end] = at
-            self.put(gone, self.none)
-            self.put(at, self.pair(at))
-            if before[at] >= 0:
-                self.put(before[at], self.pair(before[at]))
-        ids, at = [], 0
-        while at < n:
-            ids.append(self.ranks[self.piece[at : after[at]]])
-            at = after[at]
-        return ids
+    nodes[leaves : leaves + n] = map(pair, range(n))
+    for node in range(leaves - 1, 0, -1):
+        nodes[node] = min(nodes[2 * node], nodes[2 * node + 1])
+    while nodes[1] < none:
+        at = nodes[1] % leaves
+        gone = after[at]
+        after[at] = after[gone]
+        if after[at] < n:
+            before[after[at]] = at
+        put(gone, none)
+        put(at, pair(at))
+        if before[at] >= 0:
+            put(before[at], pair(before[at]))
+    ids, at = [], 0
+    while at < n:
+        ids.append(of[piece[at : after[at]]])
+        at = after[at]
+    return ids
 
 
 class Vocabulary:
-    """Ranks by token, and the ids of chunks of text as far as they are remembered."""
+    """Encodes texts by ranks and a pattern, and decodes ids."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        with open(path, "rb") as file:
-            rows = [line.split() for line in file if line.strip()]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
-        missing = [b for b in range(256) if bytes([b]) not in self.ranks]
-        if missing:
-            raise ValueError(f"no rank for the bytes {missing}")
-        self.longest = max(map(len, self.ranks))
-        self.matches = regex.compile(pattern).finditer
-        self.chunks: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
-        tokens = sorted((rank, token) for token, rank in self.ranks.items())
-        self.sizes = np.full(tokens[-1][0] + 1, -1, np.int64)
+        self.ranks = Ranks(path)
+        self.pattern = regex.compile(pattern)
+        tokens = sorted((rank, token) for token, rank in self.ranks.of.items())
+        self.sizes = np.full(self.ranks.width, -1, np.int64)
         self.sizes[[rank for rank, _ in tokens]] = [len(token) for _, token in tokens]
         self.firsts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
         self.bytes = np.frombuffer(b"".join(token for _, token in tokens), np.uint8)
 
-    def piece(self, match: str) -> list[int]:
-        """Ids of one match."""
-        found = self.pieces.get(match)
-        if found is None:
-            piece = match.encode()
-            rank = self.ranks.get(piece)
-            found = [rank] if rank is not None else PairTree(self.ranks, self.longest, piece).merged()
-            _keep(self.pieces, match, found)
-        return found
-
-    def whole(self, text: str) -> np.ndarray:
-        """Ids of a text or chunk, match by match."""
-        matches, parts = self.matches(text), [np.zeros(0, np.int32)]
-        while some := [self.piece(m[0]) for m in islice(matches, MATCHES)]:
-            parts.append(np.fromiter(chain.from_iterable(some), np.int32))
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of byte strings one after the other, and how many each has."""
+        whole = np.fromiter((self.ranks.of.get(piece, -1) for piece in pieces), np.int64, len(pieces))
+        values, firsts, sizes = [whole], np.arange(len(pieces)), np.ones(len(pieces), np.int64)
+        held = len(whole)
+        rest = np.flatnonzero(whole < 0)
+        lengths = np.fromiter((len(pieces[k]) for k in rest), np.int64, len(rest))
+        widths = 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64)
+        for k in rest[widths > SIDE_BY_SIDE].tolist():
+            values.append(np.array(merged_alone(self.ranks, pieces[k]), np.int64))
+            firsts[k], sizes[k] = held, len(values[-1])
+            held += len(values[-1])
+        for width in np.unique(widths[widths <= SIDE_BY_SIDE]).tolist():
+            mine = rest[widths == width]
+            for low in range(0, len(mine), max(1, TREE_NODES // width)):
+                some = mine[low : low + max(1, TREE_NODES // width)]
+                ids, counts = PairTrees(self.ranks, [pieces[k] for k in some], width).merged()
+                values.append(ids)
+                firsts[some], sizes[some] = held + np.cumsum(counts) - counts, counts
+                held += len(ids)
+        return _taken(np.concatenate(values), firsts, sizes)[0], sizes
+
+    def matched(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches one after the other, and where each one's end; equal matches are encoded once."""
+        coded = pa.array(matches, pa.string()).dictionary_encode()
+        ids, sizes = self.pieces([m.encode() for m in coded.dictionary.to_pylist()])
+        numbers = np.asarray(coded.indices)
+        return _taken(ids, (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
+
+    def alone(self, text: str) -> np.ndarray:
+        """Ids of a text, a bounded number of matches at a time."""
+        matches, parts = self.pattern.finditer(text), [np.zeros(0, np.int64)]
+        while some := [m[0] for m in islice(matches, MATCHES)]:
+            parts.append(self.matched(some)[0])
         return np.concatenate(parts)
 
-    def chunk(self, chunk: str) -> np.ndarray:
-        found = self.chunks.get(chunk)
-        if found is None:
-            found = self.whole(chunk)
-            _keep(self.chunks, chunk, found)
-        return found
+    def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after the other, and how many each has.
+
+        Chunks that start with a space and end in something else are matched in
+        one string: no match goes over their borders.
+        """
+        safe = np.fromiter((c[:1] == " " and not c[-1:].isspace() for c in chunks), bool, len(chunks))
+        long = np.fromiter((len(c) > BATCH_BYTES // 4 for c in chunks), bool, len(chunks))
+        together = [chunks[k] for k in np.flatnonzero(safe)]
+        matches = self.pattern.findall("".join(together))
+        match_ends = np.cumsum(np.fromiter(map(len, matches), np.int64, len(matches)))
+        last = np.searchsorted(match_ends, np.cumsum(np.fromiter(map(len, together), np.int64, len(together))))
+        others = [self.pattern.findall(chunks[k]) for k in np.flatnonzero(~safe & ~long)]
+        last = np.concatenate([last, len(matches) - 1 + np.cumsum([len(m) for m in others], dtype=np.int64)])
+        ids, ends = self.matched(list(chain(matches, *others)))
+        ends = np.concatenate([[0], ends])[last + 1]
+        order = np.concatenate([np.flatnonzero(safe), np.flatnonzero(~safe & ~long)])
+        sizes, firsts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        sizes[order] = np.diff(ends, prepend=0)
+        firsts[order] = ends - sizes[order]
+        rows = [self.alone(chunks[k]) for k in np.flatnonzero(~safe & long)]
+        sizes[~safe & long] = [len(row) for row in rows]
+        firsts[~safe & long] = len(ids) + np.cumsum([len(row) for row in rows], dtype=np.int64) - sizes[~safe & long]
+        return _taken(np.concatenate([ids, *rows]), firsts, sizes)[0], sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids end.
@@ -156,14 +264,15 @@ class Vocabulary:
         plain = texts.filter(pa.array(~odd))
         cut = pc.split_pattern(pc.binary_join_element_wise(_FIRST, plain, ""), " ")
         coded = cut.flatten().dictionary_encode()
-        chunks = [self.chunk(c[1:] if c[:1] == _FIRST else f" {c}") for c in coded.dictionary.to_pylist()]
-        ids, ends = _gathered(chunks, np.asarray(coded.indices))
-        ends = np.concatenate([[0], ends])[np.asarray(cut.offsets)[1:] - (cut.offsets[0].as_py() if len(plain) else 0)]
-        if not odd.any():
-            return ids, ends
-        rows = iter(np.split(ids, ends[:-1]) if len(ends) else [])
-        every = [self.whole(text.as_py()) if strange else next(rows) for text, strange in zip(texts, odd, strict=True)]
-        return np.concatenate(every), np.cumsum([len(row) for row in every])
+        chunks = [c[1:] if c[:1] == _FIRST else f" {c}" for c in coded.dictionary.to_pylist()]
+        ids, sizes = self.chunks(chunks + texts.filter(pa.array(odd)).to_pylist())
+        numbers, parts = np.asarray(coded.indices), np.ones(len(texts), np.int64)
+        parts[~odd] = np.diff(np.asarray(cut.offsets)) if len(plain) else 0
+        every = np.empty(parts.sum(), np.int64)
+        strange = np.repeat(odd, parts)
+        every[~strange], every[strange] = numbers, len(chunks) + np.arange(odd.sum())
+        ids, ends = _taken(ids, (np.cumsum(sizes) - sizes)[every], sizes[every])
+        return ids, np.concatenate([[0], ends])[np.cumsum(parts)]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, and where each id's bytes end."""
@@ -172,13 +281,6 @@ class Vocabulary:
         return _taken(self.bytes, self.firsts[ids], self.sizes[ids])
 
 
-def _keep(known: dict, text: str, ids) -> None:
-    if len(text) <= REMEMBERED_CHARS:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[text] = ids
-
-
 def _taken(values: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``values`` one after the other, and where each ends."""
     ends = np.cumsum(sizes)
@@ -186,13 +288,6 @@ def _taken(values: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[n
     return values[np.repeat(firsts - (ends - sizes), sizes) + np.arange(total)], ends
 
 
-def _gathered(chunks: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the numbered chunks."""
-    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    values = np.concatenate([np.zeros(0, np.int32), *chunks])
-    return _taken(values, (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
-
-
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """The worker's vocabulary of a file."""

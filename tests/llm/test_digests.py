@@ -65,19 +65,30 @@ def test_long_matches(library, known):
         assert ids_of(known, text) == [library.encode_ordinary(text)]
 
 
-def test_tree_holds_the_leftmost_least_pair(known):
+def test_trees_join_the_leftmost_least_pair(known):
     draw = random.Random(4)
-    for _ in range(300):
-        piece = bytes(draw.choices(b"abcdeilnorst", k=draw.randint(2, 40)))
-        tree = bytebpe.PairTree(known.ranks, known.longest, piece)
-        tokens = [piece[k : k + 1] for k in range(len(piece))]
-        while True:
-            pairs = [(known.ranks[a + b], k) for k, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if a + b in known.ranks]
-            if not pairs:
-                break
-            k = min(pairs)[1]
-            tokens[k : k + 2] = [tokens[k] + tokens[k + 1]]
-        assert tree.merged() == [known.ranks[t] for t in tokens]
+    ranks = known.ranks.of
+    for leaves in (2, 8, 64):
+        pieces = [bytes(draw.choices(b"abcdeilnorst", k=draw.randint(1, leaves))) for _ in range(200)]
+        trees = bytebpe.PairTrees(known.ranks, pieces, leaves)
+        want = []
+        for k, piece in enumerate(pieces):
+            tokens = [piece[j : j + 1] for j in range(len(piece))]
+            first = True
+            while True:
+                pairs = [(ranks[a + b], j) for j, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if a + b in ranks]
+                if first:
+                    root = trees.nodes[2 * leaves * k + 1]
+                    assert root == (min(pairs)[0] * leaves + min(pairs)[1] if pairs else trees.none)
+                    first = False
+                if not pairs:
+                    break
+                j = min(pairs)[1]
+                tokens[j : j + 2] = [tokens[j] + tokens[j + 1]]
+            want.append([ranks[t] for t in tokens])
+        ids, sizes = trees.merged()
+        assert [row.tolist() for row in np.split(ids, np.cumsum(sizes)[:-1])] == want
+        assert [bytebpe.merged_alone(known.ranks, piece) for piece in pieces] == want
 
 
 def plain_digests(library, texts):

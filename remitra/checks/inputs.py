@@ -180,6 +180,10 @@ def _cell(field: str | None, plain: bool) -> Column:
     return F.col(field)
 
 
+def _write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 class Workspace(Build):
     """The build over the test inputs of one driver folder."""
 
@@ -213,17 +217,38 @@ class Workspace(Build):
         root = f"{shared_dir(self.spark)}/extracts-{uuid.uuid4().hex}"
         year = F.year("Date_of_Transaction")
         for flow in ("Payment", "Receive"):
-            rows = self.raw.filter(F.col("_flow") == flow).drop("_flow", "row_no")
+            # Cells with line breaks, quotes and commas, some of them beyond the border of a record's first line.
+            number = F.col("row_no").cast("string")
+            note = F.concat(F.lit('paid "in full",\nsee '), number, F.lit('\n\n"'), number, F.lit('"\n, end'))
+            rows = self.raw.filter(F.col("_flow") == flow).withColumn(
+                "Additional_Information", F.when(F.col("row_no") % 3 == 0, note).otherwise(number)
+            ).drop("_flow", "row_no")
             early = rows.filter(year <= 1997).drop("Move_Fund").withColumn("M2", F.lit(None).cast("int"))
             early.write.parquet(f"{root}/{flow}/early.parquet")
             rows.filter(year.between(1998, 2000)).write.parquet(f"{root}/{flow}/middle.parquet")
-            rows.filter(year > 2000).write.csv(
-                f"{root}/{flow}/late.csv", header=True, quoteAll=True, escape='"',
-                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-            )
+            _write_csv(rows.filter(year > 2000), f"{root}/{flow}/late.csv")
             rows.limit(1).write.json(f"{root}/{flow}/notes.json")
         return root
 
+    @cached_property
+    def filed_root(self) -> str:
+        """CSV extracts as clerks file them: some typed cells hold something else."""
+        import uuid
+
+        root = f"{shared_dir(self.spark)}/filed-{uuid.uuid4().hex}"
+        number = F.col("row_no")
+        day = F.date_format("Date_of_Transaction", "yyyy-MM-dd HH:mm:ss")
+        rows = self.raw.withColumns({
+            "Date_of_Transaction": F.when(number % 13 == 0, "pending").when(number % 29 == 0, "31/02/1998").otherwise(day),
+            "Date_of_Submission": F.when(number % 31 == 0, "soon").otherwise(F.col("Date_of_Submission").cast("string")),
+            "Amount_USD": F.when(number % 10 == 3, "1,234.50").when(number % 37 == 0, " ").otherwise(F.col("Amount_USD").cast("string")),
+            "Exchange_Rates_Kip": F.when(number % 17 == 0, "n/a\n(see note)").otherwise(F.col("Exchange_Rates_Kip").cast("string")),
+            "Source_Year": F.when(number % 19 == 0, "FY98").otherwise(F.col("Source_Year").cast("string")),
+        })
+        for flow in ("Payment", "Receive"):
+            _write_csv(rows.filter(F.col("_flow") == flow).drop("_flow"), f"{root}/{flow}/all.csv")
+        return root
+
     @cached_property
     def cells(self) -> DataFrame:
         """Cells of header-matched exports: one file per direction and year, two layouts."""

@@ -35,7 +35,7 @@ def _discovered(ws):
     whole = None
     for flow in ("Payment", "Receive"):
         for path in files.discover(ws.spark, ws.root, flow):
-            part = files.read_flow(ws.spark, [path]).agg(F.count("*").alias("n")).select(
+            part = files.read_flow(ws.spark, [path]).rows.agg(F.count("*").alias("n")).select(
                 F.lit(flow).alias("flow"), F.lit(path.rsplit("/", 1)[-1]).alias("name"), "n"
             )
             whole = part if whole is None else whole.unionByName(part)
@@ -49,34 +49,46 @@ add("S1_discover", _discovered,
 add("S2_parquet_union",
     lambda ws: files.read_parquet_canonical(
         ws.spark, _paths(ws, "Payment", ".parquet") + _paths(ws, "Receive", ".parquet")
-    ).select("Hash_ID", "Date_of_Transaction", "Amount_USD", "Use", "M2", "Move_Fund", "Source_Year"),
+    ).rows.select("Hash_ID", "Date_of_Transaction", "Amount_USD", "Use", "M2", "Move_Fund", "Source_Year"),
     f"""SELECT Hash_ID, Date_of_Transaction, Amount_USD, Use, CASE WHEN {_YEAR} > 1997 THEN M2 END AS M2,
           CASE WHEN {_YEAR} > 1997 THEN Move_Fund END AS Move_Fund, Source_Year
         FROM raw WHERE {_YEAR} <= 2000""")
 add("S3_csv",
     lambda ws: files.read_csv_canonical(
         ws.spark, _paths(ws, "Payment", ".csv") + _paths(ws, "Receive", ".csv")
-    ).select("Hash_ID", text.blank_to_null(F.col("Banks")).alias("bank"), "Date_of_Transaction",
-             "Date_of_Submission", "Amount_USD", "Exchange_Rates_Kip", "Source_Year", "Use"),
+    ).rows.select("Hash_ID", text.blank_to_null(F.col("Banks")).alias("bank"), "Date_of_Transaction",
+                  "Date_of_Submission", "Amount_USD", "Exchange_Rates_Kip", "Source_Year", "Use", "Additional_Information"),
     f"""SELECT Hash_ID, nullif(trim(Banks), '') AS bank, Date_of_Transaction, Date_of_Submission,
-          Amount_USD, Exchange_Rates_Kip, Source_Year, Use FROM raw WHERE {_YEAR} > 2000""")
+          Amount_USD, Exchange_Rates_Kip, Source_Year, Use, CASE WHEN row_no % 3 = 0 THEN concat('paid "in full",', chr(10),
+            'see ', row_no, chr(10), chr(10), '"', row_no, '"', chr(10), ', end') ELSE CAST(row_no AS VARCHAR) END AS Additional_Information
+        FROM raw WHERE {_YEAR} > 2000""")
 add("S4_union_flows",
     lambda ws: clean(files.union_flows(ws.spark, ws.root)).select(
         "Hash_ID", "flow", "yr", "ym", "bank", "usd", "move_flag", "use_flag"),
     f"""SELECT t.Hash_ID, flow, yr, ym, bank, usd, use_flag,
           CASE WHEN year(tx_date) > 1997 THEN move_flag END AS move_flag FROM tx_all t""")
-def _rejected(ws):
-    """Filled cells that are no value of their column, among the CSV extracts."""
-    paths = _paths(ws, "Payment", ".csv") + _paths(ws, "Receive", ".csv")
-    wanted = F.col("field").isin("Date_of_Transaction", "Date_of_Submission", "Amount_USD")
-    return files.csv_rejects(ws.spark, paths).filter(wanted).groupBy("field").agg(
-        F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"))
-
-
-add("S12_rejects", _rejected,
-    f"""SELECT field, count(*) AS rows, CAST(0 AS BIGINT) AS rejected FROM raw,
-          (VALUES ('Date_of_Transaction'), ('Date_of_Submission'), ('Amount_USD')) AS f(field)
-        WHERE {_YEAR} > 2000 GROUP BY field""")
+
+
+def _filed(ws):
+    return files.read_flows(ws.spark, ws.filed_root)
+
+
+# What was filed where a typed cell held something else, and how often.
+_LOST = """SELECT field, filed, count(*) AS n FROM (
+    SELECT 'Date_of_Transaction' AS field, CASE WHEN row_no % 13 = 0 THEN 'pending' WHEN row_no % 29 = 0 THEN '31/02/1998' END AS filed FROM raw
+    UNION ALL SELECT 'Date_of_Submission', CASE WHEN row_no % 31 = 0 THEN 'soon' END FROM raw
+    UNION ALL SELECT 'Amount_USD', CASE WHEN row_no % 10 = 3 THEN '1,234.50' END FROM raw
+    UNION ALL SELECT 'Exchange_Rates_Kip', CASE WHEN row_no % 17 = 0 THEN concat('n/a', chr(10), '(see note)') END FROM raw
+    UNION ALL SELECT 'Source_Year', CASE WHEN row_no % 19 = 0 THEN 'FY98' END FROM raw)
+  WHERE filed IS NOT NULL GROUP BY ALL"""
+add("S12_rejects", lambda ws: _filed(ws).rejects.groupBy("field", "filed").agg(F.count("*").alias("n")), _LOST)
+add("S12_kept_beside_rejects",
+    lambda ws: _filed(ws).rows.select("Hash_ID", "Date_of_Transaction", "Date_of_Submission", "Amount_USD", "Exchange_Rates_Kip", "Source_Year"),
+    """SELECT Hash_ID, CASE WHEN row_no % 13 <> 0 AND row_no % 29 <> 0 THEN Date_of_Transaction END AS Date_of_Transaction,
+         CASE WHEN row_no % 31 <> 0 THEN Date_of_Submission END AS Date_of_Submission,
+         CASE WHEN row_no % 10 <> 3 AND row_no % 37 <> 0 THEN Amount_USD END AS Amount_USD,
+         CASE WHEN row_no % 17 <> 0 THEN Exchange_Rates_Kip END AS Exchange_Rates_Kip,
+         CASE WHEN row_no % 19 <> 0 THEN Source_Year END AS Source_Year FROM raw""")
 add("U1_union_by_name",
     lambda ws: files.union_by_name([
         ws.raw.filter(f"_flow = '{flow}'").select("Hash_ID", "Banks", extra)

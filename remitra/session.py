@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -63,6 +66,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="remitra-")) / "remitra-package.zip"  # the driver serves it to executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

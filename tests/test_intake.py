@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import date, datetime
 from types import SimpleNamespace
 
@@ -19,7 +20,7 @@ from remitra.operators import rules as R
 from remitra.operators.clean import clean
 from remitra.operators.dims import report_line_for, resolve_alias
 from remitra.session import shared_dir
-from remitra.sources import files, sinks
+from remitra.sources import files, records, sinks
 
 
 @pytest.fixture
@@ -67,39 +68,119 @@ def test_union_of_awkward_files(spark, extracts):
 
 
 def test_nothing_is_lost_in_silence(spark, extracts, tmp_path):
-    with pytest.raises(ValueError, match=r"P_2023.csv \(2 of 3 rows\)"):
+    with pytest.raises(ValueError, match=r"P_2023.csv Amount_USD \(1\), P_2023.csv Date_of_Transaction \(2\)"):
         files.union_flows(spark, extracts)
-    paths = files.discover(spark, extracts, "Payment")
-    rejects = {r["field"]: (r["rows"], r["rejected"]) for r in files.csv_rejects(spark, paths).collect()}
-    assert rejects == {"Date_of_Transaction": (3, 2), "Amount_USD": (3, 1)}
+    rejects = files.read_flows(spark, extracts).rejects.collect()
+    assert {(r.file, r.line, r.field, r.filed) for r in rejects} == {
+        ("P_2023.csv", 3, "Date_of_Transaction", "bad"), ("P_2023.csv", 3, "Amount_USD", "x"), ("P_2023.csv", 4, "Date_of_Transaction", "bad"),
+    }
+    for field, cell in (("Amount_USD", '"1,234.50"'), ("Exchange_Rates_Kip", "abc"), ("Date_of_Submission", "32/01/2025"), ("Source_Year", "x")):
+        (tmp_path / "Payment" / "P_2023.csv").write_text(f"Hash_ID,{field}\nc1,{cell}\nc2,\n")
+        with pytest.raises(ValueError, match=rf"no known format: P_2023.csv {field} \(1\)"):
+            files.union_flows(spark, extracts)
     (tmp_path / "Payment" / "P_2023.csv").write_text("Hash_ID,Date_of_Transaction\nc1,31/12/2025\nc2,2025-12-30\n")
     with pytest.raises(ValueError, match="no known format"):
         files.union_flows(spark, extracts)
     raw = files.union_flows(spark, extracts, date_formats=["dd/MM/yyyy"])
     days = {r["Hash_ID"]: r["Date_of_Transaction"] for r in raw.collect()}
     assert days["c1"] == datetime(2025, 12, 31) and days["c2"] == datetime(2025, 12, 30)
-    pq.write_table(pa.table({"Hash_ID": ["p"]}), tmp_path / "Payment" / "P_2023.parquet")
-    with pytest.warns(UserWarning, match="P_2023"):
+    pq.write_table(pa.table({"Hash_ID": ["p", "q"], "Amount_USD": ["7.5", "seven"]}), tmp_path / "Payment" / "P_2023.parquet")
+    with pytest.warns(UserWarning, match="P_2023"), pytest.raises(ValueError, match=r"P_2023.parquet Amount_USD \(1\)"):
         files.union_flows(spark, extracts, date_formats=["dd/MM/yyyy"])
+    read = files.read_parquet_canonical(spark, [f"{extracts}/Payment/P_2023.parquet"])
+    assert [tuple(r) for r in read.rejects.collect()] == [("P_2023.parquet", 2, "Amount_USD", "seven")]
     (tmp_path / "Payment" / "P_2022.xlsx").write_text("x")
     with pytest.raises(ValueError, match="P_2022.xlsx"):
         files.union_flows(spark, extracts)
 
 
-def test_csv_files_are_split_unless_cells_hold_line_breaks(spark, tmp_path):
-    lines = "\n".join(f'{k},"bank ""{k}"" x"' for k in range(20_000))
-    (tmp_path / "plain.csv").write_text(f"Hash_ID,Banks\n{lines}\n")
-    (tmp_path / "broken.csv").write_text(f'Hash_ID,Banks\n{lines}\nlast,"two\nlines"\n')
+def plain_records(text):
+    """Records of a CSV text and the line each begins at, character by character."""
+    found, record, line, first, state = [], "", 1, 1, "start"
+    for ch in text:
+        if ch == "\n" and state != "quoted":
+            found.append((first, record))
+            record, line, state = "", line + 1, "start"
+            first = line
+            continue
+        line += ch == "\n"
+        record += ch
+        if state == "quoted":
+            state = "quote" if ch == '"' else state
+        elif ch == '"' and state in ("start", "quote"):
+            state = "quoted"
+        else:
+            state = "start" if ch == "," else "plain"
+    return found + ([(first, record)] if record else [])
+
+
+def batches(chunks, draw):
+    for start, lines in chunks:
+        size = draw.randint(1, 5)
+        for low in range(0, len(lines), size):
+            part = lines[low : low + size]
+            yield pa.RecordBatch.from_arrays([pa.array(["f"] * len(part)), pa.array([start] * len(part)), pa.array(part, pa.string())], ["file", "start", "value"])
+
+
+def test_records_of_any_splits(monkeypatch):
+    draw = random.Random(1)
+    for _ in range(4000):
+        text = "head\n" + "".join(draw.choices(['"', ",", "a", "\n", '""', " "], weights=[3, 2, 3, 3, 1, 1], k=draw.randint(0, 60)))
+        lines = text.removesuffix("\n").split("\n")
+        borders = [0, *sorted(draw.sample(range(1, len(lines) + 1), min(len(lines), draw.randint(0, 4)))), len(lines)]
+        chunks = [(low, lines[low:high]) for low, high in zip(borders, borders[1:], strict=False) if low < high]
+        starts = records.chain([note for part in records.follow(batches(chunks, draw)) for note in part.to_pylist()])
+        monkeypatch.setattr(records, "HELD_CHARS", draw.choice([1, 10, 1_000_000]))
+        rows = []
+        for tasks in [chunks] if draw.random() < 0.5 else [[chunk] for chunk in chunks]:
+            cutter = records._Cutter(starts)
+            for batch in batches(tasks, draw):
+                for file, start, part in records._runs(batch):
+                    if cutter.at != (file, start):
+                        cutter.enter(file, start)
+                    cutter.add(part)
+                rows += cutter.taken().to_pylist()
+            cutter.leave()
+            rows += cutter.taken().to_pylist()
+        got = {}
+        for row in sorted(rows, key=lambda r: (r["line"], r["piece"] or 0)):
+            got[row["line"]] = row["text"] if row["line"] not in got else got[row["line"]] + "\n" + row["text"]
+        want = {line: record for line, record in plain_records(text.removesuffix("\n")) if line > 1 and record.strip()}
+        assert {line: record for line, record in got.items() if record.strip()} == want, text
+
+
+def test_csv_files_with_line_breaks_are_split(spark, tmp_path):
+    cells = [f'bank "{k}",\nx\n\n"{"y" * (k % 500)}' if k % 3 else f"plain {k}" for k in range(20_000)]
+    cells[700] = "z\n" * 150_000
+    lines = ["\ufeffHash_ID,Banks,\"Amount_USD\""] + [f"{k},\"{c.replace(chr(34), chr(34) * 2)}\",{k}.5" for k, c in enumerate(cells)]
+    (tmp_path / "broken.csv").write_text("\r\n".join(lines) + "\r\n", newline="")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
-        plain, broken = (files.read_csv_canonical(spark, [f"file://{tmp_path}/{n}.csv"]) for n in ("plain", "broken"))
-        assert plain.rdd.getNumPartitions() > 1 and broken.rdd.getNumPartitions() == 1
-        assert plain.count() == 20_000 and broken.count() == 20_001
-        assert broken.filter("Hash_ID = 'last'").first()["Banks"] == "two\nlines"
+        path = f"file://{tmp_path}/broken.csv"
+        notes = records.notes_of(spark, [path])
+        assert len(notes) > 20 and sum(s.record is not None for s in records.chain(notes).values()) > 10
+        assert records.pieces_of(spark, [path], notes).rdd.getNumPartitions() > 20
+        read = files.read_csv_canonical(spark, [path])
+        rows = {r.Hash_ID: (r.Banks, r.Amount_USD) for r in read.rows.collect()}
+        assert rows == {str(k): (c, k + 0.5) for k, c in enumerate(cells)} and read.rejects.isEmpty()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_records_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\nHash_ID,Banks,Amount_USD\n1,a,1\n\n2,b\n3,c,3,more\n4,5" pipe,4\n5,"d" e,5\n6,"open\n7,f,7\n')
+    read = files.read_csv_canonical(spark, [f"file://{tmp_path}/a.csv"])
+    rows = {r.Hash_ID: (r.Banks, r.Amount_USD) for r in read.rows.collect()}
+    assert rows["1"] == ("a", 1.0) and rows["2"] == ("b", None) and rows["3"] == ("c", 3.0) and rows["4"] == ('5" pipe', 4.0)
+    assert rows["5"][1] == 5.0 and set(rows) == {"1", "2", "3", "4", "5", "6"}
+    assert {(r.line, r.field, r.filed) for r in read.rejects.collect()} == {(5, None, "2,b"), (6, None, "3,c,3,more"), (9, None, '6,"open\n7,f,7')}
+    (tmp_path / "b.csv").write_text('Hash_ID,Banks\n')
+    assert files.read_csv_canonical(spark, [f"file://{tmp_path}/b.csv"]).rows.count() == 0
+    (tmp_path / "c.csv").write_text("Hash_ID,Banks\r1,a\r2,b\r", newline="")
+    with pytest.raises(ValueError, match="carriage return"):
+        files.read_csv_canonical(spark, [f"file://{tmp_path}/c.csv"])
+
+
 def test_an_unknown_header_stops_the_import(spark, ws):
     flow = files.direction_of(F.col("file"), F.col("sheet"))
     names = purpose_name_frame(spark, Config())

@@ -181,8 +181,8 @@ add("P22_title_case",
 
 # -- deduplication -----------------------------------------------------------
 
-add("W1_rank_duplicates", lambda ws: W.rank_duplicates(ws.tx_all).select("Hash_ID", "dup_rank"),
-    "SELECT Hash_ID, dup_rank FROM ranked")
+add("W1_rank_duplicates", lambda ws: W.rank_duplicates(ws.tx_all).select("Hash_ID", "dup_rank", "dup_count"),
+    "SELECT Hash_ID, dup_rank, dup_count FROM ranked")
 add("W2_dup_count", lambda ws: W.dup_count(ws.tx_all).select("Hash_ID", "dup_count"),
     "SELECT Hash_ID, dup_count FROM ranked")
 add("W3_dedup", lambda ws: W.dedup(ws.tx_all).select("Hash_ID", "ref", "usd"),

@@ -7,32 +7,81 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from remitra.config import values
-from remitra.operators.scale import even_slices, grouped, larger_groups, running_total, with_group_size
+from remitra.operators.scale import grouped, with_group_size
 from remitra.session import stage
 
 KEYS = ["bank", "flow", "ymd", "ref", "currency", "amt_orig"]
 
+#: Rows of a group that one task ranks, and one in how many rows tells which groups have more.
+SLICE_ROWS, SAMPLED = 2_000_000, 500
+#: The part of a cut group that holds rows without an id.
+SLICES_END = 1 << 30
+
 
 def identifies(ref: Column) -> Column:
     """A missing or short reference cannot establish identity."""
     return F.coalesce(F.length(ref) >= values.MIN_REFERENCE_LENGTH, F.lit(False))
 
 
-def rank_duplicates(tx_all: DataFrame) -> DataFrame:
-    """``dup_rank`` of every row among its copies, by row id.
+def hot_groups(tx_all: DataFrame, rows: int = SLICE_ROWS, one_in: int = SAMPLED) -> DataFrame:
+    """Staged (``_hot``, ``_borders``) of groups too large for one task, with ids that cut them into parts of about ``rows``.
 
-    A row without copies is first. The others are ranked in even slices of the
-    id, so copies that make up a large share of all rows are ranked by many tasks.
+    Read from one in ``one_in`` rows, picked by a hash of the id, of the key
+    columns alone. A group that the sample misses stays whole; results are the same.
     """
-    rows = tx_all.filter(identifies(F.col("ref")))
-    several = larger_groups(rows, KEYS, "_size")
-    sized = grouped(rows, KEYS).join(several, F.col("_group") == F.col("_match"), "left").drop("_group", "_match")
-    copies = stage(sized.filter("_size IS NOT NULL").drop("_size"), "copies")
-    order = F.col("Hash_ID").asc_nulls_last()
-    ranked = running_total(copies, KEYS, even_slices(copies, "Hash_ID"), [order], F.lit(1), "dup_rank")
-    first = lambda df: df.withColumn("dup_rank", F.lit(1).cast("long"))
-    alone = tx_all.filter(~identifies(F.col("ref")))
-    return ranked.unionByName(first(sized.filter("_size IS NULL").drop("_size"))).unionByName(first(alone))
+    picked = F.pmod(F.xxhash64("Hash_ID"), F.lit(one_in)) == 0
+    sample = grouped(tx_all.filter(identifies(F.col("ref")) & picked).select(*KEYS, "Hash_ID"), KEYS)
+    step = max(1, rows // one_in)
+    ids = F.array_sort(F.collect_list("Hash_ID"))
+    large = sample.groupBy(F.col("_group").alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > step)
+    cut = sample.join(stage(large, "large"), F.col("_group") == F.col("_hot")).groupBy("_hot").agg(ids.alias("_ids"))
+    return stage(cut.select("_hot", F.filter("_ids", lambda _, k: k % step == step - 1).alias("_borders")), "hot")
+
+
+def rank_duplicates(tx_all: DataFrame, rows: int = SLICE_ROWS, one_in: int = SAMPLED) -> DataFrame:
+    """``dup_rank`` of every row among its copies, by row id, and ``dup_count``, how many there are.
+
+    One shuffle by group gives both; rows that cannot be copies are spread by
+    their id. A group too large for one task is cut along the id, and what each
+    part has before it is added to its local ranks.
+    """
+    is_copy = identifies(F.col("ref"))
+    marked = tx_all.withColumns({"_group": F.when(is_copy, F.struct(*KEYS)), "_alone": F.when(~is_copy, F.xxhash64("Hash_ID"))})
+    hot = hot_groups(tx_all, rows, one_in)
+    cut = not hot.isEmpty()
+    marked = _sliced(marked, hot) if cut else marked.withColumn("_slice", F.lit(0))
+    part = W.partitionBy("_group", "_alone", "_slice")
+    ranked = marked.withColumns({
+        "dup_rank": F.row_number().over(part.orderBy(F.col("Hash_ID").asc_nulls_last())).cast("long"), "dup_count": F.count("*").over(part),
+    })
+    if cut:
+        ranked = _carried(ranked, _sliced(tx_all.filter(is_copy).select(F.struct(*KEYS).alias("_group"), "Hash_ID"), hot, "inner"))
+    one = F.lit(1).cast("long")
+    ranks = {name: F.when(is_copy, F.col(name)).otherwise(one) for name in ("dup_rank", "dup_count")}
+    return ranked.withColumns(ranks).drop("_group", "_alone", "_slice")
+
+
+def _sliced(df: DataFrame, hot: DataFrame, how: str = "left") -> DataFrame:
+    """Add the part of its group that a row is in."""
+    part = (
+        F.when(F.col("_borders").isNull(), 0).when(F.col("Hash_ID").isNull(), SLICES_END)
+        .otherwise(F.size(F.filter("_borders", lambda border: border < F.col("Hash_ID"))))
+    )
+    return df.join(hot, F.col("_group") == F.col("_hot"), how).withColumn("_slice", part).drop("_hot", "_borders")
+
+
+def _carried(ranked: DataFrame, of_cut_groups: DataFrame) -> DataFrame:
+    """Ranks and sizes within parts become those within groups."""
+    counts = of_cut_groups.groupBy("_group", "_slice").agg(F.count("*").alias("_n"))
+    group = W.partitionBy("_group")
+    before = F.sum("_n").over(group.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    carry = counts.select(
+        F.struct("_group", "_slice").alias("_match"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_all")
+    )
+    joined = ranked.join(stage(carry, "carry"), F.struct("_group", "_slice") == F.col("_match"), "left")
+    return joined.withColumns({
+        "dup_rank": F.col("dup_rank") + F.coalesce("_before", F.lit(0)), "dup_count": F.coalesce("_all", "dup_count"),
+    }).drop("_match", "_before", "_all")
 
 
 def dup_count(tx_all: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -109,7 +111,9 @@ def test_repeat_submissions(spark):
     tx = df.withColumns({"flow": F.lit("Payment"), "ymd": F.lit("2020-01-01"), "amt_orig": F.lit(1.0)})
     ranks = {r["Hash_ID"]: r["dup_rank"] for r in W.rank_duplicates(tx).collect()}
     assert ranks == {"1": 1, "3": 2, None: 3, "2": 1, "4": 2, "5": 1, "6": 1, "7": 1, "8": 1, "0": 1, "9": 2}
+    sizes = {r["Hash_ID"]: r["dup_count"] for r in W.rank_duplicates(tx).collect()}
     counts = {r["Hash_ID"]: r["dup_count"] for r in W.dup_count(tx).collect()}
+    assert counts == sizes
     assert counts == {"1": 3, "3": 3, None: 3, "2": 2, "4": 2, "5": 1, "6": 1, "7": 1, "8": 1, "0": 2, "9": 2}
     kept = {r["Hash_ID"] for r in W.dedup(tx).collect()}
     assert kept == {"1", "2", "5", "6", "7", "8", "0"}
@@ -119,3 +123,24 @@ def test_repeat_submissions(spark):
 def test_dedup_drops_copies_before_the_shuffle(ws):
     plan = W.dedup(ws.tx_all)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_ranks_take_one_shuffle_and_one_read(ws):
+    plan = W.rank_duplicates(ws.tx_all)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_groups_too_large_for_a_task_are_cut(spark):
+    rows = [(f"{(k * 7919) % 5000:04d}" if k % 50 else None, "A" if k % 3 else f"B{k % 40}") for k in range(5000)]
+    df = spark.createDataFrame(rows, "Hash_ID string, bank string").withColumns({
+        "ref": F.lit("12345"), "currency": F.lit("USD"), "flow": F.lit("P"), "ymd": F.lit("2020-01-01"), "amt_orig": F.lit(1.0)})
+    assert W.hot_groups(df, 100, 2).count() == 1
+    got = W.rank_duplicates(df, 100, 2).select("bank", "Hash_ID", "dup_rank", "dup_count").collect()
+    groups = defaultdict(list)
+    for name, bank in rows:
+        groups[bank].append(name)
+    want = []
+    for bank, names in groups.items():
+        order = sorted(names, key=lambda n: (n is None, n or ""))
+        want += [(bank, n, k + 1, len(order)) for k, n in enumerate(order)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from datetime import date
 
@@ -18,7 +16,9 @@ from remitra.config import loader
 from remitra.functions import numbers, text
 from remitra.operators import dims as D
 from remitra.operators import imports as I
+from remitra.operators import exceptions as X
 from remitra.operators import rates as K
+from remitra.operators import rules as R
 from remitra.operators.clean import clean
 from remitra.session import shared_dir, stage
 from remitra.sources import files, sinks
@@ -104,13 +104,42 @@ add("S5_load_reference",
         GROUP BY ALL""")
 
 
+def _out(ws, name):
+    return f"{shared_dir(ws.spark)}/out/{name}-{uuid.uuid4().hex}"
+
+
+# An override folder: two aliases, and rules, duplicate keys and bands that differ from the built-in ones.
+_OVERRIDES = {
+    "bank_aliases.json": {"aliases": {"Bank 1": "BANK-0", "bank2": "Bank0"}},
+    "bop_rules.json": {
+        "purposeTransform": {"rules": [
+            {"id": "keep_bcel", "bank": "BCEL", "purposePrefix": ["05"], "action": "keep"},
+            {"id": "financial_to_0601", "flow": "Receive", "purposePrefix": ["05"], "action": "set", "to": "0601", "why": "test"},
+            {"id": "korea", "bank": "!OPD", "country": "KR", "sectorPrefix": ["03"], "action": "set", "to": "0301"},
+        ]},
+        "m2Flag": {"forceYes": [{"flow": "Payment", "purposeEquals": ["0404"]}],
+                   "setNo": [{"bank": ["LDB", "BOC"], "purposePrefix": ["01", "02"]}, {"nameContains": ["moneygram"]}]},
+        "useFlag": {"rules": [
+            {"value": "Cash_{bank}", "anyOf": [{"purposePrefix": ["07"]}, {"bank": "OPD", "remarkContains": ["loan", "move"]}]},
+            {"value": "No", "flow": "Payment", "country": "TH"}, {"value": "Yes", "default": True}]},
+        "duplicates": {"tierA": {"keys": ["bank", "reference", "currency"], "minReferenceLength": 3},
+                       "tierD": {"keys": ["flow", "date", "purpose", "transferorName"], "requireNames": True}},
+        "exchangeRate": {"bands": {"usd": {"min": 21100, "max": 22000}, "THB": {"min": 600, "max": 652.5, "note": "x"}},
+                         "usdPerUsdBand": {"min": 20500, "max": 23000}},
+    },
+}
+
+
+def _override_folder(ws):
+    folder = _out(ws, "config")
+    for name, document in _OVERRIDES.items():
+        ws.spark.range(1).select(F.lit(json.dumps(document))).coalesce(1).write.text(f"{folder}/{name}")
+    return loader.load_config(folder, ws.spark)
+
+
 def _configured(ws):
     """Bank groups under aliases that come from an override folder."""
-    folder = tempfile.mkdtemp(prefix="remitra-config-")
-    with open(os.path.join(folder, "bank_aliases.json"), "w", encoding="utf-8") as f:
-        json.dump({"aliases": {"Bank 1": "BANK-0", "bank2": "Bank0"}}, f)
-    banks = D.dim_banks(ws.base, loader.load_config(folder))
-    return banks.select("bank", "key")
+    return D.dim_banks(ws.base, _override_folder(ws)).select("bank", "key")
 
 
 add("S6_load_config", _configured,
@@ -118,8 +147,55 @@ add("S6_load_config", _configured,
         FROM (SELECT DISTINCT bank, {bank_key('bank')} AS k FROM tx WHERE bank IS NOT NULL)""")
 
 
-def _out(ws, name):
-    return f"{shared_dir(ws.spark)}/out/{name}-{uuid.uuid4().hex}"
+_EDITED = """(SELECT *, CASE WHEN bank = 'BCEL' AND starts_with(purpose, '05') THEN purpose
+      WHEN flow = 'Receive' AND starts_with(purpose, '05') THEN '0601'
+      WHEN coalesce(bank, '') <> 'OPD' AND country = 'KR' AND starts_with(sector, '03') THEN '0301' ELSE purpose END AS final_purpose FROM rules)"""
+add("S6_edited_rules",
+    lambda ws: R.classify(ws.rules, _override_folder(ws).rules).select("id", "final_purpose", "m2_rule", "use_rule"),
+    f"""SELECT id, final_purpose,
+          CASE WHEN flow = 'Payment' AND final_purpose = '0404' THEN 'Yes'
+            WHEN bank IN ('LDB', 'BOC') AND final_purpose[:2] IN ('01', '02') THEN 'No'
+            WHEN contains(upper(name), 'MONEYGRAM') THEN 'No' ELSE 'Yes' END AS m2_rule,
+          CASE WHEN starts_with(final_purpose, '07') OR (bank = 'OPD' AND (contains(upper(remark), 'LOAN') OR contains(upper(remark), 'MOVE')))
+              THEN concat('Cash_', coalesce(bank, ''))
+            WHEN flow = 'Payment' AND country = 'TH' THEN 'No' ELSE 'Yes' END AS use_rule
+        FROM {_EDITED}""")
+
+
+def _edited_tiers(ws):
+    whole = None
+    for name, tier in _override_folder(ws).rules.tiers.items():
+        part = X.dup_summary(X.dup_tier(ws.tx_all, **tier)).select(F.lit(name).alias("tier"), "*")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+add("S6_edited_tiers", _edited_tiers,
+    " UNION ALL ".join(
+        f"""SELECT '{tier}' AS tier, count(*) AS groups, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS extra, {usd_m('usd * (c - 1) / c')} AS usd_m
+            FROM (SELECT count(*) AS c, sum(usd) AS usd FROM tx_all WHERE {where} GROUP BY {keys} HAVING count(*) > 1)"""
+        for tier, keys, where in (("A", "bank, ref, currency, yr", "length(ref) >= 3"),
+                                  ("D", "flow, ymd, pur5, tr_name, yr", "tr_name IS NOT NULL AND rc_name IS NOT NULL"))))
+add("S6_edited_bands",
+    lambda ws: X.rate_band_check(ws.tx, _override_folder(ws)).groupBy("currency", "kind").agg(F.count("*").alias("n")).unionByName(
+        clean(ws.raw, _override_folder(ws).rules.usd_band).filter("bad_fx").select(
+            F.lit("LAK per USD").alias("currency"), F.lit("bad").alias("kind")).groupBy("currency", "kind").agg(F.count("*").alias("n"))),
+    """SELECT currency, kind, count(*) AS n FROM (
+         SELECT currency, CASE WHEN fxkip = 0 THEN 'zero' WHEN fxkip < low THEN 'low' WHEN fxkip > high THEN 'high' END AS kind
+         FROM tx JOIN (VALUES ('USD', 21100, 22000), ('THB', 600, 652.5)) AS b(currency, low, high) USING (currency)
+         UNION ALL SELECT 'LAK per USD', 'bad' FROM tx_all WHERE fx IS NULL OR fx < 20500 OR fx > 23000)
+       WHERE kind IS NOT NULL GROUP BY ALL""")
+
+
+def _rules_shown(ws):
+    """Rules in force with the number of each section, and the words of one."""
+    frame = loader.rules_frame(ws.spark, _override_folder(ws))
+    return ws.rules.groupBy("bank").agg(F.count("*").alias("n")).join(
+        frame.filter("section = 'purpose'").select("position", F.get_json_object("declared", "$.bank").alias("bank")), "bank")
+
+
+add("S6_rules_in_force", _rules_shown,
+    "SELECT bank, count(*) AS n, 0 AS position FROM rules WHERE bank = 'BCEL' GROUP BY bank")
 
 
 def _canonical(ws):

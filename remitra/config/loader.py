@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from remitra.config import values
+from remitra.config import declared, values
 
 
 @dataclass
@@ -27,46 +28,60 @@ class Config:
     country_names_lo: dict[str, str] = field(default_factory=dict)
     officers: dict[str, str] = field(default_factory=dict)
     bank_names_lo: dict[str, str] = field(default_factory=dict)
+    rules: declared.Rules = field(default_factory=declared.Rules)
 
     def __post_init__(self) -> None:
         self.report_lines = sorted(self.report_lines, key=lambda line: line[1])
 
 
-def _read(folder: str, name: str, key: str):
-    path = os.path.join(folder, name)
-    if not os.path.exists(path):
-        return None
-    with open(path, encoding="utf-8") as f:
-        return json.load(f).get(key)
-
-
-def load_config(folder: str | None = None) -> Config:
-    """Read the override folder on the driver; each file holds one bounded lookup."""
+def _documents(folder: str, spark: SparkSession | None) -> dict[str, dict]:
+    """The JSON files of a folder by name, read by Spark where a session is given, so from any store it reaches."""
+    if spark is None:
+        texts = {}
+        for name in os.listdir(folder):
+            if name.endswith(".json"):
+                with open(os.path.join(folder, name), encoding="utf-8") as f:
+                    texts[name] = f.read()
+    else:
+        files = spark.read.option("wholetext", True).text(f"{folder}/*.json").select("_metadata.file_path", "value")
+        texts = {}
+        for path, text in files.orderBy("file_path").collect():  # bounded lookups, written by hand
+            name = next(part for part in unquote(path).split("/")[::-1] if part.endswith(".json"))
+            texts[name] = texts.get(name, "") + text
+    return {name: json.loads(text) for name, text in texts.items()}
+
+
+def load_config(folder: str | None = None, spark: SparkSession | None = None) -> Config:
+    """Lookups and rules of an override folder, each file holding one bounded list; on the driver's disk without a session."""
     if folder is None:
         return Config()
+    documents = _documents(folder, spark)
+    _read = lambda name, key: documents.get(name, {}).get(key)
     given: dict = {
-        "bank_aliases": _read(folder, "bank_aliases.json", "aliases"),
-        "purpose_names": _read(folder, "purpose_names.json", "names"),
-        "country_names_lo": _read(folder, "country_names_lo.json", "names"),
-        "officers": _read(folder, "bank_officers.json", "officers"),
-        "bank_names_lo": _read(folder, "bank_officers.json", "names_lo"),
+        "bank_aliases": _read("bank_aliases.json", "aliases"),
+        "purpose_names": _read("purpose_names.json", "names"),
+        "country_names_lo": _read("country_names_lo.json", "names"),
+        "officers": _read("bank_officers.json", "officers"),
+        "bank_names_lo": _read("bank_officers.json", "names_lo"),
     }
-    acronyms = _read(folder, "name_acronyms.json", "acronyms")
+    if "bop_rules.json" in documents:
+        given["rules"] = declared.parse(documents["bop_rules.json"])
+    acronyms = _read("name_acronyms.json", "acronyms")
     if acronyms is not None:
         given["acronyms"] = [a.strip().upper() for a in acronyms if a.strip()]
     # The built-in placeholders can be added to, never shrunk.
-    extra = _read(folder, "name_blocklist.json", "names") or []
+    extra = _read("name_blocklist.json", "names") or []
     given["blocklist"] = sorted(
         {*values.PLACEHOLDER_NAMES, *(n.strip().upper() for n in extra if n.strip())}
     )
-    lines = _read(folder, "report_lines.json", "lines")
+    lines = _read("report_lines.json", "lines")
     if lines is not None:
         given["report_lines"] = [
             (x["id"], x["order"], x.get("group", "financial"), bool(x.get("bankOwn")),
              list(x["codes"]), bool(x.get("catchAll")), x["lo"], x["en"])
             for x in lines
         ]
-    rule = _read(folder, "report_lines.json", "bankOwnRule")
+    rule = _read("report_lines.json", "bankOwnRule")
     if rule is not None:
         given["own_patterns"] = rule.get("namePatterns", [])
     return Config(**{k: v for k, v in given.items() if v is not None})
@@ -112,8 +127,22 @@ def quality_field_frame(spark: SparkSession) -> DataFrame:
     return _frame(spark, rows, "field_ix int, field string, en string, lo string")
 
 
-def rate_band_frame(spark: SparkSession) -> DataFrame:
-    return _frame(spark, values.RATE_BANDS, "currency string, low double, high double")
+def rate_band_frame(spark: SparkSession, config: Config) -> DataFrame:
+    return _frame(spark, config.rules.rate_bands, "currency string, low double, high double")
+
+
+def rules_frame(spark: SparkSession, config: Config) -> DataFrame:
+    """Every rule in force, in its order."""
+    return _frame(spark, declared.in_force(config.rules), "section string, position int, name string, declared string")
+
+
+def limits_frame(spark: SparkSession) -> DataFrame:
+    """The numbers that tables are cut and judged by."""
+    limits = {
+        "late_days": values.LATE_DAYS, "exception_rows": values.EXCEPTION_LIMIT, "median_rows": values.MEDIAN_MIN_ROWS,
+        "reference_length": values.MIN_REFERENCE_LENGTH,
+    }
+    return _frame(spark, [(k, float(v)) for k, v in limits.items()], "name string, value double")
 
 
 def blocklist_frame(spark: SparkSession, config: Config) -> DataFrame:

@@ -62,7 +62,7 @@ def drop_undated(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col("Date_of_Transaction").isNotNull())
 
 
-def clean(raw: DataFrame) -> DataFrame:
+def clean(raw: DataFrame, usd_band: tuple[float, float] = (values.FX_MIN, values.FX_MAX)) -> DataFrame:
     """Raw rows of either direction to the columns every report reads."""
     done, filed = F.col("Date_of_Transaction"), F.col("Date_of_Submission")
     columns = {
@@ -81,7 +81,7 @@ def clean(raw: DataFrame) -> DataFrame:
         "fxkip": F.col("Exchange_Rates_Kip"),
         "Source_File": F.col("Source_File"),
         **yes_flags(),
-        **quality_flags(),
+        **quality_flags(*usd_band),
     }
     return drop_undated(raw).select(*[c.alias(name) for name, c in columns.items()])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitra.config import loader, values
-from remitra.config.rules import DUPLICATE_TIERS
+from remitra.config.loader import Config
 from remitra.functions.numbers import millions, r2
 from remitra.functions.text import clean_name
 from remitra.operators import fact as J
@@ -19,12 +19,12 @@ from remitra.operators.scale import exact_percentile, top_k
 # -- exchange rates ----------------------------------------------------------
 
 
-def fx_by_year_bank(tx: DataFrame, dims: Dims) -> DataFrame:
+def fx_by_year_bank(tx: DataFrame, dims: Dims, band: tuple[float, float] = (values.FX_MIN, values.FX_MAX)) -> DataFrame:
     fx = F.col("fx")
     counts = tx.filter("bad_fx").groupBy("yr", "bank").agg(
         F.count_if(fx.isNull()).alias("missing"),
-        F.count_if(fx < values.FX_MIN).alias("low"),
-        F.count_if(fx > values.FX_MAX).alias("high"),
+        F.count_if(fx < band[0]).alias("low"),
+        F.count_if(fx > band[1]).alias("high"),
     )
     counts = J.join_bank_inner(J.join_years(counts, dims), dims)
     return counts.groupBy("year_ix", "bank_ix").agg(
@@ -111,15 +111,15 @@ def _with_positions(df: DataFrame, dims: Dims) -> DataFrame:
     )
 
 
-def rate_band_check(tx: DataFrame) -> DataFrame:
+def rate_band_check(tx: DataFrame, config: Config | None = None) -> DataFrame:
     """Filed kip rates that are zero or outside the declared band of their currency."""
-    bands = loader.rate_band_frame(tx.sparkSession)
+    bands = loader.rate_band_frame(tx.sparkSession, config or Config())
     rate = F.col("fxkip")
     kind = (
         F.when(rate == 0, "zero").when(rate < F.col("low"), "low").when(rate > F.col("high"), "high")
     )
     return (
-        tx.join(F.broadcast(bands), "currency").withColumn("kind", kind)
+        tx.join(bands, "currency").withColumn("kind", kind)
         .filter("kind IS NOT NULL").select("Hash_ID", "ymd", "currency", "fxkip", "kind")
     )
 
@@ -148,10 +148,6 @@ def dup_tier(
     return groups.filter("c > 1")
 
 
-def declared_tier(tx_all: DataFrame, tier: str) -> DataFrame:
-    return dup_tier(tx_all, **DUPLICATE_TIERS[tier])
-
-
 def excess() -> Column:
     """Value of the copies beyond the first."""
     return F.col("usd") * (F.col("c") - 1) / F.col("c")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitra.config import rules as R
+from remitra.config.declared import Rules
 
 # What a rule condition is tested against: condition name -> column of the input.
 FIELDS = {
@@ -81,6 +82,9 @@ TESTS: dict[str, Callable] = {
 
 def condition(rule: dict) -> Column:
     """All conditions of a rule together; a rule without any holds for every row."""
+    unknown = set(rule) - set(TESTS) - {"id", "action", "to", "value", "default"}
+    if unknown:
+        raise ValueError(f"unknown condition {', '.join(sorted(unknown))} in {rule}")
     holds = F.lit(True)
     for key, test in TESTS.items():
         if key in rule:
@@ -114,10 +118,12 @@ def _reading(purpose: str) -> dict[str, str]:
     return {**FIELDS, "purpose": purpose}
 
 
-def m2_flag(df: DataFrame, purpose: str = "final_purpose") -> DataFrame:
+def m2_flag(
+    df: DataFrame, purpose: str = "final_purpose", force_yes: Sequence[dict] = R.M2_FORCE_YES, set_no: Sequence[dict] = R.M2_SET_NO,
+) -> DataFrame:
     """Yes where forced, else No where a rule says so, else Yes."""
-    forced = _any([condition(rule) for rule in R.M2_FORCE_YES])
-    refused = _any([condition(rule) for rule in R.M2_SET_NO])
+    forced = _any([condition(rule) for rule in force_yes])
+    refused = _any([condition(rule) for rule in set_no])
     flag = F.when(forced, "Yes").when(refused, "No").otherwise("Yes")
     return decide(df, "m2_rule", flag, _reading(purpose))
 
@@ -146,6 +152,14 @@ def apply_overrides(df: DataFrame, overrides: DataFrame) -> DataFrame:
     }).drop("_purpose", "_amount")
 
 
+def classify(df: DataFrame, rules: Rules, overrides: DataFrame | None = None) -> DataFrame:
+    """``final_purpose``, ``m2_rule`` and ``use_rule`` by all declared rules; manual corrections of the purpose come before the flags."""
+    df = purpose_transform(df, rules.purpose)
+    if overrides is not None:
+        df = apply_overrides(df, overrides)
+    return use_flag(m2_flag(df, force_yes=rules.m2_yes, set_no=rules.m2_no), rules.use)
+
+
 def bank_own(name: Column, patterns: Sequence[str], line_own: Column | None = None) -> Column:
     """Own-account business of a commercial bank, by name pattern or by report line."""
     pattern = "|".join(re.escape(p.upper()) for p in patterns)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 
 from remitra.config import loader
 from remitra.config.loader import Config
-from remitra.config.rules import DUPLICATE_TIERS
 from remitra.operators import cubes as C
 from remitra.operators import dims as D
 from remitra.operators import entities as E
@@ -43,7 +42,7 @@ class Build:
     @cached_property
     def tx_all(self) -> DataFrame:
         """Before deduplication. Written, as deduplication and three duplicate tiers read it."""
-        return stage(clean(self.raw), "tx_all")
+        return stage(clean(self.raw, self.config.rules.usd_band), "tx_all")
 
     @cached_property
     def tx(self) -> DataFrame:
@@ -85,7 +84,7 @@ class Build:
     @cached_property
     def tiers(self) -> dict[str, DataFrame]:
         return stage_all(self.raw.sparkSession, {
-            tier: lambda t=tier: X.declared_tier(self.tx_all, t) for tier in DUPLICATE_TIERS
+            name: lambda t=tier: X.dup_tier(self.tx_all, **t) for name, tier in self.config.rules.tiers.items()
         })
 
     @cached_property
@@ -124,7 +123,9 @@ class Build:
             "dim_goods": loader.goods_frame(spark),
             "dim_size_bands": loader.size_band_frame(spark),
             "dim_quality_fields": loader.quality_field_frame(spark),
-            "rate_bands": loader.rate_band_frame(spark),
+            "rate_bands": loader.rate_band_frame(spark, config),
+            "rules_in_force": loader.rules_frame(spark, config),
+            "limits": loader.limits_frame(spark),
             "own_patterns": loader.list_frame(spark, config.own_patterns, "pattern"),
             "initialisms": loader.list_frame(spark, config.acronyms, "token"),
             "blocked_names": loader.list_frame(spark, config.blocklist, "name"),
@@ -172,14 +173,14 @@ class Build:
     def exceptions(self) -> dict[str, DataFrame]:
         dims = self.dims
         tables = {
-            "fx_by_year_bank": X.fx_by_year_bank(self.tx, dims),
+            "fx_by_year_bank": X.fx_by_year_bank(self.tx, dims, self.config.rules.usd_band),
             "ccy_rates": X.ccy_rates(self.medians, dims),
             "fx_counts": X.fx_counts(self.judged),
             "fx_rows": X.fx_rows(self.judged, dims),
-            "rate_band_check": X.rate_band_check(self.tx),
+            "rate_band_check": X.rate_band_check(self.tx, self.config),
         }
         for tier, groups in self.tiers.items():
-            keys = DUPLICATE_TIERS[tier]["keys"]
+            keys = self.config.rules.tiers[tier]["keys"]
             tables[f"dup_{tier}_summary"] = X.dup_summary(groups)
             tables[f"dup_{tier}_by_year_bank"] = X.dup_by_year_bank(groups, dims)
             tables[f"dup_{tier}_rows"] = X.dup_rows(groups, keys, dims)

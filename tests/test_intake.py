@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from dataclasses import replace
 from datetime import date, datetime
 from types import SimpleNamespace
 
@@ -318,6 +319,32 @@ def test_rules(spark):
     assert [tuple(r) for r in got.collect()] == [expected for _, expected in RULE_CASES]
 
 
+def test_slips_in_rule_files_are_errors(tmp_path):
+    good = {"id": "a", "purposePrefix": ["05"], "action": "keep"}
+    use = {"value": "Yes", "default": True}
+    for document, where in [
+        ({"purposeTransfrom": {}}, "unknown purposeTransfrom"), ({"purposeTransform": {"rules": [{**good, "purposePrefx": ["x"]}]}}, "purposePrefx"),
+        ({"purposeTransform": {"rules": [good, good]}}, "id of its own"), ({"purposeTransform": {"rules": [{**good, "action": "set"}]}}, "needs a code"),
+        ({"purposeTransform": {"rules": [{**good, "purposePrefix": "05"}]}}, "list of texts"), ({"purposeTransform": {"rules": [{**good, "flow": "In"}]}}, "flow"),
+        ({"m2Flag": {"setNo": [{}]}}, "no condition"), ({"m2Flag": {"setNo": [{"bank": 7}]}}, "a text"), ({"useFlag": {"rules": [use, use]}}, "follow the default"),
+        ({"useFlag": {"rules": [{"value": "No", "flow": "both"}]}}, "last rule"), ({"useFlag": {"rules": [{"value": "x", "anyOf": [{"default": True}]}, use]}}, "unknown default"),
+        ({"duplicates": {"tierA": {"keys": ["bnak"]}}}, "unknown bnak"), ({"duplicates": {"tierA": {"keys": ["bank"], "minReferenceLength": "4"}}}, "whole number"),
+        ({"exchangeRate": {"bands": {"USD": {"min": 3, "max": 2}}}}, "in this order"), ({"exchangeRate": {"usdPerUsdBand": {"low": 1}}}, "unknown low"),
+    ]:
+        (tmp_path / "bop_rules.json").write_text(json.dumps(document))
+        with pytest.raises(ValueError, match=where):
+            load_config(str(tmp_path))
+
+
+def test_a_rule_file_may_leave_sections_out(spark, tmp_path):
+    (tmp_path / "bop_rules.json").write_text(json.dumps({
+        "_README": ["x"], "exchangeRate": {"_note": [], "bands": {"usd": {"min": 1, "max": 2}}, "manualOverrideSheet": "s"}, "manualOverrides": {"a": 1}}))
+    config = load_config(f"file://{tmp_path}", spark)
+    assert config.rules == replace(Config().rules, rate_bands=[("USD", 1.0, 2.0)]) and load_config(str(tmp_path)).rules == config.rules
+    with pytest.raises(ValueError, match="unknown condition"):
+        R.condition({"purposPrefix": ["05"]})
+
+
 def test_flag_rules_can_read_the_filed_purpose(spark):
     df = spark.createDataFrame([("LDB", "Payment", "TH", "050203", None, None, None)],
                                "bank string, flow string, country string, purpose string, sector string, name string, remark string")

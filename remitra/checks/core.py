@@ -316,7 +316,7 @@ add("D1_months", lambda ws: ws.dims.months, "SELECT ym, month_ix FROM months")
 add("D1_years", lambda ws: ws.dims.years, "SELECT yr, year_ix FROM years")
 add("D2_purposes", lambda ws: ws.dims.purposes,
     "SELECT code, en, name, parent, pur2, line_ix, purpose_ix FROM purposes")
-add("D3_purpose_name_votes", lambda ws: D.purpose_name_votes(ws.tx),
+add("D3_purpose_name_votes", lambda ws: D.purpose_name_votes(ws.names),
     "SELECT pur5, name, CAST(votes AS BIGINT) AS votes FROM votes")
 add("D4_countries", lambda ws: ws.dims.countries.select("country", "country_ix", "name"),
     "SELECT country, country_ix, country AS name FROM countries")

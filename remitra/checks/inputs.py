@@ -249,6 +249,19 @@ class Workspace(Build):
             _write_csv(rows.filter(F.col("_flow") == flow).drop("_flow"), f"{root}/{flow}/all.csv")
         return root
 
+    @cached_property
+    def replaced(self):
+        """The store of all years, 1998 first with half its even rows left out, then 1998 sent again in full."""
+        import uuid
+
+        from remitra.plans.yearly import YearStore
+
+        store = YearStore(self.spark, f"{shared_dir(self.spark)}/store-{uuid.uuid4().hex}")
+        rows = self.raw.withColumns({"Flow": F.col("_flow"), "Source_Year": F.coalesce("Source_Year", F.year("Date_of_Transaction").cast("long"))})
+        store.replace(rows.filter("Source_Year <> 1998 OR row_no % 2 = 1"))
+        store.replace(rows.filter("Source_Year = 1998"))
+        return store.build()
+
     @cached_property
     def cells(self) -> DataFrame:
         """Cells of header-matched exports: one file per direction and year, two layouts."""

@@ -235,8 +235,8 @@ def _pack(ws):
     path = _out(ws, "pack")
     cubes = ws.cubes()
     sinks.write_payload({n: cubes[n] for n in ("bank", "flags", "size", "source_stats")}, path, True)
-    pack = ws.spark.read.option("wholetext", "false").text(f"{path}/_pack")
-    parsed = F.from_json("value", "n long, usd_m double")
+    pack = sinks.read_payload(ws.spark, path)
+    parsed = F.from_json("row", "n long, usd_m double")
     return pack.groupBy(F.col("table")).agg(
         F.count("*").alias("rows"), F.sum(parsed["n"]).alias("n"))
 
@@ -261,7 +261,7 @@ def _published(ws):
     rates = K.rates_table(ws.rate_pages)
     sinks.write_rates(rates, path)
     sinks.write_rates(rates.filter("code = 'none'"), path)
-    return ws.spark.read.schema(rates.schema).json(path).select("source", "code", "buy", "sell")
+    return sinks.read_rates(ws.spark, path).select("source", "code", "buy", "sell")
 
 
 _BUY = "(14000 + (page_id * 137) % 30000)"

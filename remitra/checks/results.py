@@ -44,9 +44,9 @@ add("C4_bank", lambda ws: C.cube_bank(ws.base, ws.dims),
 add("C5_purpose", lambda ws: C.cube_purpose(ws.base, ws.dims),
     cube_sql("year_ix, flow_ix, purpose_ix, use_ix, bank_ix0", f"{_YEAR} {_BANK_LEFT}",
              "purpose_ix >= 0"))
-add("C6_method", lambda ws: C.cube_method(ws.tx, ws.dims),
+add("C6_method", lambda ws: C.cube_method(ws.filed, ws.dims),
     cube_sql("year_ix, flow_ix, method_ix, use_ix", _YEAR, "method_ix >= 0"))
-add("C7_size", lambda ws: C.cube_size(ws.tx, ws.dims),
+add("C7_size", lambda ws: C.cube_size(ws.filed, ws.dims),
     cube_sql("""year_ix, flow_ix, CASE WHEN txf.usd < 1000 THEN 0 WHEN txf.usd < 10000 THEN 1
       WHEN txf.usd < 100000 THEN 2 WHEN txf.usd < 1000000 THEN 3 WHEN txf.usd < 10000000 THEN 4
       ELSE 5 END AS size_ix, use_ix""", _YEAR, "txf.usd > 0"))
@@ -102,7 +102,7 @@ add("C24_lag", lambda ws: C.lag(ws.tx, ws.dims),
           count(*) FILTER (WHERE late_sub) AS late, count(*) FILTER (WHERE future_dated) AS future,
           count(*) AS n
         FROM tx {_YEAR} {_BANK} WHERE lag_days IS NOT NULL GROUP BY year_ix, bank_ix""")
-add("C25_quality", lambda ws: C.quality(ws.tx, ws.dims),
+add("C25_quality", lambda ws: C.quality(ws.checks, ws.dims),
     f"""SELECT year_ix, bank_ix, count(*) AS n, count(*) FILTER (WHERE bad_fx) AS bad_fx,
           count(*) FILTER (WHERE null_amt) AS null_amt, count(*) FILTER (WHERE zero_amt) AS zero_amt,
           count(*) FILTER (WHERE neg_amt) AS neg_amt,
@@ -112,7 +112,7 @@ add("C25_quality", lambda ws: C.quality(ws.tx, ws.dims),
           count(*) FILTER (WHERE method_raw IS NULL) AS no_method,
           count(*) FILTER (WHERE lsic IS NULL) AS no_lsic
         FROM txf {_YEAR} {_BANK} GROUP BY year_ix, bank_ix""")
-add("C26_completeness", lambda ws: C.completeness(ws.tx, ws.dims),
+add("C26_completeness", lambda ws: C.completeness(ws.checks, ws.dims),
     "SELECT year_ix, count(*) AS n, " + ", ".join(
         f"count(*) FILTER (WHERE {f} IS NULL OR trim(CAST({f} AS VARCHAR)) = '') AS no_{f}"
         for f, _, _ in values.QUALITY_FIELDS
@@ -123,7 +123,7 @@ add("C27_concentration", lambda ws: C.concentration(ws.tx, ws.dims),
     ) + f""" FROM (SELECT year_ix, flow_ix, usd, sum(usd) OVER (PARTITION BY year_ix, flow_ix) AS tot,
               row_number() OVER (PARTITION BY year_ix, flow_ix ORDER BY usd DESC) AS rn
             FROM tx {_YEAR} WHERE usd > 0 AND use_ix = 1) GROUP BY year_ix, flow_ix""")
-add("C28_flags", lambda ws: C.flags(ws.tx, ws.dims),
+add("C28_flags", lambda ws: C.flags(ws.filed, ws.dims),
     cube_sql("""year_ix, flow_ix, use_ix, CASE WHEN m2_flag THEN 1 ELSE 0 END AS m2_ix,
       CASE WHEN move_flag THEN 1 ELSE 0 END AS move_ix""", _YEAR))
 add("C29_goods_sides", lambda ws: C.goods_sides(ws.base),
@@ -140,7 +140,7 @@ add("C31_source_stats", lambda ws: C.source_stats(ws.tx),
 
 # -- exceptions --------------------------------------------------------------
 
-add("X1_fx_by_year_bank", lambda ws: X.fx_by_year_bank(ws.tx, ws.dims),
+add("X1_fx_by_year_bank", lambda ws: X.fx_by_year_bank(ws.checks, ws.dims),
     f"""SELECT year_ix, bank_ix, count(*) FILTER (WHERE fx IS NULL) AS missing,
           count(*) FILTER (WHERE fx < 7000) AS low, count(*) FILTER (WHERE fx > 25000) AS high
         FROM tx {_YEAR} {_BANK} WHERE bad_fx GROUP BY year_ix, bank_ix""")

@@ -19,17 +19,46 @@ from remitra.operators import fact as J
 from remitra.operators.fact import Dims
 from remitra.operators.names import only_real_names
 from remitra.operators.scale import list_position, running_total, top_k_per_group, value_bucket
-from remitra.session import stage
 
 FLOW_USE = ["flow_ix", "use_ix"]
 
 
-def base_day(tx: DataFrame) -> DataFrame:
+def base_day(tx: DataFrame, *more: str) -> DataFrame:
     """The daily counterpart of the monthly base."""
-    keys = ["ymd", *FLOW_USE, "bank", "currency", "pur5"]
+    keys = ["ymd", *FLOW_USE, "bank", "currency", "pur5", *more]
     return tx.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
 
 
+def _on(flag: str) -> Column:
+    return F.when(F.col(flag), 1).otherwise(0)
+
+
+def base_filed(tx: DataFrame, *more: str) -> DataFrame:
+    """What the method, size and flag cubes share; amounts that are not positive have no size."""
+    size = F.when(F.col("usd") > 0, size_bucket(F.col("usd"), values.SIZE_BANDS))
+    df = tx.withColumns({"size_ix": size, "m2_ix": _on("m2_flag"), "move_ix": _on("move_flag")})
+    return counted(df, ["yr", *FLOW_USE, "method_raw", "size_ix", "m2_ix", "move_ix", *more])
+
+
+def _tests() -> dict[str, Column]:
+    return {
+        "bad_fx": F.col("bad_fx"), "null_amt": F.col("null_amt"), "zero_amt": F.col("zero_amt"),
+        "neg_amt": F.col("neg_amt"), "future_dated": F.col("future_dated"),
+        "no_country": F.col("country").isNull(), "no_method": F.col("method_raw").isNull(),
+        "no_lsic": F.col("lsic").isNull(),
+    }
+
+
+def base_checks(tx: DataFrame, *more: str, usd_band: tuple[float, float] = (values.FX_MIN, values.FX_MAX)) -> DataFrame:
+    """Rows and failed tests by year, bank and code: one pass for quality, completeness and exchange-rate bands."""
+    fx = F.col("fx")
+    tests = {
+        **_tests(), "fx_missing": fx.isNull(), "fx_low": fx < usd_band[0], "fx_high": fx > usd_band[1],
+        **{f"blank {field}": is_missing(F.col(field)) for field, _, _ in values.QUALITY_FIELDS},
+    }
+    return tx.groupBy("yr", "bank", "pur5", *more).agg(F.count("*").alias("n"), *[F.count_if(test).alias(name) for name, test in tests.items()])
+
+
 def cube(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.sum("n").alias("n"), r2(millions(F.sum("usd"))).alias("usd_m")
@@ -80,17 +109,14 @@ def cube_purpose(base: DataFrame, dims: Dims) -> DataFrame:
     )
 
 
-def cube_method(tx: DataFrame, dims: Dims) -> DataFrame:
-    df = counted(tx, ["yr", *FLOW_USE, "method_raw"])
-    df = J.join_methods(J.join_years(df, dims), dims).filter("method_ix >= 0")
+def cube_method(filed: DataFrame, dims: Dims) -> DataFrame:
+    df = J.join_methods(J.join_years(filed, dims), dims).filter("method_ix >= 0")
     return cube(df, ["year_ix", "flow_ix", "method_ix", "use_ix"])
 
 
-def cube_size(tx: DataFrame, dims: Dims) -> DataFrame:
-    bucket = size_bucket(F.col("usd"), values.SIZE_BANDS)
-    df = tx.filter("usd > 0").withColumn("size_ix", bucket)
-    df = J.join_years(counted(df, ["yr", *FLOW_USE, "size_ix"]), dims)
-    return cube(df.filter("size_ix >= 0"), ["year_ix", "flow_ix", "size_ix", "use_ix"])
+def cube_size(filed: DataFrame, dims: Dims) -> DataFrame:
+    df = J.join_years(filed.filter("size_ix >= 0"), dims)
+    return cube(df, ["year_ix", "flow_ix", "size_ix", "use_ix"])
 
 
 def ts_bank(base: DataFrame, dims: Dims) -> DataFrame:
@@ -149,21 +175,22 @@ def day_goods(day: DataFrame) -> DataFrame:
     return df.filter("usd_m <> 0")
 
 
-def day_entity(
-    tx: DataFrame, block: Sequence[str], least: float = values.ENTITY_DAY_MIN,
-) -> DataFrame:
-    """Named daily totals of at least ``least`` dollars.
-
-    The threshold holds for each name as filed; names that clean to one name are
-    then added up.
-    """
+def entity_days(tx: DataFrame, *more: str, least: float = values.ENTITY_DAY_MIN) -> DataFrame:
+    """Daily totals of at least ``least`` dollars by name as filed."""
     name = F.coalesce("tr_name", "rc_name")
-    totals = (
+    return (
         tx.withColumn("raw_name", name).filter(F.col("raw_name").isNotNull())
-        .groupBy("ymd", *FLOW_USE, "raw_name").agg(F.sum("usd").alias("usd"))
+        .groupBy("ymd", *FLOW_USE, "raw_name", *more).agg(F.sum("usd").alias("usd"))
         .filter(F.col("usd") >= least)
     )
-    totals = stage(totals, "entity_days")  # read twice: for the names, and to join them back
+
+
+def day_entity(totals: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Named daily totals, from the staged ``entity_days``.
+
+    The threshold holds for each name as filed; names that clean to one name are
+    then added up.
+    """
     named = only_real_names(totals, "raw_name", "name", block)
     return sums(named, ["ymd", "flow_ix", "name", "use_ix"])
 
@@ -245,30 +272,18 @@ def lag(tx: DataFrame, dims: Dims) -> DataFrame:
     )
 
 
-def quality(tx: DataFrame, dims: Dims) -> DataFrame:
-    tests: dict[str, Column] = {
-        "bad_fx": F.col("bad_fx"), "null_amt": F.col("null_amt"), "zero_amt": F.col("zero_amt"),
-        "neg_amt": F.col("neg_amt"), "future_dated": F.col("future_dated"),
-        "no_country": F.col("country").isNull(), "no_method": F.col("method_raw").isNull(),
-        "no_lsic": F.col("lsic").isNull(),
-    }
-    counts = tx.groupBy("yr", "bank", "pur5").agg(
-        F.count("*").alias("n"), *[F.count_if(test).alias(name) for name, test in tests.items()]
-    )
-    counts = J.join_bank_inner(J.join_years(J.join_purposes(counts, dims), dims), dims)
+def quality(checks: DataFrame, dims: Dims) -> DataFrame:
+    counts = J.join_bank_inner(J.join_years(J.join_purposes(checks, dims), dims), dims)
     unclassified = F.when(F.col("pur2") == values.PUR2_OTHER, F.col("n")).otherwise(0)
     return counts.groupBy("year_ix", "bank_ix").agg(
-        F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in tests],
+        F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in _tests()],
         F.sum(unclassified).alias("unclassified"),
     )
 
 
-def completeness(tx: DataFrame, dims: Dims) -> DataFrame:
+def completeness(checks: DataFrame, dims: Dims) -> DataFrame:
     fields = [field for field, _, _ in values.QUALITY_FIELDS]
-    counts = tx.groupBy("yr").agg(
-        F.count("*").alias("n"),
-        *[F.count_if(is_missing(F.col(f))).alias(f"no_{f}") for f in fields],
-    )
+    counts = checks.groupBy("yr").agg(F.sum("n").alias("n"), *[F.sum(f"blank {f}").alias(f"no_{f}") for f in fields])
     return J.join_years(counts, dims).drop("yr")
 
 
@@ -312,11 +327,8 @@ def concentration(tx: DataFrame, dims: Dims) -> DataFrame:
     )
 
 
-def flags(tx: DataFrame, dims: Dims) -> DataFrame:
-    on = lambda c: F.when(F.col(c), 1).otherwise(0)
-    df = tx.withColumns({"m2_ix": on("m2_flag"), "move_ix": on("move_flag")})
-    df = counted(df, ["yr", *FLOW_USE, "m2_ix", "move_ix"])
-    return cube(J.join_years(df, dims), ["year_ix", *FLOW_USE, "m2_ix", "move_ix"])
+def flags(filed: DataFrame, dims: Dims) -> DataFrame:
+    return cube(J.join_years(filed, dims), ["year_ix", *FLOW_USE, "m2_ix", "move_ix"])
 
 
 def goods_sides(base: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ from remitra.operators.scale import list_position, top_k_per_group, value_bucket
 BASE_KEYS = ["ym", "yr", "flow_ix", "use_ix", "bank", "country", "currency", "pur5"]
 
 
-def base_month(tx: DataFrame) -> DataFrame:
+def base_month(tx: DataFrame, *more: str) -> DataFrame:
     """Counts and values at the finest grain the monthly and yearly cubes share.
 
     One pass over the transactions; twenty cubes and most dimensions are sums of it.
     """
-    return tx.groupBy(*BASE_KEYS).agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
+    return tx.groupBy(*BASE_KEYS, *more).agg(F.count("*").alias("n"), F.sum("usd").alias("usd"))
 
 
 def _positions(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -151,12 +151,16 @@ def repaired_text(c: Column) -> Column:
     return norm_text(fix_mojibake(c))
 
 
-def purpose_name_votes(tx: DataFrame) -> DataFrame:
-    """The name most rows give each filed code, after repair; ties go to the lower name."""
+def name_counts(tx: DataFrame, *more: str) -> DataFrame:
+    """Rows by filed code and purpose name."""
+    named = tx.filter((F.col("pur5") != "") & F.col("purpose_name").isNotNull())
+    return named.groupBy("pur5", "purpose_name", *more).agg(F.count("*").alias("n"))
+
+
+def purpose_name_votes(names: DataFrame) -> DataFrame:
+    """The name most rows give each filed code, after repair; ties go to the lower name. ``names`` are ``name_counts``."""
     votes = (
-        tx.filter((F.col("pur5") != "") & F.col("purpose_name").isNotNull())
-        .groupBy("pur5", "purpose_name").agg(F.count("*").alias("n"))
-        .withColumn("name", repaired_text(F.col("purpose_name")))
+        names.withColumn("name", repaired_text(F.col("purpose_name")))
         .groupBy("pur5", "name").agg(F.sum("n").alias("votes"))
     )
     order = [F.desc("votes"), F.col("name").asc_nulls_last()]
@@ -188,9 +192,9 @@ def dim_purposes(base: DataFrame, votes: DataFrame, config: Config) -> DataFrame
     return list_position(named, [F.col("code")], F.substring("code", 1, 4), "purpose_ix")
 
 
-def dim_methods(tx: DataFrame) -> DataFrame:
+def dim_methods(rows: DataFrame) -> DataFrame:
     """One row per filed method: its repaired name and the position of that name."""
-    filed = tx.filter(F.col("method_raw").isNotNull()).select("method_raw").distinct()
+    filed = rows.filter(F.col("method_raw").isNotNull()).select("method_raw").distinct()
     filed = filed.withColumn(
         "method", F.coalesce(repaired_text(F.col("method_raw")), F.col("method_raw"))
     )

@@ -19,16 +19,11 @@ from remitra.operators.scale import exact_percentile, top_k
 # -- exchange rates ----------------------------------------------------------
 
 
-def fx_by_year_bank(tx: DataFrame, dims: Dims, band: tuple[float, float] = (values.FX_MIN, values.FX_MAX)) -> DataFrame:
-    fx = F.col("fx")
-    counts = tx.filter("bad_fx").groupBy("yr", "bank").agg(
-        F.count_if(fx.isNull()).alias("missing"),
-        F.count_if(fx < band[0]).alias("low"),
-        F.count_if(fx > band[1]).alias("high"),
-    )
-    counts = J.join_bank_inner(J.join_years(counts, dims), dims)
+def fx_by_year_bank(checks: DataFrame, dims: Dims) -> DataFrame:
+    """Rates that are missing or outside the band, from the shared test counts."""
+    counts = J.join_bank_inner(J.join_years(checks.filter("bad_fx > 0"), dims), dims)
     return counts.groupBy("year_ix", "bank_ix").agg(
-        *[F.sum(c).alias(c) for c in ("missing", "low", "high")]
+        *[F.sum(f"fx_{c}").alias(c) for c in ("missing", "low", "high")]
     )
 
 

@@ -30,18 +30,18 @@ class Dims:
     methods: DataFrame
 
 
-def build_dims(tx: DataFrame, base: DataFrame, config: Config) -> Dims:
-    """All dimensions, each written once. They are small and independent, so they run side by side."""
+def build_dims(base: DataFrame, names: DataFrame, filed: DataFrame, config: Config) -> Dims:
+    """All dimensions from three aggregates, each written once. They are small and independent, so they run side by side."""
     def purposes() -> DataFrame:
-        return D.dim_purposes(base, D.purpose_name_votes(tx), config)
+        return D.dim_purposes(base, D.purpose_name_votes(names), config)
 
     makers = {
         "months": lambda: D.dim_months(base), "years": lambda: D.dim_years(base),
         "purposes": purposes, "countries": lambda: D.dim_countries(base, config),
         "currencies": lambda: D.dim_currencies(base), "banks": lambda: D.dim_banks(base, config),
-        "methods": lambda: D.dim_methods(tx),
+        "methods": lambda: D.dim_methods(filed),
     }
-    return Dims(**stage_all(tx.sparkSession, makers))
+    return Dims(**stage_all(base.sparkSession, makers))
 
 
 def join_purposes(df: DataFrame, dims: Dims) -> DataFrame:

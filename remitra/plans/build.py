@@ -23,8 +23,9 @@ from remitra.session import side_by_side, stage, stage_all
 LEVELS = [
     ["tx_all"],
     ["tx", "tiers"],
-    ["base", "day", "medians", "fx_medians", "day_entity", "totals"],
-    ["dims", "keep"],
+    ["base", "day", "filed", "checks", "names", "entity_days", "medians", "fx_medians", "totals"],
+    ["dims", "day_entity", "keep"],
+    ["day_names"],
 ]
 
 
@@ -58,11 +59,27 @@ class Build:
 
     @cached_property
     def dims(self) -> Dims:
-        return build_dims(self.tx, self.base, self.config)
+        return build_dims(self.base, self.names, self.filed, self.config)
+
+    @cached_property
+    def filed(self) -> DataFrame:
+        return stage(C.base_filed(self.tx), "base_filed")
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return stage(C.base_checks(self.tx, usd_band=self.config.rules.usd_band), "base_checks")
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return stage(D.name_counts(self.tx), "name_counts")
+
+    @cached_property
+    def entity_days(self) -> DataFrame:
+        return stage(C.entity_days(self.tx), "entity_days")
 
     @cached_property
     def day_entity(self) -> DataFrame:
-        return stage(C.day_entity(self.tx, self.config.blocklist), "day_entity")
+        return stage(C.day_entity(self.entity_days, self.config.blocklist), "day_entity")
 
     @cached_property
     def day_names(self) -> DataFrame:
@@ -131,17 +148,17 @@ class Build:
             "blocked_names": loader.list_frame(spark, config.blocklist, "name"),
         }
 
-    def cubes(self) -> dict[str, DataFrame]:
-        base, day, tx, dims = self.base, self.day, self.tx, self.dims
-        names = self.day_names
+    def additive_cubes(self) -> dict[str, DataFrame]:
+        """Cubes that are sums of the base aggregates and never look at single transactions."""
+        base, day, dims, names = self.base, self.day, self.dims, self.day_names
         return {
             "month": C.cube_month(base, dims),
             "country": C.cube_country(base, dims),
             "currency": C.cube_currency(base, dims),
             "bank": C.cube_bank(base, dims),
             "purpose": C.cube_purpose(base, dims),
-            "method": C.cube_method(tx, dims),
-            "size": C.cube_size(tx, dims),
+            "method": C.cube_method(self.filed, dims),
+            "size": C.cube_size(self.filed, dims),
             "ts_bank": C.ts_bank(base, dims),
             "ts_country": C.ts_country(base, dims),
             "ts_currency": C.ts_currency(base, dims),
@@ -158,22 +175,28 @@ class Build:
             "cross_currency_sector": C.cross_currency_sector(base, dims),
             "cross_currency_line": C.cross_currency_line(base, dims),
             "cross_sector_line": C.cross_sector_line(base, dims),
+            "quality": C.quality(self.checks, dims),
+            "completeness": C.completeness(self.checks, dims),
+            "flags": C.flags(self.filed, dims),
+            "goods_sides": C.goods_sides(base),
+            "fx_by_year_bank": X.fx_by_year_bank(self.checks, dims),
+            "day_entity_names": names,
+        }
+
+    def cubes(self) -> dict[str, DataFrame]:
+        tx, dims = self.tx, self.dims
+        return {
+            **self.additive_cubes(),
             "lag": C.lag(tx, dims),
-            "quality": C.quality(tx, dims),
-            "completeness": C.completeness(tx, dims),
             "concentration": C.concentration(tx, dims),
-            "flags": C.flags(tx, dims),
-            "goods_sides": C.goods_sides(base),
             "meta_totals": C.meta_totals(tx),
             "source_stats": C.source_stats(tx),
-            "day_entity_names": names,
             "dedup_report": dedup_report(self.tx_all),
         }
 
     def exceptions(self) -> dict[str, DataFrame]:
         dims = self.dims
         tables = {
-            "fx_by_year_bank": X.fx_by_year_bank(self.tx, dims, self.config.rules.usd_band),
             "ccy_rates": X.ccy_rates(self.medians, dims),
             "fx_counts": X.fx_counts(self.judged),
             "fx_rows": X.fx_rows(self.judged, dims),

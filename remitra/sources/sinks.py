@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitra.operators.imports import conform
 from remitra.schema import CANONICAL
-from remitra.session import side_by_side, stage
+from remitra.session import stage
+from remitra.sources.pack import Pack, Part
 
 
 def write_year(df: DataFrame, path: str) -> None:
@@ -39,22 +40,44 @@ def payload(tables: dict[str, DataFrame]) -> DataFrame:
     return whole
 
 
+def order_of(df: DataFrame) -> list[Column]:
+    """The keys of a cube or list, in its order of columns; names go by their lower case. Lists of single rows have none."""
+    if "usd" in df.columns or "tx" in df.columns:
+        return []
+    if "nm" in df.columns:
+        return [F.lower("nm"), F.col("nm")]
+    return [F.col(c).asc_nulls_last() for c in df.columns if c.endswith("_ix") or c in ("ymd", "yr", "name", "code")]
+
+
 def write_payload(tables: dict[str, DataFrame], out: str, as_json: bool = False) -> None:
-    """One parquet table per result, several at a time, and on request the pack as JSON lines."""
+    """One parquet table per result, sorted by its keys, and on request the pack as JSON lines; see ``Pack``."""
     spark = next(iter(tables.values())).sparkSession
-    side_by_side(spark, {
-        name: lambda n=name, df=df: df.write.mode("overwrite").parquet(f"{out}/{n}")
-        for name, df in tables.items()
-    })
+    pack = Pack(spark, out)
+    orders = {name: keys for name, df in tables.items() if (keys := order_of(df))}
+    pack.publish(tables, orders)
     if as_json:
-        written = {name: spark.read.schema(df.schema).parquet(f"{out}/{name}") for name, df in tables.items()}
-        payload(written).write.mode("overwrite").partitionBy("table").text(f"{out}/_pack")
+        parts = pack.current()
+        lines = payload({name: pack.read(name, parts) for name in tables})
+        folder = f"{pack.new_folder()}/_pack"
+        lines.write.partitionBy("table").text(f"{pack.root}/{folder}")
+        pack.commit([*parts, Part("_pack", "", folder, lines.schema.json())])
+
+
+def read_payload(spark: SparkSession, out: str) -> DataFrame:
+    """The pack as (table, row)."""
+    pack = Pack(spark, out)
+    path = next(p.path for p in pack.current() if p.table == "_pack")
+    return spark.read.text(f"{pack.root}/{path}").select("table", F.col("value").alias("row"))
 
 
 def write_rates(rates: DataFrame, path: str) -> bool:
-    """Replace the published rates, unless no source could be read."""
+    """Replace the published rates, unless no source could be read. The old ones stay until the new ones are there."""
     rates = stage(rates, "rates")
     if rates.isEmpty():
         return False
-    rates.write.mode("overwrite").json(path)
+    Pack(rates.sparkSession, path).publish({"rates": rates}, {"rates": [F.col("source"), F.col("code")]})
     return True
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    return Pack(spark, path).read("rates")

@@ -389,4 +389,4 @@ def test_published_rates_survive_an_empty_run(spark, tmp_path):
     out = f"file://{tmp_path}/rates"
     assert sinks.write_rates(rates, out)
     assert not sinks.write_rates(rates.filter("buy > 2"), out)
-    assert spark.read.json(out).count() == 1
+    assert sinks.read_rates(spark, out).count() == 1

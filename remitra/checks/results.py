@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from remitra.checks.core import ENTITY_TOPS, ENTITY_TX
@@ -13,9 +15,12 @@ from remitra.functions.numbers import millions, r2 as rounded
 from remitra.operators import cubes as C
 from remitra.operators import entities as E
 from remitra.operators import exceptions as X
+from remitra.operators import ranges as G
 from remitra.operators import reports as V
 from remitra.operators import rules as R
+from remitra.operators import search as N
 from remitra.operators.fact import join_purposes
+from remitra.session import shared_dir
 
 _BANK = "JOIN banks USING (bank)"
 _BANK_LEFT = "LEFT JOIN banks USING (bank)"
@@ -315,6 +320,29 @@ add("V2_bank_shares",
           {r2('100 * usd / sum(usd) OVER (PARTITION BY flow_ix)', 2)} AS share_pct
         FROM (SELECT flow_ix, bank_ix, sum(usd_m) AS usd FROM ({_DAY_BANK}) WHERE {_RANGE}
               GROUP BY flow_ix, bank_ix)""")
+# The same reports from running totals: sums of a range as the difference of two rows per key.
+_TOTALS = {"line": lambda ws: C.day_line(ws.day, ws.dims), "goods": lambda ws: C.day_goods(ws.day), "bank": lambda ws: C.day_bank(ws.day, ws.dims)}
+
+
+def _totals(ws, name, grain=G.MONTH):
+    return G.write_totals(G.running_totals(_TOTALS[name](ws), grain))
+
+
+add("V1_range_of_totals",
+    lambda ws: G.period_report(_totals(ws, "line"), _LOW, _HIGH, banks=[0, 2, 5], uses=[1]),
+    f"""SELECT flow_ix, line_ix, CAST(sum(n) AS BIGINT) AS n, {r2('sum(usd_m)')} AS usd_m
+        FROM ({_DAY_LINE}) WHERE {_RANGE} AND bank_ix IN (0, 2, 5) AND use_ix = 1
+        GROUP BY flow_ix, line_ix""")
+add("V1_range_of_totals_goods",
+    lambda ws: G.period_report(_totals(ws, "goods"), _LOW, _HIGH),
+    f"""SELECT flow_ix, goods_ix, {r2('sum(usd_m)')} AS usd_m FROM ({_DAY_GOODS})
+        WHERE {_RANGE} GROUP BY flow_ix, goods_ix""")
+add("V2_shares_of_totals",
+    lambda ws: G.bank_shares(_totals(ws, "bank"), _LOW, _HIGH),
+    f"""SELECT flow_ix, bank_ix, {r2('usd')} AS usd_m,
+          {r2('100 * usd / sum(usd) OVER (PARTITION BY flow_ix)', 2)} AS share_pct
+        FROM (SELECT flow_ix, bank_ix, sum(usd_m) AS usd FROM ({_DAY_BANK}) WHERE {_RANGE}
+              GROUP BY flow_ix, bank_ix)""")
 _TS_BANK = cube_sql("ym, flow_ix, bank_ix, use_ix", _BANK)
 for _grain, _label in (
     ("quarter", "concat(ym[:4], '-Q', CAST(ceil(CAST(ym[6:] AS INTEGER) / 3) AS INTEGER))"),
@@ -336,6 +364,22 @@ add("V5_top_movers", lambda ws: V.top_movers(ws.day_entity, _LOW, _HIGH, 50),
     f"""SELECT flow_ix, name, {r2('usd')} AS usd_m FROM (
           SELECT flow_ix, name, sum(usd_m) AS usd FROM ({_DAY_ENTITY}) WHERE {_RANGE}
           GROUP BY flow_ix, name) ORDER BY usd DESC, flow_ix, name LIMIT 50""")
+add("V5_movers_of_totals",
+    lambda ws: G.top_movers(G.write_totals(G.running_totals(ws.day_entity, G.YEAR)), _LOW, _HIGH, 50),
+    f"""SELECT flow_ix, name, {r2('usd')} AS usd_m FROM (
+          SELECT flow_ix, name, sum(usd_m) AS usd FROM ({_DAY_ENTITY}) WHERE {_RANGE}
+          GROUP BY flow_ix, name) ORDER BY usd DESC, flow_ix, name LIMIT 50""")
+
+
+def _searched(ws, text):
+    path = f"{shared_dir(ws.spark)}/names-{uuid.uuid4().hex}"
+    N.write_index(E.all_names(ws.totals), path)
+    return N.search(ws.spark, path, text)
+
+
+for _name, _text in (("name", "Er#00000001"), ("part", "R#"), ("digits", "0000")):
+    add(f"V6_indexed_{_name}", lambda ws, t=_text: _searched(ws, t),
+        f"SELECT * FROM ({_NAMES}) WHERE contains(lower(nm), '{_text.lower()}')")
 add("V6_search_names", lambda ws: V.search_names(E.all_names(ws.totals), "ER#00000001"),
     f"SELECT * FROM ({_NAMES}) WHERE contains(lower(nm), 'er#00000001')")
 add("V7_summary_split",

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitra.llm.chains import Chains
-from remitra.llm.common import staged, summed
+from remitra.llm.common import ship, staged, summed
 from remitra.llm.training import adam
 from remitra.operators.scale import top_k_per_group
 
@@ -133,6 +133,7 @@ def _gradient(batches: Iterator[pa.RecordBatch], model: dict[str, np.ndarray]) -
 
 def fit(labelled: DataFrame, per_language: int = TRAIN_DOCS, steps: int = STEPS) -> dict | None:
     """Model of a bounded sample of ``labelled`` (doc_id, text, lang); None without any."""
+    ship(docs.sparkSession)
     known = labelled.filter("lang is not null and text is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     chosen = top_k_per_group(known.select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id")), ["lang"], [F.col("_h"), F.col("doc_id")], per_language, spread_by="doc_id")
     chosen = F.broadcast(staged(chosen.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang")).distinct(), "chosen"))  # per_language rows each
@@ -216,6 +217,7 @@ def _labeller(model: dict) -> Labeller:
 
 def label(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred and score for every row of ``docs`` (doc_id, text)."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
         return texts.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitra.llm.common import if_small, staged, words_of
+from remitra.llm.common import if_small, ship, staged, words_of
 from remitra.llm.tokens import encoder
 
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Bytes of text that are measured together.
+BATCH_BYTES = 2_000_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 #: First code points of blocks of letters, and the scripts they begin.
@@ -66,7 +69,7 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte = np.array([self.model.is_byte(k) for k in range(self.model.vocab_size())])
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.known: dict[str, int] = {}  # tokens, byte tokens and script in one number
 
     @staticmethod
     def script(word: str) -> int:
@@ -82,8 +85,9 @@ class Pieces:
         for low in range(0, len(new), 20_000):
             part = new[low : low + 20_000]
             for word, ids in zip(part, self.model.encode(part, num_threads=1), strict=True):
-                self.known[word] = (len(ids), int(self.byte[ids].sum()) if ids else 0, self.script(word))
-        return np.array([self.known[w] for w in words], np.int64).reshape(-1, 3)
+                self.known[word] = (len(ids) << 36) + (int(self.byte[ids].sum() if ids else 0) << 8) + self.script(word)
+        held = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return np.stack([held >> 36, (held >> 8) & ((1 << 28) - 1), held & 255], axis=1)
 
 
 @functools.lru_cache(maxsize=2)
@@ -139,13 +143,23 @@ def _entropy(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``BATCH_BYTES`` of text, or of one row."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(2)), 0)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_BYTES)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+            yield batch.slice(low, high - low)
+
+
 def measure(docs: DataFrame, byte_vocabulary: str | None = None, piece_vocabulary: str | None = None) -> DataFrame:
     """Counts and measures per row of ``docs`` (doc_id, text, and lang if there is one)."""
+    ship(docs.sparkSession)
     byte_path = byte_vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     piece_path = piece_vocabulary or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = pc.fill_null(batch.column(2), "")
             distinct, numbers, ends = words_of(texts, lower=False)
             n_words = np.diff(ends, prepend=0)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitra.llm.common import staged, summed
+from remitra.llm.common import ship, staged, summed
 from remitra.llm.training import adam
 
 FEATURES = 1 << 17
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
 def severity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """Grade ``labels`` (doc_id, grade 0 or 1) by severity, fit on them, and score all of ``docs`` (doc_id, text)."""
+    ship(docs.sparkSession)
     vectors = severity_grades(labelled_vectors(docs, labels, rows))
     return predict(docs, fit(vectors, 3))
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from remitra.llm.common import ship
 from remitra.llm.tokens import encoder, with_end
 
 BLOCK_TOKENS = 1 << 20
@@ -172,6 +173,7 @@ def write_ids(
     block_tokens: int = BLOCK_TOKENS, partitions: int | None = None,
 ) -> None:
     """Encode ``docs`` (doc_id, text) and write them to ``folder`` in ascending doc_id order."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -211,6 +213,7 @@ def write_ids(
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids (little-endian 32-bit)."""
+    ship(spark)
     blocks = spark.read.schema(SCHEMA).parquet(folder)
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)

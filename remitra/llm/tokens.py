@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Pieces that go through the library in one call.
 TOGETHER = 4_096
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from remitra.llm.common import staged
+from remitra.llm.common import ship, staged
 from remitra.operators.scale import top_k_per_group
 
 PIVOTS = 32
@@ -71,6 +71,7 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` (vec_id, vec array<long>) that ``is_query`` selects."""
+    ship(vectors.sparkSession)
     rows = vectors.selectExpr("cast(vec_id as long) vec_id", "vec").filter("vec_id is not null and vec is not null and not exists(vec, x -> x is null)")
     rows = staged(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
     dims = rows.agg(F.max(F.size("vec"))).first()[0] or 0

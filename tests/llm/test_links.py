@@ -108,6 +108,25 @@ def edits(a, b):
     return row[-1]
 
 
+def within(a, b, most):
+    """Whether ``most`` edits of characters turn one text into the other."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    far = most + 1
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            best = row.get(j, far) + 1
+            if j:
+                best = min(best, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
+            new[j] = best
+        row = new
+        if min(row.values()) > most:
+            return False
+    return row.get(len(b), far) <= most
+
+
 def plain_lines(rows):
     """Texts without repeated lines, by comparing all pairs of distinct lines."""
     import re
@@ -115,11 +134,7 @@ def plain_lines(rows):
     normal = lambda line: re.sub(r"[\W_]+", " ", line.lower()).strip()
     places = [(i, k, normal(line)) for i, text in rows for k, line in enumerate((text or "").split("\n")) if normal(line)]
     lines = sorted({n for _, _, n in places})
-    hashes = [plain_simhash(n) for n in lines]
-    links = [
-        (a, b) for i, a in enumerate(lines) for j, b in enumerate(lines[:i])
-        if (hashes[i] ^ hashes[j]).bit_count() <= 3 and 10 * edits(a.split(), b.split()) <= max(len(a.split()), len(b.split()))
-    ]
+    links = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if within(a, b, max(len(a), len(b)) // 10)]
     group, seen, gone = grouped(lines, links), set(), set()
     for i, k, n in sorted(places, key=lambda p: p[:2]):
         if group[n] in seen:

@@ -110,6 +110,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stage(df, f"llm-{name}")
 
 
+def unstaged(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again; what was made of them has been written."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The words of whole texts: distinct ones, each word's number among them, and where each text's words end.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from remitra.llm.common import if_small, staged
+from remitra.llm.common import if_small, staged, unstaged
 
 STAR_ROUNDS = 3
 #: Rows that a task of the steps on links takes at least; a few links aren't dealt over as many tasks as a corpus.
@@ -48,8 +48,9 @@ def connected(links: DataFrame) -> DataFrame:
         if now == state or now[0] == 0:
             break
         state, rows = now, now[0]
-        edges = staged(_tasks(step(edges, True), rows), "links")
-        edges = staged(_tasks(step(edges, False), rows), "links")
+        for large in (True, False):
+            before, edges = edges, staged(_tasks(step(edges, large), rows), "links")
+            unstaged(before)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -112,7 +113,9 @@ def grouped_by_links(
             rest.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("group").alias("_l"), F.max("group").alias("_h"))
             .filter("_l < _h").select("_bucket")
         )
+        before = [heads] if turn == 0 else [heads, left]
         left = staged(rest.join(if_small(staged(_tasks(open_, rows), "open")), F.col("bucket") == F.col("_bucket"), "left_semi"), "members")
+        unstaged(rest, *before)
         if left.isEmpty():
             return roots
     if sharper is not None:

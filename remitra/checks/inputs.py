@@ -262,6 +262,22 @@ class Workspace(Build):
         store.replace(rows.filter("Source_Year = 1998"))
         return store.build()
 
+    @cached_property
+    def whole_run(self) -> str:
+        """Folder of the tables published by one run over both kinds of export: years to 1998 by header, later ones by position."""
+        import uuid
+        from datetime import date
+
+        from remitra.plans.whole import Exports, import_and_publish
+        from remitra.sources.files import direction_of
+
+        out = f"{shared_dir(self.spark)}/whole-{uuid.uuid4().hex}"
+        year = F.regexp_extract("file", r"(\d{4})\.xlsx$", 1)
+        early = self.cells.filter((year == "") | (year <= "1998"))
+        exports = Exports(early, self.book, self.raw, date(1999, 1, 1), date(2010, 12, 31), refuse=False)
+        import_and_publish(exports, direction_of(F.col("file"), F.col("sheet")), self.config, out, ("month", "ts_line", "banks_with_officers"), self.overrides)
+        return out
+
     @cached_property
     def cells(self) -> DataFrame:
         """Cells of header-matched exports: one file per direction and year, two layouts."""

@@ -340,7 +340,7 @@ add("I8_to_num_plain", lambda ws: _numbers(ws, False),
 # -- header-matched import ---------------------------------------------------
 
 _ROWS = "raw WHERE NOT Hash_ID LIKE '%-r'"
-_XLSX = f"concat('money_transfer_', CASE _flow WHEN 'Payment' THEN 'out' ELSE 'in' END, '_detail_', {_YEAR}, '.xlsx')"
+XLSX = f"concat('money_transfer_', CASE _flow WHEN 'Payment' THEN 'out' ELSE 'in' END, '_detail_', {_YEAR}, '.xlsx')"
 
 
 def _headers(ws):
@@ -349,7 +349,7 @@ def _headers(ws):
 
 
 add("I2_find_header_row", lambda ws: _headers(ws)[1],
-    f"SELECT DISTINCT {_XLSX} AS file, 'Sheet1' AS sheet, CAST(2 AS BIGINT) AS header_row FROM {_ROWS}")
+    f"SELECT DISTINCT {XLSX} AS file, 'Sheet1' AS sheet, CAST(2 AS BIGINT) AS header_row FROM {_ROWS}")
 add("I2_refused_files", lambda ws: I.refused_files(ws.cells, _headers(ws)[1]),
     """SELECT DISTINCT 'five_headers.xlsx' AS file, 'Sheet1' AS sheet FROM raw
        WHERE NOT Hash_ID LIKE '%-r' AND row_no % 100 = 11""")
@@ -360,7 +360,7 @@ _PLACES = ", ".join(
 )
 add("I3_resolve_columns", lambda ws: I.resolve_columns(*_headers(ws)),
     f"""SELECT file, 'Sheet1' AS sheet, CAST(2 AS BIGINT) AS header_row, field, pos
-        FROM (SELECT DISTINCT {_XLSX} AS file, _flow FROM {_ROWS})
+        FROM (SELECT DISTINCT {XLSX} AS file, _flow FROM {_ROWS})
         JOIN (VALUES {_PLACES}) AS places(flow, field, pos) ON flow = _flow""")
 
 
@@ -370,8 +370,8 @@ def _mapped(ws):
 
 
 _UNDATED = "row_no % 13 = 0"
-_CLEAN_BANK = "nullif(trim(Banks), '')"
-_KEPT = f"{_ROWS} AND NOT {_UNDATED} AND {_CLEAN_BANK} IS NOT NULL"
+CLEAN_BANK = "nullif(trim(Banks), '')"
+KEPT = f"{_ROWS} AND NOT {_UNDATED} AND {CLEAN_BANK} IS NOT NULL"
 
 
 def _book(ws):
@@ -385,22 +385,22 @@ add("I4_map_positions",
         "sheet", "row_no", "Banks", "Date_of_Transaction", "Recipient_Name", "LSIC_Code",
         "Amount_USD", "Code_New_Confirm", "Pur_2"),
     f"""SELECT CASE _flow WHEN 'Receive' THEN 'Recieve' ELSE _flow END AS sheet, row_no,
-          {_CLEAN_BANK} AS Banks, CASE WHEN NOT {_UNDATED} THEN Date_of_Transaction END
+          {CLEAN_BANK} AS Banks, CASE WHEN NOT {_UNDATED} THEN Date_of_Transaction END
             AS Date_of_Transaction, Recipient_Name, LSIC_Code, round(Amount_USD, 2) AS Amount_USD,
           concat(trim(Pur_5), '01') AS Code_New_Confirm,
           CASE WHEN row_no % 3 = 0 THEN nullif(trim(Pur_5[:2]), '') END AS Pur_2 FROM {_ROWS}""")
 add("I9_skip_report", lambda ws: I.skip_report(_mapped(ws)),
     f"""SELECT file, 'Sheet1' AS sheet, outcome, count(*) AS n FROM (
-          SELECT {_XLSX} AS file, CASE WHEN {_UNDATED} THEN 'undated' WHEN {_CLEAN_BANK} IS NULL
+          SELECT {XLSX} AS file, CASE WHEN {_UNDATED} THEN 'undated' WHEN {CLEAN_BANK} IS NULL
             THEN 'template' ELSE 'kept' END AS outcome FROM {_ROWS}
-          UNION ALL SELECT DISTINCT {_XLSX}, 'template' FROM {_ROWS}) GROUP BY ALL""")
+          UNION ALL SELECT DISTINCT {XLSX}, 'template' FROM {_ROWS}) GROUP BY ALL""")
 _LOW, _HIGH = date(1997, 3, 1), date(1999, 6, 30)
 add("I10_date_range",
     lambda ws: I.skip_report(_book(ws), _LOW, _HIGH),
     f"""SELECT 'database.xlsm' AS file, CASE _flow WHEN 'Receive' THEN 'Recieve' ELSE _flow END AS sheet,
           CASE WHEN {_UNDATED} THEN 'undated'
                WHEN Date_of_Transaction::DATE NOT BETWEEN DATE '{_LOW}' AND DATE '{_HIGH}' THEN 'out_of_range'
-               WHEN {_CLEAN_BANK} IS NULL THEN 'template' ELSE 'kept' END AS outcome, count(*) AS n
+               WHEN {CLEAN_BANK} IS NULL THEN 'template' ELSE 'kept' END AS outcome, count(*) AS n
         FROM {_ROWS} GROUP BY ALL""")
 
 
@@ -481,7 +481,7 @@ add("I17_stamp",
         FROM raw""")
 
 
-def _hash_sql(code: str, bank: str, file: str | None) -> str:
+def hash_sql(code: str, bank: str, file: str | None) -> str:
     parts = ["_flow", *([file] if file else []), "CAST(row_no AS VARCHAR)", f"coalesce({bank}, 'None')",
              "Reference_Number", "strftime(Date_of_Transaction, '%Y-%m-%d %H:%M:%S')",
              "CAST(Amount_Transferred AS VARCHAR)", "coalesce(trim(Currency_Code), 'None')", code]
@@ -494,7 +494,7 @@ add("I18_hash_id",
         "Flow": F.col("_flow"), "file": F.col("Source_File"), "Banks": text.blank_to_null(F.col("Banks")),
         "Currency_Code": F.trim("Currency_Code"), "Purpose_Code": F.trim("Pur_5"),
     }).withColumnRenamed("Hash_ID", "was")).groupBy("Hash_ID").agg(F.min("was").alias("was")),
-    f"SELECT {_hash_sql('trim(Pur_5)', _CLEAN_BANK, 'Source_File')} AS Hash_ID, min(Hash_ID) AS was FROM raw GROUP BY 1")
+    f"SELECT {hash_sql('trim(Pur_5)', CLEAN_BANK, 'Source_File')} AS Hash_ID, min(Hash_ID) AS was FROM raw GROUP BY 1")
 add("I19_conform",
     lambda ws: I.conform(ws.raw.withColumn("Source_Year", F.lit("2001")).drop("M2")).select(
         "Hash_ID", "M2", "Source_Year", "Users", "Transfer_Fee", "Month_Year",
@@ -517,28 +517,28 @@ def _imported(ws):
 
 add("I22_import_rejects", lambda ws: I.import_report(ws.cells),
     f"""SELECT file, 'Sheet1' AS sheet, outcome, count(*) AS n FROM (
-          SELECT {_XLSX} AS file, CASE WHEN {_UNDATED} THEN 'undated' WHEN {_CLEAN_BANK} IS NULL
+          SELECT {XLSX} AS file, CASE WHEN {_UNDATED} THEN 'undated' WHEN {CLEAN_BANK} IS NULL
             THEN 'template' ELSE 'kept' END AS outcome FROM {_ROWS}
-          UNION ALL SELECT DISTINCT {_XLSX}, 'template' FROM {_ROWS}
-          UNION ALL SELECT DISTINCT {_XLSX}, 'heading' FROM {_ROWS}
-          UNION ALL SELECT DISTINCT concat({_XLSX}, ''), 'heading' FROM {_ROWS}
+          UNION ALL SELECT DISTINCT {XLSX}, 'template' FROM {_ROWS}
+          UNION ALL SELECT DISTINCT {XLSX}, 'heading' FROM {_ROWS}
+          UNION ALL SELECT DISTINCT concat({XLSX}, ''), 'heading' FROM {_ROWS}
           UNION ALL SELECT 'five_headers.xlsx', 'no_header' FROM {_ROWS} AND row_no % 100 = 11
           UNION ALL SELECT DISTINCT 'five_headers.xlsx', 'no_header' FROM {_ROWS} AND row_no % 100 = 11) GROUP BY ALL""")
 _METHOD = f"""(SELECT canonical FROM ({_VOCAB}) v
   WHERE v.head = lower(trim(string_split(r.Transfer_Method, ':')[1])))"""
 _USUAL = f"coalesce((SELECT usual FROM ({_MODE}) m WHERE m.Pur_5 = {{code}}), 'Yes')"
-_COMMON = f"""{_CLEAN_BANK} AS Banks, Date_of_Transaction, Date_of_Submission, Reference_Number,
+_COMMON = f"""{CLEAN_BANK} AS Banks, Date_of_Transaction, Date_of_Submission, Reference_Number,
   nullif(trim(Transferor_Name), '') AS Transferor_Name, Recipient_Name, Country_Code,
   {_METHOD} AS Transfer_Method, trim(Currency_Code) AS Currency_Code, Amount_Transferred,
   round(Amount_USD, 2) AS Amount_USD, date_trunc('month', Date_of_Transaction)::TIMESTAMP AS Month_Year, _flow AS Flow,
   {_YEAR} AS Source_Year"""
 add("I20_import_by_header", _imported,
-    f"""SELECT {_hash_sql('trim(Pur_5)', _CLEAN_BANK, _XLSX)} AS Hash_ID, {_COMMON}, Recipient_TIN,
+    f"""SELECT {hash_sql('trim(Pur_5)', CLEAN_BANK, XLSX)} AS Hash_ID, {_COMMON}, Recipient_TIN,
           coalesce(Purpose_Name, {_LO_NAME}) AS Purpose_Name, trim(Pur_5) AS Code_New_Confirm,
           trim(Pur_5)[:2] AS Pur_2, trim(Pur_5) AS Pur_5, {_USUAL.format(code='trim(r.Pur_5)')} AS Move_Fund,
-          NULL::VARCHAR AS Use, {_XLSX} AS Source_File,
+          NULL::VARCHAR AS Use, {XLSX} AS Source_File,
           CASE WHEN row_no % 17 <> 0 THEN Exchange_Rates_Kip END AS Exchange_Rates_Kip
-        FROM (SELECT * FROM {_KEPT}) r""")
+        FROM (SELECT * FROM {KEPT}) r""")
 
 
 def _imported_book(ws):
@@ -547,14 +547,14 @@ def _imported_book(ws):
 
 _CONFIRMED = "concat(trim(Pur_5), '01')"
 add("I21_import_by_position", _imported_book,
-    f"""SELECT {_hash_sql('trim(Pur_5)', _CLEAN_BANK, None)} AS Hash_ID, {_COMMON},
+    f"""SELECT {hash_sql('trim(Pur_5)', CLEAN_BANK, None)} AS Hash_ID, {_COMMON},
           NULL::VARCHAR AS Recipient_TIN,
           CASE {_CONFIRMED}[:6] WHEN '010107' THEN 'ແຮ່ທາດ' WHEN '020101' THEN 'ຂົນສົ່ງ' END AS Purpose_Name,
           {_CONFIRMED} AS Code_New_Confirm,
           coalesce(CASE WHEN row_no % 3 = 0 THEN nullif(trim(Pur_5[:2]), '') END, {_CONFIRMED}[:2]) AS Pur_2,
           {_CONFIRMED}[:6] AS Pur_5, {_USUAL.format(code="concat(trim(r.Pur_5), '01')[:6]")} AS Move_Fund,
           Use, 'database.xlsm' AS Source_File, NULL::DOUBLE AS Exchange_Rates_Kip
-        FROM (SELECT * FROM {_KEPT}) r
+        FROM (SELECT * FROM {KEPT}) r
         WHERE Date_of_Transaction::DATE BETWEEN DATE '{_LOW}' AND DATE '{_HIGH}'""")
 
 # -- rate pages --------------------------------------------------------------

@@ -277,10 +277,10 @@ def import_report(cells: DataFrame, low: date | None = None, high: date | None =
     return rows.groupBy(*SOURCE, outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def import_by_header(
+def rows_by_header(
     cells: DataFrame, history: DataFrame, purpose_names: DataFrame, flow: Column, refuse: bool = True,
 ) -> DataFrame:
-    """Extracts whose columns are found by their headers, whatever their order.
+    """Extracts whose columns are found by their headers, whatever their order, with file, sheet and row number.
 
     A sheet without a header row stops the import. Pass ``refuse=False`` to go
     on without it; ``import_report`` then tells how many rows that leaves out.
@@ -295,13 +295,20 @@ def import_by_header(
     df = purpose_name(derive_purpose(rows), purpose_names)
     df = apply_move_fund(canon_method(df, vocab), usual)
     # Use and M2 are not in this export and stay NULL for the rules to fill.
-    return conform(hash_id(stamp(df, flow, F.col("file"))))
+    return hash_id(stamp(df, flow, F.col("file")))
 
 
-def import_by_position(
+def import_by_header(
+    cells: DataFrame, history: DataFrame, purpose_names: DataFrame, flow: Column, refuse: bool = True,
+) -> DataFrame:
+    """``rows_by_header`` in the canonical columns."""
+    return conform(rows_by_header(cells, history, purpose_names, flow, refuse))
+
+
+def rows_by_position(
     cells: DataFrame, history: DataFrame, purpose_names: DataFrame, low: date, high: date,
 ) -> DataFrame:
-    """Both sheets of the positional workbook, within an inclusive range of dates."""
+    """Both sheets of the positional workbook, within an inclusive range of dates, with file, sheet and row number."""
     vocab, usual = _vocabularies(history)
     flow = F.lit(None).cast("string")
     for sheet, name in H.SHEET_FLOW.items():
@@ -309,4 +316,11 @@ def import_by_position(
     df = derive_purpose(filter_rows(map_book(cells), low, high), "Code_New_Confirm", keep_pur2=True)
     df = purpose_name(df, purpose_names, keep_filed=False)
     df = apply_move_fund(canon_method(df, vocab), usual)
-    return conform(hash_id(stamp(df, flow, F.col("file")), with_file=False))
+    return hash_id(stamp(df, flow, F.col("file")), with_file=False)
+
+
+def import_by_position(
+    cells: DataFrame, history: DataFrame, purpose_names: DataFrame, low: date, high: date,
+) -> DataFrame:
+    """``rows_by_position`` in the canonical columns."""
+    return conform(rows_by_position(cells, history, purpose_names, low, high))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import inheritable_thread_target
@@ -80,6 +82,19 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("remitra-staging", default=None)
+
+
+@contextmanager
+def staging(folder: str) -> Iterator[None]:
+    """Tables staged within go to ``folder``, so that they can be removed together."""
+    token = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -88,7 +103,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     a table is broadcast only if it is below ``autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder.get() or shared_dir(spark) + '/staged'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,7 +112,7 @@ def side_by_side(spark: SparkSession, actions: dict[str, Callable[[], object]],
     """Run independent Spark actions at the same time, so that small jobs fill the cluster together."""
     with ThreadPoolExecutor(max_workers=min(at_once, len(actions))) as pool:
         running = {
-            name: pool.submit(inheritable_thread_target(spark)(action))
+            name: pool.submit(contextvars.copy_context().run, inheritable_thread_target(spark)(action))
             for name, action in actions.items()
         }
         return {name: future.result() for name, future in running.items()}

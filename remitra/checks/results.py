@@ -321,24 +321,24 @@ add("V2_bank_shares",
         FROM (SELECT flow_ix, bank_ix, sum(usd_m) AS usd FROM ({_DAY_BANK}) WHERE {_RANGE}
               GROUP BY flow_ix, bank_ix)""")
 # The same reports from running totals: sums of a range as the difference of two rows per key.
-_TOTALS = {"line": lambda ws: C.day_line(ws.day, ws.dims), "goods": lambda ws: C.day_goods(ws.day), "bank": lambda ws: C.day_bank(ws.day, ws.dims)}
+_DAILY = {"line": lambda ws: C.day_line(ws.day, ws.dims), "goods": lambda ws: C.day_goods(ws.day), "bank": lambda ws: C.day_bank(ws.day, ws.dims)}
 
 
-def _totals(ws, name, grain=G.MONTH):
-    return G.write_totals(G.running_totals(_TOTALS[name](ws), grain))
+def _running(ws, name, grain=G.MONTH):
+    return G.write_totals(G.running_totals(_DAILY[name](ws), grain))
 
 
 add("V1_range_of_totals",
-    lambda ws: G.period_report(_totals(ws, "line"), _LOW, _HIGH, banks=[0, 2, 5], uses=[1]),
+    lambda ws: G.period_report(_running(ws, "line"), _LOW, _HIGH, banks=[0, 2, 5], uses=[1]),
     f"""SELECT flow_ix, line_ix, CAST(sum(n) AS BIGINT) AS n, {r2('sum(usd_m)')} AS usd_m
         FROM ({_DAY_LINE}) WHERE {_RANGE} AND bank_ix IN (0, 2, 5) AND use_ix = 1
         GROUP BY flow_ix, line_ix""")
 add("V1_range_of_totals_goods",
-    lambda ws: G.period_report(_totals(ws, "goods"), _LOW, _HIGH),
+    lambda ws: G.period_report(_running(ws, "goods"), _LOW, _HIGH),
     f"""SELECT flow_ix, goods_ix, {r2('sum(usd_m)')} AS usd_m FROM ({_DAY_GOODS})
         WHERE {_RANGE} GROUP BY flow_ix, goods_ix""")
 add("V2_shares_of_totals",
-    lambda ws: G.bank_shares(_totals(ws, "bank"), _LOW, _HIGH),
+    lambda ws: G.bank_shares(_running(ws, "bank"), _LOW, _HIGH),
     f"""SELECT flow_ix, bank_ix, {r2('usd')} AS usd_m,
           {r2('100 * usd / sum(usd) OVER (PARTITION BY flow_ix)', 2)} AS share_pct
         FROM (SELECT flow_ix, bank_ix, sum(usd_m) AS usd FROM ({_DAY_BANK}) WHERE {_RANGE}

@@ -182,14 +182,14 @@ add("P22_title_case",
 # -- deduplication -----------------------------------------------------------
 
 add("W1_rank_duplicates", lambda ws: W.rank_duplicates(ws.tx_all).select("Hash_ID", "dup_rank", "dup_count"),
-    "SELECT Hash_ID, dup_rank, dup_count FROM ranked")
+    "SELECT Hash_ID, dup_rank, dup_count FROM with_copies")
 add("W2_dup_count", lambda ws: W.dup_count(ws.tx_all).select("Hash_ID", "dup_count"),
-    "SELECT Hash_ID, dup_count FROM ranked")
+    "SELECT Hash_ID, dup_count FROM with_copies")
 add("W3_dedup", lambda ws: W.dedup(ws.tx_all).select("Hash_ID", "ref", "usd"),
     "SELECT Hash_ID, ref, usd FROM tx")
 add("W4_dedup_report", lambda ws: W.dedup_report(ws.tx_all),
     """SELECT count(*) FILTER (WHERE dup_rank = 1) AS kept,
-         count(*) FILTER (WHERE dup_rank > 1) AS removed, count(*) AS total FROM ranked""")
+         count(*) FILTER (WHERE dup_rank > 1) AS removed, count(*) AS total FROM with_copies""")
 add("W5_rank_by_usd",
     lambda ws: C.rank_by_usd(ws.tx, ws.dims).select(
         "year_ix", "flow_ix", "Hash_ID", "rn", numbers.r2(numbers.millions(F.col("tot"))).alias("tot_m")),
@@ -242,12 +242,12 @@ def _keyed(df, *ix):
 add("J1_join_codes",
     lambda ws: _keyed(J.join_codes(ws.tx, ws.dims), "purpose_ix", "pur2", "line_ix", "method_ix",
                       "flow_ix", "use_ix"),
-    "SELECT Hash_ID, purpose_ix, pur2, line_ix, method_ix, flow_ix, use_ix FROM txf")
+    "SELECT Hash_ID, purpose_ix, pur2, line_ix, method_ix, flow_ix, use_ix FROM coded")
 add("J2_join_periods", lambda ws: _keyed(J.join_periods(ws.tx, ws.dims), "month_ix", "year_ix"),
     "SELECT Hash_ID, month_ix, year_ix FROM tx JOIN months USING (ym) JOIN years USING (yr)")
 add("J3_join_pur2",
     lambda ws: _keyed(J.join_pur2(J.join_purposes(ws.tx, ws.dims)), "pur2", "pur2_ix"),
-    "SELECT Hash_ID, pur2, pur2_ix FROM txf LEFT JOIN pur2_dim USING (pur2)")
+    "SELECT Hash_ID, pur2, pur2_ix FROM coded LEFT JOIN pur2_dim USING (pur2)")
 add("J4_join_bank_left", lambda ws: _keyed(J.join_bank_left(ws.tx, ws.dims), "bank_ix"),
     "SELECT Hash_ID, coalesce(bank_ix, -1) AS bank_ix FROM tx LEFT JOIN banks USING (bank)")
 add("J5_join_bank_inner", lambda ws: _keyed(J.join_bank_inner(ws.tx, ws.dims), "bank_ix"),
@@ -264,7 +264,7 @@ add("J8_anti_blocklist",
         E.entity_sides(ws.tx), loader.blocklist_frame(ws.spark, ws.config).unionByName(
             ws.tx.limit(1).select(F.lit(None).cast("string").alias("blocked")))
     ).select("Hash_ID", "side", "nm"),
-    """SELECT Hash_ID, side, nm FROM ent_raw
+    """SELECT Hash_ID, side, nm FROM sides
        WHERE NOT EXISTS (SELECT 1 FROM block WHERE blocked = upper(nm))""")
 add("J9_keep_entities",
     lambda ws: E.keep_entities(ws.ent, E.entity_keep(ws.totals, 200)).select("Hash_ID", "side", "ix"),
@@ -303,7 +303,7 @@ add("J13_join_officers", _with_officers,
 
 add("U2_entity_sides",
     lambda ws: E.entity_sides(ws.tx).select("Hash_ID", "side", "nm", "other"),
-    "SELECT Hash_ID, side, nm, other FROM ent_raw")
+    "SELECT Hash_ID, side, nm, other FROM sides")
 add("U3_drop_columns",
     lambda ws: ws.tx.drop(*[c for c in ws.tx.columns if c not in ("Hash_ID", "ymd", "usd")]),
     "SELECT Hash_ID, ymd, usd FROM tx")
@@ -331,13 +331,13 @@ add("D8_pur2_used",
     lambda ws: J.join_purposes(ws.base, ws.dims).groupBy("pur2").agg(F.sum("n").alias("n")).join(
         loader.pur2_frame(ws.spark).withColumnRenamed("code", "pur2"), "pur2"
     ).select("pur2", "pur2_ix", "en", "lo", "account", "n"),
-    """SELECT pur2, pur2_ix, en, lo, account, count(*) AS n FROM txf JOIN pur2_dim USING (pur2)
+    """SELECT pur2, pur2_ix, en, lo, account, count(*) AS n FROM coded JOIN pur2_dim USING (pur2)
        GROUP BY ALL""")
 add("D9_report_lines_used",
     lambda ws: J.join_purposes(ws.base, ws.dims).groupBy("line_ix").agg(F.sum("n").alias("n")).join(
         loader.report_line_frame(ws.spark, ws.config), "line_ix"
     ).select("line_ix", "grp", "bank_own", "catch_all", "n"),
-    """SELECT line_ix, grp, bank_own, catch_all, count(*) AS n FROM txf JOIN line_dim USING (line_ix)
+    """SELECT line_ix, grp, bank_own, catch_all, count(*) AS n FROM coded JOIN line_dim USING (line_ix)
        GROUP BY ALL""")
 add("D10_goods_used",
     lambda ws: J.join_goods(ws.base).groupBy("goods_ix", F.col("pur5").alias("code"), "side").agg(
@@ -375,7 +375,7 @@ add("O1_sort_cube",
     f"SELECT ym, country, count(*) AS n, {usd_m()} AS usd_m FROM tx GROUP BY ym, country ORDER BY ALL")
 add("O2_order_by_value",
     lambda ws: ws.totals.orderBy(*E.order_by_value()).select("nm", "n"),
-    "SELECT nm, n FROM ent_tot ORDER BY usd DESC NULLS LAST, nm")
+    "SELECT nm, n FROM party_totals ORDER BY usd DESC NULLS LAST, nm")
 add("O3_top_k",
     lambda ws: top_k(ws.tx.filter("usd IS NOT NULL"),
                      [F.abs(F.col("usd") - F.col("amt_orig")).desc(), F.col("Hash_ID")], 500

@@ -32,7 +32,7 @@ _SHORT = "purpose_ix >= 0 AND length(pur5) <= 4"
 def cube_sql(keys: str, joins: str = "", where: str = "TRUE", count: bool = True) -> str:
     n = "count(*) AS n, " if count else ""
     keys = keys.replace("bank_ix0", "coalesce(bank_ix, -1) AS bank_ix")
-    return f"SELECT {keys}, {n}{usd_m('txf.usd')} AS usd_m FROM txf {joins} WHERE {where} GROUP BY ALL"
+    return f"SELECT {keys}, {n}{usd_m('coded.usd')} AS usd_m FROM coded {joins} WHERE {where} GROUP BY ALL"
 
 
 # -- cubes -------------------------------------------------------------------
@@ -52,9 +52,9 @@ add("C5_purpose", lambda ws: C.cube_purpose(ws.base, ws.dims),
 add("C6_method", lambda ws: C.cube_method(ws.filed, ws.dims),
     cube_sql("year_ix, flow_ix, method_ix, use_ix", _YEAR, "method_ix >= 0"))
 add("C7_size", lambda ws: C.cube_size(ws.filed, ws.dims),
-    cube_sql("""year_ix, flow_ix, CASE WHEN txf.usd < 1000 THEN 0 WHEN txf.usd < 10000 THEN 1
-      WHEN txf.usd < 100000 THEN 2 WHEN txf.usd < 1000000 THEN 3 WHEN txf.usd < 10000000 THEN 4
-      ELSE 5 END AS size_ix, use_ix""", _YEAR, "txf.usd > 0"))
+    cube_sql("""year_ix, flow_ix, CASE WHEN coded.usd < 1000 THEN 0 WHEN coded.usd < 10000 THEN 1
+      WHEN coded.usd < 100000 THEN 2 WHEN coded.usd < 1000000 THEN 3 WHEN coded.usd < 10000000 THEN 4
+      ELSE 5 END AS size_ix, use_ix""", _YEAR, "coded.usd > 0"))
 add("C8_ts_bank", lambda ws: C.ts_bank(ws.base, ws.dims),
     cube_sql("month_ix, flow_ix, bank_ix, use_ix", f"{_MONTH} {_BANK}"))
 add("C9_ts_country", lambda ws: C.ts_country(ws.base, ws.dims),
@@ -116,7 +116,7 @@ add("C25_quality", lambda ws: C.quality(ws.checks, ws.dims),
           count(*) FILTER (WHERE country IS NULL) AS no_country,
           count(*) FILTER (WHERE method_raw IS NULL) AS no_method,
           count(*) FILTER (WHERE lsic IS NULL) AS no_lsic
-        FROM txf {_YEAR} {_BANK} GROUP BY year_ix, bank_ix""")
+        FROM coded {_YEAR} {_BANK} GROUP BY year_ix, bank_ix""")
 add("C26_completeness", lambda ws: C.completeness(ws.checks, ws.dims),
     "SELECT year_ix, count(*) AS n, " + ", ".join(
         f"count(*) FILTER (WHERE {f} IS NULL OR trim(CAST({f} AS VARCHAR)) = '') AS no_{f}"
@@ -152,7 +152,7 @@ add("X1_fx_by_year_bank", lambda ws: X.fx_by_year_bank(ws.checks, ws.dims),
 add("X2_ccy_rates", lambda ws: X.ccy_rates(ws.medians, ws.dims),
     f"SELECT currency_ix, yr, {r2('med')} AS rate FROM med {_CURRENCY}")
 add("X3_usd_rates", lambda ws: ws.fx_medians.select("yr", F.round("med_fx", 3).alias("med_fx")),
-    "SELECT yr, round(med_fx, 3) AS med_fx FROM medfx")
+    "SELECT yr, round(med_fx, 3) AS med_fx FROM usd_medians")
 add("X4_fx_counts", lambda ws: X.fx_counts(ws.judged),
     """SELECT count(*) FILTER (WHERE usd IS NULL) AS missing, count(*) FILTER (WHERE usd <= 0) AS nonpos,
          count(*) FILTER (WHERE wrong) AS wrongrate, count(*) FILTER (WHERE usd > 0 AND off) AS band
@@ -238,8 +238,8 @@ add("E1_entities_filtered",
     "SELECT Hash_ID, side, nm, other, usd FROM ent")
 add("E2_placeholder_removed",
     lambda ws: E.placeholder_removed(E.entity_sides(ws.tx), ws.totals),
-    f"""SELECT CAST((SELECT count(*) FROM ent_raw) - (SELECT count(*) FROM ent) AS BIGINT) AS removed,
-          {r2('((SELECT sum(usd) FROM ent_raw) - (SELECT sum(usd) FROM ent)) / 1e6')} AS removed_usd_m""")
+    f"""SELECT CAST((SELECT count(*) FROM sides) - (SELECT count(*) FROM ent) AS BIGINT) AS removed,
+          {r2('((SELECT sum(usd) FROM sides) - (SELECT sum(usd) FROM ent)) / 1e6')} AS removed_usd_m""")
 _TOTALS = ", ".join(f"{r2(f'{c} / 1e6')} AS {c}" for c in ("usd", "usd_in", "usd_out"))
 
 
@@ -249,9 +249,9 @@ def _totals(df):
 
 
 add("E3_entity_totals", lambda ws: _totals(ws.totals),
-    f"SELECT nm, n, {_TOTALS}, y0, y1 FROM ent_tot")
+    f"SELECT nm, n, {_TOTALS}, y0, y1 FROM party_totals")
 add("E4_entity_keep", lambda ws: _totals(ws.keep),
-    f"SELECT nm, ix, n, {_TOTALS}, y0, y1 FROM ent_keep")
+    f"SELECT nm, ix, n, {_TOTALS}, y0, y1 FROM main_parties")
 add("E5_entity_by_year", lambda ws: E.entity_by_year(ws.kept),
     f"SELECT ix, yr, flow_ix, count(*) AS n, {usd_m()} AS usd_m FROM kept GROUP BY ix, yr, flow_ix")
 add("E6_entity_tops", lambda ws: E.entity_tops(ws.kept, ws.dims), ENTITY_TOPS)
@@ -287,7 +287,7 @@ add("E8_entity_documents", _documents,
       CAST(coalesce(c.c, 0) AS INTEGER) AS ctry_items, CAST(coalesce(p.c, 0) AS INTEGER) AS pur_items,
       CAST(coalesce(b.c, 0) AS INTEGER) AS bank_items, CAST(coalesce(u.c, 0) AS INTEGER) AS curr_items,
       CAST(t.c AS INTEGER) AS tx_items, t.s AS tx_usd, t.o AS first_other, c.v AS first_country
-    FROM ent_keep k JOIN years_n y ON y.ix = k.ix JOIN tx_n t ON t.ix = k.ix
+    FROM main_parties k JOIN years_n y ON y.ix = k.ix JOIN tx_n t ON t.ix = k.ix
     LEFT JOIN tops_n c ON c.ix = k.ix AND c.kind = 'ctry'
     LEFT JOIN tops_n p ON p.ix = k.ix AND p.kind = 'pur'
     LEFT JOIN tops_n b ON b.ix = k.ix AND b.kind = 'bank'
@@ -296,7 +296,7 @@ add("E9_entity_coverage",
     lambda ws: E.entity_coverage(ws.totals, E.entity_keep(ws.totals, 100)),
     f"""SELECT count(*) AS total, count(*) FILTER (WHERE ix < 100) AS kept,
           {r2(f"100 * sum({r2('usd / 1e6')}) FILTER (WHERE ix < 100) / sum(usd / 1e6)", 1)} AS cover_pct
-        FROM (SELECT usd, row_number() OVER (ORDER BY usd DESC NULLS LAST, nm) - 1 AS ix FROM ent_tot)""")
+        FROM (SELECT usd, row_number() OVER (ORDER BY usd DESC NULLS LAST, nm) - 1 AS ix FROM party_totals)""")
 _NAMES = f"""SELECT nm, count(*) AS n, {usd_m('CASE WHEN side = 1 THEN usd ELSE 0 END')} AS received,
   {usd_m('CASE WHEN side = 0 THEN usd ELSE 0 END')} AS sent FROM ent GROUP BY nm"""
 add("E10_all_names", lambda ws: E.all_names(ws.totals), _NAMES)
@@ -476,7 +476,7 @@ def _own(ws):
 add("R6_bank_own", _own,
     """SELECT Hash_ID, by_name, by_name OR coalesce(bank_own, FALSE) AS own FROM (
          SELECT Hash_ID, line_ix,
-           tr_name IS NOT NULL AND purpose_ix % 3 IN (0, 1) AS by_name FROM txf)
+           tr_name IS NOT NULL AND purpose_ix % 3 IN (0, 1) AS by_name FROM coded)
        LEFT JOIN line_dim USING (line_ix)""")
 add("R7_dup_tier_config",
     lambda ws: X.dup_summary(X.dup_tier(ws.tx_all, ["bank", "ref", "currency"], min_reference=3)),

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from remitra.llm.common import if_small, ship, staged, words_of
 from remitra.llm.tokens import encoder
 
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Bytes of text that are measured together.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 6_000_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
 #: First code points of blocks of letters, and the scripts they begin.

@@ -9,7 +9,10 @@ document's signature is the elementwise minimum of its shingles' slices.
 Documents with the same set form one class. Classes that agree in all rows of
 a band share a bucket; links between them are confirmed by the exact Jaccard
 similarity of their sets. 48 bands of 7 rows leave out a pair at the threshold
-of 0.8 with a probability of 1e-5.
+of 0.8 with a probability of 1e-5. Within large families of copies that are not
+all linked, parity words (each shingle turns one of 1,024 bits) rule out pairs
+before they are formed: sets differ in at least as many shingles as bits, so
+no link is lost.
 
 Texts that are null, empty or without a word have the empty set and are linked
 with nothing; fewer words than a shingle are one shingle. Rows that repeat an
@@ -29,6 +32,8 @@ from remitra.llm.common import if_small, ship, staged, words_of
 from remitra.llm.links import grouped_by_links, shared_buckets
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 48, 7
+#: Parity words of 64 bits; more rule out more pairs of long documents.
+PARITY = 16
 _CIRCLE = 1 << 20
 _STEP, _MIX_A, _MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -110,6 +115,12 @@ def _summaries(size: int, bands: int, rows: int):
     return run
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY`` words whose bits tell if an odd number of shingles falls on them."""
+    at = (_mixed(shingles) % np.uint64(64 * PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(size: int):
     import xxhash
 
@@ -119,9 +130,9 @@ def _sets(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["node", "found", "shingles"],
+                names=["node", "found", "shingles", "parity"],
             )
 
     return run
@@ -153,11 +164,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     sets = (
         texts.join(if_small(wanted), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-        .select("node", "text").mapInArrow(_sets(size), "node long, found binary, shingles array<long>")
+        .select("node", "text").mapInArrow(_sets(size), "node long, found binary, shingles array<long>, parity array<long>")
     )
     keys = wanted.select(F.col("node").alias("_node"), "_class")
     sets = staged(
-        sets.join(if_small(keys), (F.col("node") == F.col("_node")) & (F.col("found") == F.col("_class"))).select("node", "shingles").dropDuplicates(["node"]),
+        sets.join(if_small(keys), (F.col("node") == F.col("_node")) & (F.col("found") == F.col("_class"))).select("node", "shingles", "parity").dropDuplicates(["node"]),
         "sets",
     )
 
@@ -172,20 +183,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     small, large = F.least, F.greatest
 
     def shared_shingles(nodes: DataFrame) -> DataFrame:
-        """A node's set size and how many of its shingles any other of ``nodes`` has, in one number."""
-        own = staged(sets.join(if_small(staged(nodes, "left")), "node", "left_semi").select("node", F.size("shingles").alias("n"), "shingles"), "left")
+        """A node's set size, how many of its shingles any other of ``nodes`` has, and its parity words."""
+        own = staged(sets.join(if_small(staged(nodes, "left")), "node", "left_semi").select("node", F.size("shingles").cast("long").alias("n"), "shingles", "parity"), "left")
         each = own.select("node", F.explode("shingles").alias("s"))
         common = each.groupBy(F.col("s").alias("_s")).agg(F.min("node").alias("_l"), F.max("node").alias("_h")).filter("_l < _h").select("_s")
         held = each.join(common, F.col("s") == F.col("_s")).groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("held"))
         return own.join(held, F.col("node") == F.col("_node"), "left").select(
-            "node", (F.col("n").cast("long") * (1 << 31) + F.coalesce("held", F.lit(0))).alias("mark")
+            "node", F.struct("n", F.coalesce("held", F.lit(0)).alias("held"), "parity").alias("mark")
         )
 
     def may_share(m: Column, n: Column) -> Column:
-        """Whether what both sets share with others would be enough."""
-        part = 1 << 31
-        most = small(m % part, n % part)
-        return 100 * most >= percent * (F.floor(m / part) + F.floor(n / part) - most)
+        """Whether what both sets share with others would be enough, and their parity words differ little enough."""
+        most = small(m["held"], n["held"])
+        apart = sum(F.bit_count(m["parity"][k].bitwiseXOR(n["parity"][k])) for k in range(PARITY))
+        both = m["n"] + n["n"]
+        return (100 * most >= percent * (both - most)) & ((100 + percent) * apart <= (100 - percent) * both)
 
     roots = grouped_by_links(
         members, lambda m, n: 100 * small(m, n) >= percent * large(m, n), confirmed, sharper=(shared_shingles, may_share)

@@ -90,13 +90,32 @@ def test_signature_is_the_minimum_over_shifts():
     assert circulant.signature(sets, 20).tolist() == want
 
 
-def plain_simhash(norm):
-    import xxhash
+def test_parity_words_differ_in_no_more_bits_than_sets_in_shingles():
+    import numpy as np
 
-    words = norm.split(" ")
-    words = [w for w in words if len(w) >= 4] or ['____' + norm.replace(' ', '_')]
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-    return sum(1 << k for k in range(60) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**64, 400, dtype=np.uint64)
+    for other in (0, 1, 5, 40, 300):
+        near = np.concatenate([base[other:], draw.integers(0, 2**64, other, dtype=np.uint64)])
+        bits = sum(int(x).bit_count() for x in (circulant.parity(base) ^ circulant.parity(near)).view(np.uint64))
+        assert bits <= 2 * other and bits % 2 == 0 and (other == 0) == (bits == 0)
+
+
+def test_large_family_of_copies_that_are_not_all_linked(spark):
+    draw = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(300)]
+    base, rows = draw.choices(vocabulary, k=90), []
+    for n in range(160):
+        copy = list(base)
+        for _ in range(draw.randint(1, 7)):
+            copy[draw.randrange(len(copy))] = draw.choice(vocabulary)
+        rows.append((n, " ".join(copy)))
+    sets = {i: shingles(t, 4) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = grouped(sets, links)
+    assert len(set(want.values())) > 5 and max(Counter(want.values()).values()) > 20
+    got = circulant.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
 
 
 def edits(a, b):

@@ -26,6 +26,13 @@ TOGETHER = 4_096
 
 _IRREGULAR = r"[ \n]{2}|[\t\x0b\x0c\r\x02]|[ \n]$|^[ \n]"
 _TAIL = ",.;:!?"
+#: Most pieces that keep their ids with others around them, by layout, and a word with marks behind it.
+_PLAIN = {True: r"^[!-~\p{L}\p{M}\p{N}]+$", False: r"^[\n ][!-~\p{L}\p{M}\p{N}]+$"}
+_MARKED = rf"[A-Za-z][{_TAIL}]+$"
+
+
+def _matches(pieces: list[str], pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(pa.array(pieces, pa.string()), pattern).to_numpy(zero_copy_only=False).astype(bool)
 
 
 class Encoder:
@@ -67,17 +74,18 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _form_bytes(self, piece: str) -> int:
-        if piece.isascii() or not self.by_words:
-            return len(piece.encode())
-        return len(unicodedata.normalize("NFC", piece).lower().encode())
+    def _form_bytes(self, pieces: list[str]) -> np.ndarray:
+        """The bytes of each piece in the form that the vocabulary takes."""
+        if self.by_words:
+            pieces = [p if p.isascii() else unicodedata.normalize("NFC", p).lower() for p in pieces]
+        return pc.binary_length(pa.array(pieces, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces in one call and cut the ids where their bytes end; if the cuts don't fit, one by one."""
         joined = ("\n" if self.by_words else "").join(pieces)
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum(self._bytes[ids])
-        want = np.cumsum(np.fromiter(map(self._form_bytes, pieces), np.int64, len(pieces)))
+        want = np.cumsum(self._form_bytes(pieces))
         at = np.searchsorted(ends, want)
         if len(ends) and ends[-1] == want[-1] and np.array_equal(ends[np.minimum(at, len(ends) - 1)], want):
             self._remember(pieces, ids, np.diff(at, prepend=-1))
@@ -104,17 +112,16 @@ class Encoder:
         new = [pieces[k] for k in np.flatnonzero(found < 0)]
         if not new:
             return found
-        stems, tails, cut = [], [], []
-        for piece in new:  # a word and the marks behind it are never merged
-            stem = piece.rstrip(_TAIL)
-            if stem is not piece and stem[-1:].isascii() and stem[-1:].isalpha():
-                cut.append(piece)
-                stems.append(stem)
-                tails.append(piece[len(stem) :])
-        whole = list(dict.fromkeys(p for p in [*stems, *tails, *set(new).difference(cut)] if p not in known))
-        together, alone = [], []
-        for piece in whole:
-            (together if self._simple(piece) else alone).append(piece)
+        marked = _matches(new, _MARKED)  # a word and the marks behind it are never merged
+        cut = [new[k] for k in np.flatnonzero(marked)]
+        stems = [piece.rstrip(_TAIL) for piece in cut]
+        tails = [piece[len(stem) :] for piece, stem in zip(cut, stems, strict=True)]
+        rest = [p for p in dict.fromkeys(stems + tails) if p not in known]
+        whole = list(dict.fromkeys(rest + [new[k] for k in np.flatnonzero(~marked)])) if rest else [new[k] for k in np.flatnonzero(~marked)]
+        plain = _matches(whole, _PLAIN[self.by_words])
+        together, alone = [whole[k] for k in np.flatnonzero(plain)], []
+        for k in np.flatnonzero(~plain):
+            (together if self._simple(whole[k]) else alone).append(whole[k])
         for k in range(0, len(together), TOGETHER):
             self._learn(together[k : k + TOGETHER])
         if alone:

@@ -133,7 +133,7 @@ def _gradient(batches: Iterator[pa.RecordBatch], model: dict[str, np.ndarray]) -
 
 def fit(labelled: DataFrame, per_language: int = TRAIN_DOCS, steps: int = STEPS) -> dict | None:
     """Model of a bounded sample of ``labelled`` (doc_id, text, lang); None without any."""
-    ship(docs.sparkSession)
+    ship(labelled.sparkSession)
     known = labelled.filter("lang is not null and text is not null").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     chosen = top_k_per_group(known.select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id")), ["lang"], [F.col("_h"), F.col("doc_id")], per_language, spread_by="doc_id")
     chosen = F.broadcast(staged(chosen.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang")).distinct(), "chosen"))  # per_language rows each

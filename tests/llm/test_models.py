@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from helpers import LOWER, WORDS, awkward, empty
 from pyspark.sql import functions as F
 
-from remitra.llm import crf, fertility, hmm, mixing, ordinal, voronoi
+from remitra.llm import crf, fertility, hmm, mixing, ordinal, queries, voronoi
 from remitra.llm.chains import Chains
 from remitra.llm.common import table
 
@@ -264,6 +265,16 @@ def test_language_of_awkward_rows(spark):
     assert crf.label(empty(spark), model).count() == 0
 
 
+def test_language_query_learns_from_its_own_rows(spark, tmp_path):
+    words = {"en": "the house and the garden of the town", "de": "das haus und der garten von der stadt"}
+    rows = [(k, words["en" if k % 2 else "de"], "en" if k % 2 else "de") for k in range(40)] + [(40, None, "en"), (41, "12 34", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_language(spark, str(tmp_path)).collect()}
+    assert all(got[k].lang_pred == lang for k, _, lang in rows[:40])
+    assert [(got[k].lang_pred, got[k].score) for k in (40, 41)] == [("und", 0.0)] * 2
+    assert {k for k in got if got[k].held_out} == {k for k in got if zlib.crc32(str(k).encode()) % 5 == 0}
+
+
 def test_probabilities_of_texts_add_up(spark):
     texts = ["a b a", "b b", "", "a", "a c"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")

@@ -125,6 +125,22 @@ def test_dedup_drops_copies_before_the_shuffle(ws):
     assert plan.count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("bits", [W.ROW_BITS, W.BITS])
+def test_only_keys_that_repeat_are_shuffled_whole(spark, bits):
+    amounts = [0.0, -0.0, float("nan"), None, 2.5]
+    rows = [(f"{k:04d}", f"{k % 700:05d}" if k % 7 else f"9{k:05d}", amounts[k % 5]) for k in range(2100)] + [("0003", "00003", None)] * 2
+    df = spark.createDataFrame(rows, "Hash_ID string, ref string, amt_orig double").withColumns({
+        "bank": F.lit("A"), "currency": F.lit(None).cast("string"), "flow": F.lit("P"), "ymd": F.lit("2020-01-01")})
+    groups = defaultdict(list)
+    for name, ref, amount in rows:
+        groups[ref, "nan" if amount != amount else amount].append(name)
+    assert sorted(r.Hash_ID for r in W.dedup(df, bits).collect()) == sorted(min(names) for names in groups.values())
+    marked = {r.ref for r in W.with_copy_mark(df, bits).filter("_copies").collect()}
+    alone = {ref for (ref, _), names in groups.items() if len(names) == 1}
+    assert marked >= {ref for (ref, _), names in groups.items() if len(names) > 1}
+    assert bits < W.BITS or not marked & {ref for ref in alone if ref.startswith("9")}
+
+
 def test_ranks_take_one_shuffle_and_one_read(ws):
     plan = W.rank_duplicates(ws.tx_all)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan

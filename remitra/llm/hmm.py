@@ -6,10 +6,13 @@ characters, and has the share ``(c + 1) / (N + V + 1)`` in it, with the class's
 ``N`` tokens and ``V`` words in training and one place for unseen words. So the
 probabilities of all texts of a length add up to one.
 
-Counts of words are exact over all training texts. Baum-Welch starts from a
-bounded sample; its last rounds, which make the model, sum the expected counts
-over all partitions of the training texts. A text's likelihood comes from the
-scaled forward recursion over the whole of it.
+Counts of words are exact over all training texts, and Baum-Welch runs over all
+of them from its first round to its last. It is the incremental kind (Neal and
+Hinton): texts fall into ``PARTS`` parts by a hash, each part's expected counts
+replace those it gave in the round before, and the model follows the sum over
+all parts. So a round reads each text once and improves the model ``PARTS``
+times. A text's likelihood comes from the scaled forward recursion over the
+whole of it.
 
 Only frequent words, a bounded number, are shipped to tasks. A text's other
 words meet their counts in a join, one row per word and text; since each of
@@ -33,10 +36,11 @@ from pyspark.sql import functions as F
 
 from remitra.llm.chains import Chains
 from remitra.llm.common import ship, staged, summed, words_of
+from remitra.session import shared_dir
 
 FREQUENT = 200_000
 SYMBOLS, CLASSES, STATES = 16_384, 1_024, 8
-START_TEXTS, START_ROUNDS, ROUNDS = 1_500, 10, 2
+PARTS, ROUNDS = 6, 2
 SMOOTHING, STAY = 500.0, 0.8
 #: Tokens that a task holds to sort texts by length, and that one recursion runs over.
 HELD, TOGETHER = 8_000_000, 400_000
@@ -201,21 +205,29 @@ def _updated(counts: dict[str, np.ndarray], share: np.ndarray) -> dict[str, np.n
     }
 
 
-def baum_welch(texts: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS, start_texts: int = START_TEXTS, start_rounds: int = START_ROUNDS) -> dict[str, np.ndarray]:
-    """Model of ``texts`` (row, symbols)."""
+def in_parts(texts: DataFrame, parts: int = PARTS) -> list[DataFrame]:
+    """Written symbols of ``texts`` (row, symbols), a table for each part that has a text."""
+    path = f"{shared_dir(texts.sparkSession)}/staged/parts-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+    texts.select("symbols", part.alias("part")).write.partitionBy("part").parquet(path)
+    written = texts.sparkSession.read.schema("symbols binary, part int").parquet(path)
+    held = sorted(r.part for r in written.select("part").distinct().collect())  # at most ``parts``
+    return [written.filter(F.col("part") == k).select("symbols") for k in held]
+
+
+def baum_welch(texts: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS, parts: int = PARTS) -> dict[str, np.ndarray]:
+    """Model of all ``texts`` (row, symbols)."""
     random = np.random.default_rng(7)
     emit = share * random.gamma(2.0, size=(states, len(share)))
     move = np.full((states, states), (1 - STAY) / max(1, states - 1))
     np.fill_diagonal(move, STAY if states > 1 else 1.0)
     model = {"first": np.full(states, 1 / states), "move": move, "emit": emit / emit.sum(axis=1, keepdims=True)}
-    n = texts.count()
-    few = staged(texts.filter(F.pmod(F.xxhash64("row"), F.lit(max(n, 1))) < start_texts).select("symbols").repartition(8), "start")
-    for data, times in ((few, start_rounds), (texts.select("symbols"), rounds)):
-        for _ in range(times):
-            counts = summed(data, lambda batches, now=model: _expected(batches, now))
-            if not counts or not counts["first"].sum():
-                break
-            model = _updated(counts, share)
+    tables = in_parts(texts, parts)
+    counts: dict[int, dict[str, np.ndarray]] = {}
+    for _ in range(rounds):
+        for k, table in enumerate(tables):
+            counts[k] = summed(table, lambda batches, now=model: _expected(batches, now))
+            model = _updated({name: sum(c[name] for c in counts.values()) for name in counts[k]}, share)
     return model
 
 

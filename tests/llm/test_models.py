@@ -321,6 +321,16 @@ def test_frequent_words_do_not_change_the_base(spark):
     assert all(got[i][0] == n and math.isclose(got[i][1], b) for i, (n, b, _) in want.items())
 
 
+def test_every_round_learns_from_every_text(spark, monkeypatch):
+    rows = spark.range(1800).selectExpr("id as row", "cast(concat(if(id % 3 = 0, x'0000', x'0100'), x'0200') as binary) as symbols")
+    read = []
+    monkeypatch.setattr(hmm, "summed", lambda table, f, plain=hmm.summed: read.append((table.count(), found := plain(table, f))) or found)
+    model = hmm.baum_welch(rows, np.full(3, 1 / 3), states=2, rounds=2, parts=4)
+    assert len(read) == 8 and [sum(n for n, _ in read[k : k + 4]) for k in (0, 4)] == [1800, 1800]
+    assert all(math.isclose(counts["first"].sum(), n) and math.isclose(counts["emit"].sum(), 2 * n) for n, counts in read)
+    assert all(np.allclose(model[name].sum(axis=-1), 1) for name in model)
+
+
 def test_likelihood_of_awkward_rows(spark):
     assert len(hmm.score(awkward(spark), F.col("doc_id") == 2).collect()) == 15
     rows = hmm.score(awkward(spark), F.lit(True)).collect()

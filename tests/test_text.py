@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from remitra.config import values
+from remitra.checks import catalog
+from remitra.checks.inputs import workspace
 from remitra.functions import numbers, text
+from remitra.operators import names
 
 BLANKS = ["a b", " x ", "　y ", "\tz\n", " \t ", "", None, "'x", "' '", "''q", "\x1cw\x85"]
 NAMES = [
@@ -150,3 +153,23 @@ def test_python_number(spark):
     items = [0.0, 1.0, 1234567.25, 1e7, 0.1, 123456789012.34, -5.5, 9.99e15]
     df = spark.createDataFrame([(v,) for v in items], "v double")
     assert [r[0] for r in df.select(numbers.python_number(F.col("v"))).collect()] == [str(v) for v in items]
+
+
+def test_clean_names_of_long_tables(spark):
+    """The same as the column form, without a scalar Python function, whose input queue goes to disk whole."""
+    items = [*NAMES, "étude", "Café ́.", "각", damage("Café")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(items)], "i int, v string")
+    long = names.with_clean_names(df, {"a": F.col("v"), "b": F.concat(F.lit("./"), F.col("v"))})
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+    rows = sorted(long.collect())
+    assert [r.v for r in rows] == items
+    assert [r.a for r in rows] == [cleaned(v) for v in items] == column(spark, items, text.clean_name)
+    assert [r.b for r in rows] == [v if v is None else cleaned("./" + v) for v in items]
+
+
+def test_distinct_names_are_cleaned_without_a_queue(spark):
+    folder = "/root/testdata/sf0.001"
+    for name in ("P13_clean_name", "P17_real_name"):
+        plan = catalog.QUERIES[name](workspace(spark, folder))._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "EvalPython" not in plan

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from remitra.plans.yearly import YearStore
+from remitra.session import stage
 from remitra.sources import sinks
 from remitra.sources.pack import Pack
 
@@ -106,3 +107,23 @@ def counted_apart(spark, tmp_path, rows):
     other = YearStore(spark, f"file://{tmp_path}/other")
     other.replace(rows.filter("Source_Year = 1997"))
     return other.build().base.agg(F.sum("n")).first()[0]
+
+
+def test_raw_parts_are_written_without_moving_rows(ws, tmp_path):
+    rows = ws.raw.withColumns({"Flow": F.col("_flow"), "Source_Year": F.year("Date_of_Transaction").cast("long")})
+    spark, written = ws.spark, stage(rows, "test-raw")
+    plans = []
+    write = type(written.write).parquet
+
+    def noted(self, path, *more, **options):
+        plans.append((path, self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, *more, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(written.write), "parquet", noted)
+        store = YearStore(spark, str(tmp_path / "plain"))
+        store.replace(written)
+    raw = [plan for path, plan in plans if path.endswith("/raw")]
+    assert len(raw) == 1 and "Exchange hashpartitioning" not in raw[0] and "REBALANCE" not in raw[0]
+    stored = store.pack.read("raw")
+    assert sorted(r.Hash_ID for r in stored.select("Hash_ID").collect()) == sorted(r.Hash_ID for r in written.select("Hash_ID").collect())

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from remitra.operators import dedup as W
+from remitra.operators import exceptions as X
+from remitra.operators import rules as R
 from remitra.operators import scale as S
 
 
@@ -160,3 +162,52 @@ def test_groups_too_large_for_a_task_are_cut(spark):
         order = sorted(names, key=lambda n: (n is None, n or ""))
         want += [(bank, n, k + 1, len(order)) for k, n in enumerate(order)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicate_tiers_shuffle_only_rows_that_may_repeat(spark):
+    amounts = [0.0, -0.0, float("nan"), None, 2.5]
+    rows = [(f"{k % 700:05d}" if k % 7 else f"9{k:05d}", None if k % 11 == 0 else "A", amounts[k % 5], float(k)) for k in range(2100)]
+    df = spark.createDataFrame(rows, "ref string, bank string, amt_orig double, usd double").withColumns({
+        "country": F.lit("X"), "tr_name": F.lit("n"), "rc_name": F.lit(None).cast("string")})
+    groups = defaultdict(list)
+    for ref, bank, amount, usd in rows:
+        groups[ref, bank, "nan" if amount != amount else amount].append(usd)
+    want = sorted((ref, str(bank), str(amount + 0.0 if isinstance(amount, float) else amount), len(v), sum(v))
+                  for (ref, bank, amount), v in groups.items() if len(v) > 1)
+    found = X.dup_tier(df, ["ref", "bank", "amt_orig"], min_reference=4)
+    got = sorted((r.ref, str(r.bank), str(r.amt_orig if r.amt_orig is None else r.amt_orig + 0.0), r.c, r.usd) for r in found.collect())
+    assert got == want and len(want) > 100
+    plan = plan_of(found)
+    assert "_words" in plan and "BroadcastHashJoin" in plan
+    assert X.dup_tier(df.limit(0), ["ref", "bank", "amt_orig"]).count() == 0
+
+
+def test_corrections_move_only_corrected_rows(spark):
+    df = spark.createDataFrame(
+        [("P", k if k % 50 else None, f"c{k}", float(k)) for k in range(300)] + [(None, 7, "n", 1.0), ("P", 8, "again", 8.0)],
+        "flow string, row_no int, final_purpose string, amount double")
+    given = spark.createDataFrame(
+        [("P", 8, "x", None), ("P", 9, None, 99.0), ("P", 10, "y", 1.0), ("P", 10, "z", 2.0), ("R", 11, "r", 0.0), (None, 7, "no", 0.0), ("P", None, "no", 0.0)],
+        "flow string, row_no long, purpose string, amount double")
+    want = []
+    for r in df.collect():
+        hits = [g for g in given.collect() if None not in (g.flow, g.row_no) and (g.flow, g.row_no) == (r.flow, r.row_no)]
+        for g in hits or [None]:
+            want.append((r.flow, r.row_no, g.purpose if g and g.purpose is not None else r.final_purpose, g.amount if g and g.amount is not None else r.amount))
+    got = R.apply_overrides(df, given)
+    assert got.columns == ["flow", "row_no", "final_purpose", "amount"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "_words" in plan_of(got)
+
+
+def test_tiers_write_their_input_once(spark, ws, monkeypatch):
+    from remitra.plans import build
+
+    made, stage = [], build.stage
+    monkeypatch.setattr(build, "stage", lambda df, name: made.append(name) or stage(df, name))
+    tiers = build.Build(ws.raw, ws.config).tiers
+    assert sorted(tiers) == ["A", "B", "C"] and made == ["tx_all"]

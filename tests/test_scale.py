@@ -9,10 +9,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from remitra.checks.inputs import Workspace
+from remitra.config.loader import Config
 from remitra.operators import dedup as W
+from remitra.operators import dims as D
 from remitra.operators import exceptions as X
 from remitra.operators import rules as R
 from remitra.operators import scale as S
+from remitra.session import stage
 
 
 @pytest.fixture(scope="module")
@@ -143,6 +147,33 @@ def test_only_keys_that_repeat_are_shuffled_whole(spark, bits):
     assert bits < W.BITS or not marked & {ref for ref in alone if ref.startswith("9")}
 
 
+def test_rows_without_copies_are_written_once(spark, ws):
+    df = spark.createDataFrame(COPIES, "Hash_ID string, bank string, ref string, currency string")
+    tx_all = stage(df.withColumns({"flow": F.lit("Payment"), "ymd": F.lit("2020-01-01"), "amt_orig": F.lit(1.0)}), "tx_all")
+    view = W.dedup_view(tx_all)
+    assert sorted(r.Hash_ID for r in view.collect()) == ["0", "1", "2", "5", "6", "7", "8"]
+    written = [f for f in view.inputFiles() if "/kept-" in f]
+    assert sorted(r.Hash_ID for r in spark.read.parquet(*written).collect()) == ["0", "1", "2"]
+    assert set(ws.tx_all.inputFiles()) < set(ws.tx.inputFiles())
+
+
+def test_dimensions_need_no_aggregate_by_all_keys(spark):
+    rows = [(f"2020-{k % 3 + 1:02d}" if k % 11 else None, 2020 + k % 2, k % 2, 0, ["A.", "a", None, "B"][k % 4], ["LA", "TH", None][k % 3],
+             ["USD", None][k % 2], ["010101", "", "02020"][k % 3], float(k) if k % 5 else None) for k in range(60)]
+    tx = spark.createDataFrame(rows, "ym string, yr long, flow_ix int, use_ix int, bank string, country string, currency string, pur5 string, usd double")
+    sums, by_all = D.key_sums(tx), D.base_month(tx)
+    assert sums.count() == 4 + 2 + 4 + 3 + 2 + 3
+    assert not sums.filter(" + ".join(f"cast({k} is not null as int)" for k in ("ym", "yr", "bank", "country", "currency", "pur5")) + " > 1").count()
+    for make in (D.dim_months, D.dim_years, D.dim_currencies, lambda b: D.dim_countries(b, Config()), lambda b: D.dim_banks(b, Config())):
+        assert sorted(map(str, make(sums).collect())) == sorted(map(str, make(by_all).collect()))
+    built = Workspace(spark, "/root/testdata/sf0.001")
+    assert built.dims.banks.count() > 0 and "base" not in vars(built)
+
+
+def test_staged_tables_are_packed_well(spark):
+    assert all(f.endswith(".zstd.parquet") for f in stage(spark.range(5), "small").inputFiles())
+
+
 def test_ranks_take_one_shuffle_and_one_read(ws):
     plan = W.rank_duplicates(ws.tx_all)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Join" not in plan

@@ -173,3 +173,23 @@ def test_distinct_names_are_cleaned_without_a_queue(spark):
     for name in ("P13_clean_name", "P17_real_name"):
         plan = catalog.QUERIES[name](workspace(spark, folder))._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
+def test_only_names_that_repair_changes_are_joined(spark):
+    """A list of all names would be too long to broadcast and move every row."""
+    items = [*NAMES, damage("Café"), *[f"Company {k:05d}" for k in range(3000)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(items)], "i int, v string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        real = names.only_real_names(df, "v", "name", ["NULL"])
+        clean = names.with_clean_name(df, "v", "name")
+        for joined in (real, clean):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert joined.columns == ["i", "v", "name"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tests = column(spark, items, lambda c: text.real_name(c, text.clean_name(c), ["NULL"]))
+    assert sorted(real.collect()) == [(i, v, cleaned(v)) for i, v in enumerate(items) if v is not None and tests[i]]
+    assert sorted(clean.collect()) == [(i, v, cleaned(v)) for i, v in enumerate(items)]

@@ -13,6 +13,7 @@ from remitra.checks.inputs import Workspace
 from remitra.config.loader import Config
 from remitra.operators import dedup as W
 from remitra.operators import dims as D
+from remitra.operators import entities as E
 from remitra.operators import exceptions as X
 from remitra.operators import rules as R
 from remitra.operators import scale as S
@@ -170,6 +171,11 @@ def test_dimensions_need_no_aggregate_by_all_keys(spark):
     assert built.dims.banks.count() > 0 and "base" not in vars(built)
 
 
+def test_rows_of_an_entity_are_dropped_before_the_shuffle(spark, ws):
+    plan = E.entity_tx(ws.kept, ws.dims, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "_slice" not in plan and plan.count("WindowGroupLimit") == 2  # one before the shuffle, one behind it
+
+
 def test_staged_tables_are_packed_well(spark):
     assert all(f.endswith(".zstd.parquet") for f in stage(spark.range(5), "small").inputFiles())
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,7 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte = np.array([self.model.is_byte(k) for k in range(self.model.vocab_size())])
         self.known: dict[str, int] = {}  # tokens, byte tokens and script in one number
+        self.letters: dict[str, int] = {}  # script of a word by its first character, -1 if that is no letter
 
     @staticmethod
     def script(word: str) -> int:
@@ -78,15 +80,32 @@ class Pieces:
                 return SCRIPTS.index(BLOCKS[bisect_right(_STARTS, ord(char)) - 1][1])
         return SCRIPTS.index("none")
 
+    def scripts(self, words: list[str]) -> np.ndarray:
+        """``script`` of each word; most begin with a letter, which tells."""
+        firsts = [w[:1] for w in words]
+        self.letters |= {c: self.script(c) if c.isalpha() else -1 for c in set(firsts).difference(self.letters)}
+        out = np.fromiter(map(self.letters.__getitem__, firsts), np.int64, len(words))
+        for k in np.flatnonzero(out < 0):
+            out[k] = self.script(words[k])
+        return out
+
+    def _measure(self, words: list[str]) -> np.ndarray:
+        rows = self.model.encode(words, num_threads=1)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        ids = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
+        return (sizes << 36) + (_by_text(self.byte[ids], np.cumsum(sizes)) << 8) + self.scripts(words)
+
     def __call__(self, words: list[str]) -> np.ndarray:
+        """Tokens, byte tokens and script of distinct words."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
-            for word, ids in zip(part, self.model.encode(part, num_threads=1), strict=True):
-                self.known[word] = (len(ids) << 36) + (int(self.byte[ids].sum() if ids else 0) << 8) + self.script(word)
-        held = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        held = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        unseen = np.flatnonzero(held < 0)
+        for low in range(0, len(unseen), 20_000):
+            at = unseen[low : low + 20_000]
+            part = [words[k] for k in at.tolist()]
+            held[at] = self._measure(part)
+            self.known.update(zip(part, held[at].tolist(), strict=True))
         return np.stack([held >> 36, (held >> 8) & ((1 << 28) - 1), held & 255], axis=1)
 
 

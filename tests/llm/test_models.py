@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 from helpers import LOWER, WORDS, awkward, empty
 from pyspark.sql import functions as F
 
@@ -74,6 +75,21 @@ def test_base_rules(spark):
     assert fertility.judge(empty(spark)).count() == 0
 
 
+def test_words_of_a_batch_are_measured_together(monkeypatch):
+    words = ["plain", "été", "§x", "123", "", "日本", "...", "9th", "Ωmega", "ʼn", "\U0001f600", "İx", "plain,"]
+    pieces = fertility.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    alone = [[pieces.model.encode(w), fertility.Pieces.script(w)] for w in words]
+    asked = []
+    by_letters = fertility.Pieces.script
+    monkeypatch.setattr(fertility.Pieces, "script", staticmethod(lambda w: asked.append(w) or by_letters(w)))
+    for part in (words, words[3:] + ["plainly"]):
+        for word, row in zip(part, pieces(part).tolist(), strict=True):
+            ids, script = alone[words.index(word)] if word in words else (pieces.model.encode(word), fertility.SCRIPTS.index("latin"))
+            assert row == [len(ids), int(sum(pieces.model.is_byte(k) for k in ids)), script], word
+    # Words that begin with a letter known by now are not looked at one by one.
+    assert {w for w in asked if len(w) > 1} == {"§x", "123", "...", "9th"}
+
+
 def test_fertility_measures(spark):
     import public_tokenizers
     import sentencepiece

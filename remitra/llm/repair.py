@@ -71,8 +71,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
         cell = bucket[at]
         first = np.zeros(_BUCKETS, np.int64)
         first[cell] = at  # one pair stands for its bucket; others wait for a later round
-        model = first[cell]
-        same = (left[at] == left[model]) & (right[at] == right[model])
+        same = (left[at] == left[first][cell]) & (right[at] == right[first][cell])
         at, cell = at[same], cell[same]
         weight = np.bincount(cell, minlength=_BUCKETS)[cell] * 2 + (at & 1)
         beats = np.ones(len(at), bool)

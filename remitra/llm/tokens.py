@@ -19,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces a worker remembers.
+from remitra.llm.common import as_strings
+
+#: Pieces a worker remembers; beyond them it forgets all but those that the batch before had met again.
 REMEMBERED = 400_000
 #: Pieces that go through the library in one call.
 TOGETHER = 4_096
@@ -51,12 +53,20 @@ class Encoder:
         self._bytes = np.zeros(self.size, np.int64)
         for token, number in vocabulary.items():
             self._bytes[number] = len(token.removesuffix(suffix) if suffix else token)
-        self._forget()
+        self._clear()
 
-    def _forget(self) -> None:
+    def _clear(self) -> None:
         self._known: dict[str, int] = {}
         self._sizes, self._firsts, self._values = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self._held = 0
+        self._again = np.zeros(0, np.int64)  # pieces of the batch before that were known then
+
+    def _forget(self) -> None:
+        """Keep common pieces alone, at most half of what may be remembered."""
+        again = self._again[: REMEMBERED // 2]
+        names, ids, sizes = list(self._known), self.ids_of(again), self._sizes[again]
+        self._clear()
+        self._remember([names[k] for k in again.tolist()], ids, sizes)
 
     def _remember(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Keep the ids of new pieces, which stand one after the other in ``ids``."""
@@ -109,6 +119,7 @@ class Encoder:
             self._forget()
             known = self._known
         found = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        self._again = found[found >= 0]
         new = [pieces[k] for k in np.flatnonzero(found < 0)]
         if not new:
             return found
@@ -116,23 +127,31 @@ class Encoder:
         cut = [new[k] for k in np.flatnonzero(marked)]
         stems = [piece.rstrip(_TAIL) for piece in cut]
         tails = [piece[len(stem) :] for piece, stem in zip(cut, stems, strict=True)]
-        rest = [p for p in dict.fromkeys(stems + tails) if p not in known]
-        whole = list(dict.fromkeys(rest + [new[k] for k in np.flatnonzero(~marked)])) if rest else [new[k] for k in np.flatnonzero(~marked)]
+        whole = [new[k] for k in np.flatnonzero(~marked)]
+        own = len(whole)
+        if cut:
+            here = set(whole)
+            whole += [p for p in dict.fromkeys(stems + tails) if p not in known and p not in here]
         plain = _matches(whole, _PLAIN[self.by_words])
-        together, alone = [whole[k] for k in np.flatnonzero(plain)], []
-        for k in np.flatnonzero(~plain):
-            (together if self._simple(whole[k]) else alone).append(whole[k])
+        odd = np.flatnonzero(~plain)
+        simple = np.fromiter((self._simple(whole[k]) for k in odd), bool, len(odd))
+        order = np.concatenate([np.flatnonzero(plain), odd[simple], odd[~simple]])
+        together, alone = [whole[k] for k in order[: len(whole) - int((~simple).sum())]], [whole[k] for k in odd[~simple]]
+        numbers = np.empty(len(whole), np.int64)
+        numbers[order] = len(known) + np.arange(len(whole))
         for k in range(0, len(together), TOGETHER):
             self._learn(together[k : k + TOGETHER])
         if alone:
             self._one_by_one(alone)
+        of_new = np.empty(len(new), np.int64)
+        of_new[~marked] = numbers[:own]
         if cut:
             parts = np.empty((len(cut), 2), np.int64)
             parts[:, 0] = np.fromiter(map(known.get, stems), np.int64, len(cut))
             parts[:, 1] = np.fromiter(map(known.get, tails), np.int64, len(cut))
+            of_new[marked] = len(known) + np.arange(len(cut))
             self._remember(cut, self.ids_of(parts.ravel()), self._sizes[parts].sum(axis=1))
-        late = found < 0
-        found[late] = np.fromiter(map(known.get, new), np.int64, len(new))
+        found[found < 0] = of_new
         return found
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
@@ -168,9 +187,13 @@ class Encoder:
             marked = pc.replace_substring(texts, "\n", " \n")
             cut = pc.split_pattern(pc.binary_join_element_wise("\x02", marked, ""), " ")
         coded = cut.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        if not self.by_words:
-            pieces = [" " + p if p[:1] not in ("\n", "\x02") else p if p[0] == "\n" else p[1:] for p in pieces]
+        distinct = coded.dictionary
+        if self.by_words:
+            pieces = as_strings(distinct)
+        else:
+            pieces = as_strings(pc.binary_join_element_wise(" ", distinct, ""))
+            for k in np.flatnonzero(np.asarray(pc.match_substring_regex(distinct, r"^[\n\x02]"))):
+                pieces[k] = pieces[k][1 if pieces[k][1] == "\n" else 2 :]
         numbers = self.pieces(pieces)[coded.indices.to_numpy()]
         ends = np.concatenate([[0], np.cumsum(self._sizes[numbers])])
         offsets = cut.offsets.to_numpy()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from remitra.llm import packing, repair
+from remitra.llm import packing, repair, tokens
 from remitra.llm.common import table
 from remitra.llm.queries import op1_pack, op2_token_files
 from remitra.llm.tokens import Encoder
@@ -38,6 +38,20 @@ def test_ids_of_strange_texts(name):
             assert have.tolist() == want[:-1], text
 
 
+def test_common_pieces_outlive_the_memory_of_rare_ones(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 70)
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    learned, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: learned.extend(pieces) or learn(pieces))
+    for turn in range(8):
+        texts = [" ".join(f"common{k} rare{turn}x{k}, again{k}." for k in range(20))] * 2 + ["", None]
+        ids, ends = encoder(pa.array(texts, pa.string()))
+        for text, have, want in zip(texts, np.split(ids, ends[:-1]), plain_ids("byte_bpe_50k.json", texts), strict=True):
+            assert have.tolist() == want[:-1], text
+        assert len(encoder._known) <= 70 + 62
+    assert learned.count(" common7") == 1
+
+
 def test_level_choice_minimises_the_sum_of_squares():
     draw = random.Random(1)
     levels = packing.Levels(64, 10**6)

@@ -241,6 +241,16 @@ def test_corrections_move_only_corrected_rows(spark):
     assert "_words" in plan_of(got)
 
 
+def test_corrections_are_not_broadcast_by_their_files_size(spark):
+    given = spark.range(20_000).select(
+        F.lit("P").alias("flow"), F.col("id").alias("row_no"), F.lit("0601").alias("purpose"), F.lit(None).cast("double").alias("amount"))
+    df = spark.range(100).select(F.lit("P").alias("flow"), F.col("id").alias("row_no"), F.lit("x").alias("final_purpose"), F.lit(1.0).alias("amount"))
+    got = R.apply_overrides(df, given)
+    plan = plan_of(got)
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2  # the bits, in either part
+    assert {r.final_purpose for r in got.collect()} == {"0601"}
+
+
 def test_tiers_write_their_input_once(spark, ws, monkeypatch):
     from remitra.plans import build
 

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import glob
+import gzip
+import os
+
+from pyspark.sql import functions as F
+
+from remitra.checks import inputs
 from remitra.checks.inputs import RAW, Workspace
+from remitra.session import stage
+from remitra.sources import files
 
 
 def small(spark, folder):
@@ -39,3 +48,24 @@ def test_raw_rows_move_narrow_and_once(spark, tmp_path):
     first = plan.index("Exchange hashpartitioning")
     assert "RoundRobin" not in plan and plan.count("FileScan parquet [l_") == 1
     assert 0 < plan.index("AS Hash_ID#") < first and "AS Hash_ID#" not in plan[first:]
+
+
+def test_filed_extracts_are_zipped_in_bounded_files_and_read_whole(spark, tmp_path, monkeypatch):
+    """As plain text they were the largest part of what the queries on rejects keep on disk."""
+    monkeypatch.setattr(inputs, "ZIPPED_ROWS", 5)
+    ws = small(spark, tmp_path)
+    ws.written = stage(ws.raw.withColumn("row_no", F.monotonically_increasing_id()), "numbered")
+    parts = glob.glob(f"{ws.filed_root.removeprefix('file://')}/*/all.csv/part-*")
+    texts = [gzip.open(p).read() if p.endswith(".gz") else open(p, "rb").read() for p in parts]
+    assert all(p.endswith(".csv.gz") for p in parts) and sum(map(len, texts)) > 2 * sum(os.path.getsize(p) for p in parts)
+    assert max(t.count(b"\n\"") for t in texts) <= 5 and len(parts) >= ws.raw.count() / 5
+    read = files.read_flows(spark, ws.filed_root)
+    raw = ws.written.collect()
+    rows = read.rows.select("Hash_ID", F.col("row_no").cast("long")).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(str((r.Hash_ID, r.row_no)) for r in raw)
+    lost = {(r.field, r.filed): r["count"] for r in read.rejects.groupBy("field", "filed").count().collect()}
+    tests = {("Exchange_Rates_Kip", "n/a\n(see note)"): lambda n: n % 17 == 0, ("Source_Year", "FY98"): lambda n: n % 19 == 0,
+             ("Date_of_Transaction", "pending"): lambda n: n % 13 == 0, ("Amount_USD", "1,234.50"): lambda n: n % 10 == 3}
+    for key, test in tests.items():
+        assert lost.get(key, 0) == sum(test(r.row_no) for r in raw)
+    assert sum(lost.values()) > 10

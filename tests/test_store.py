@@ -7,7 +7,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from remitra.plans.yearly import YearStore
+from remitra.operators import cubes as C
+from remitra.operators.clean import clean, with_flow_use_ix
+from remitra.operators.dedup import dedup
+from remitra.plans.yearly import AGGREGATES, YearStore
 from remitra.session import stage
 from remitra.sources import sinks
 from remitra.sources.pack import Pack
@@ -127,3 +130,29 @@ def test_raw_parts_are_written_without_moving_rows(ws, tmp_path):
     assert len(raw) == 1 and "Exchange hashpartitioning" not in raw[0] and "REBALANCE" not in raw[0]
     stored = store.pack.read("raw")
     assert sorted(r.Hash_ID for r in stored.select("Hash_ID").collect()) == sorted(r.Hash_ID for r in written.select("Hash_ID").collect())
+
+
+def test_aggregates_read_narrow_rows_and_move_them_once(ws, tmp_path):
+    """Staged rows hold what the aggregates read, and an aggregate isn't shuffled again to be written by year."""
+    rows = rows_of(ws).unionByName(rows_of(ws).filter("row_no % 3 = 0").withColumn("Hash_ID", F.concat(F.col("Hash_ID"), F.lit("!"))))
+    spark, plans = ws.spark, []
+    write = type(rows.write).parquet
+
+    def noted(self, path, *more, **options):
+        plans.append((path.rsplit("/", 1)[-1], self._df.columns, self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, *more, **options)
+
+    store = YearStore(spark, f"file://{tmp_path}/store")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows.write), "parquet", noted)
+        store.replace(rows)
+    staged = {name: columns for name, columns, _ in plans if name.startswith(("tx-years", "marked", "kept"))}
+    assert staged and all(not {"Hash_ID", "ref", "kip", "docs", "tr_tin", "Source_File"} & set(columns) for columns in staged.values())
+    made = {name: plan for name, _, plan in plans if name in (*AGGREGATES, "checks")}
+    assert len(made) == 6 and all("REBALANCE" not in plan and plan.count("Exchange hashpartitioning") == 1 for plan in made.values())
+    tx = with_flow_use_ix(dedup(clean(rows.withColumn("_flow", F.col("Flow")))))
+    show = lambda df: sorted(str([round(v, 3) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    stored = store.build()
+    for name, make in {**AGGREGATES, "checks": C.base_checks}.items():
+        got = stored.names if name == "names" else getattr(stored, name)
+        assert show(got.select(make(tx).columns)) == show(make(tx))

@@ -11,7 +11,7 @@ from remitra.operators import cubes as C
 from remitra.operators.clean import clean, with_flow_use_ix
 from remitra.operators.dedup import dedup
 from remitra.plans.yearly import AGGREGATES, YearStore
-from remitra.session import stage
+from remitra.session import splits_of, stage
 from remitra.sources import sinks
 from remitra.sources.pack import Pack
 
@@ -156,3 +156,17 @@ def test_aggregates_read_narrow_rows_and_move_them_once(ws, tmp_path):
     for name, make in {**AGGREGATES, "checks": C.base_checks}.items():
         got = stored.names if name == "names" else getattr(stored, name)
         assert show(got.select(make(tx).columns)) == show(make(tx))
+
+
+def test_splits_are_bounded_for_a_while(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    read = lambda: spark.conf.get(key)
+    usual = read()
+    with splits_of(spark, "32m"):
+        assert read() == "32m"
+        with splits_of(spark, "64m"):  # smaller ones stay
+            assert read() == "32m"
+    assert read() == usual
+    with pytest.raises(ValueError), splits_of(spark, "32m"):
+        raise ValueError
+    assert read() == usual
